@@ -24,12 +24,42 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), window=1024, end_id=0)
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.string_tiling import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), shortest=5, coverage=0.5)
+    return found.select("doc_id", "contaminated", "n_items", "item_id", "coverage")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.line_spread import remove_boilerplate
+
+    kept = remove_boilerplate(table(spark, sf_dir, "documents"), min_sites=10)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH lines AS (
+  SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE source IS NOT NULL AND text IS NOT NULL
+), boilerplate AS (
+  SELECT coalesce(list(line), []) AS gone FROM (
+    SELECT line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10)
+), split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS own, list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)) AS kept
+  FROM documents, boilerplate
+)
+SELECT doc_id, CAST(coalesce(len(own), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(own) - len(kept), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(kept, chr(10)), '')) AS kept_sha256
+FROM split
+"""
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.recompression import remove_repeats
 
@@ -46,8 +76,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op6_line_dedup": op6_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
