@@ -227,7 +227,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, rounds: int = 6, id_column:
     places = counted.where("n = 1 AND place >= 0").groupBy("key").agg(F.collect_list("place").alias("places"))
 
     alike = keyed.select("key", F.md5(F.col("text").cast("binary")).alias("digest")).where("digest IS NOT NULL")
-    groups = alike.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("one")).where("n > 1")
+    # a kept table, so that the join deals both sides anew and can split a group of very many copies
+    groups = kept(alike.groupBy("digest").agg(F.count("*").alias("n"), F.min("key").alias("one")).where("n > 1").select("digest", "one"), "copy-groups")
     copies = alike.join(groups, "digest").groupBy("key").agg(F.min(F.when(F.col("key") == F.col("one"), 1).otherwise(2)).alias("copy"))
     known = kept(places.join(copies, "key", "full").select("key", "places", "copy"), "symbol-places")
 
