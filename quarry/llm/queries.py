@@ -50,6 +50,25 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.warc import round_trip
+
+    records = round_trip(table(spark, sf_dir, "pages")).where("kind = 'record'")
+    return records.select(F.col("page_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+OP5_SQL = """
+WITH full_pages AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), judged AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM full_pages
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM judged
+"""
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.line_spread import remove_boilerplate
 
@@ -73,6 +92,14 @@ FROM split
 """
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.url_rules import UrlRule, judge
+
+    rules = [UrlRule("allow", "com", "/"), UrlRule("block", "example.com", "/en/"), UrlRule("allow", "www.example.com", "/en/"), UrlRule("block", "net", "/es/"), UrlRule("block", "net", "/fr/")]
+    judged = judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.recompression import remove_repeats
 
@@ -99,9 +126,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_warc": op5_warc,
     "op6_line_dedup": op6_line_dedup,
+    "op7_url_filters": op7_url_filters,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL}
