@@ -5,8 +5,8 @@ by one bit at most. So each segment is indexed once per bit with that bit delete
 an equality join on the variants finds every such pair; the full distance then verifies it.
 
 A variant shared by many fingerprints would make all pairs of them. Instead each is first verified
-against one hub of its variant, those links are closed to components, and only members of different
-components are compared again, which finds every remaining link.
+against a few hubs of its variant and those links are closed to components; then only what lies outside
+a variant's largest component is compared with the rest, which finds every remaining link.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import mix
-from quarry.llm._tables import kept
+from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
 
 #: Lengths of the segments of one 64-bit fingerprint.
@@ -87,14 +87,12 @@ def _variants(f: str, which: int, segments: tuple[int, ...] = SEGMENTS) -> Colum
     return F.concat(*parts)
 
 
-def _distance(a: list[str], b: list[str]) -> Column:
-    total = F.lit(0)
-    for x, y in zip(a, b, strict=True):
-        total = total + F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
-    return total
+def _mask(turn: int) -> Column:
+    """A mask by key and turn: the least value under it is a different member for each key and turn."""
+    return F.xxhash64("key", F.lit(turn))
 
 
-def link_classes(classes: DataFrame, most_bits: int, check_bits: int) -> DataFrame:
+def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int = 4) -> DataFrame:
     """Components of fingerprint classes (node long, f0.. long) linked at most_bits or fewer over all fingerprints.
 
     With one fingerprint, no link is lost if most_bits is less than twice the segments. With more, a pair is a candidate where one
@@ -103,33 +101,63 @@ def link_classes(classes: DataFrame, most_bits: int, check_bits: int) -> DataFra
     names = [c for c in classes.columns if c != "node"]
     n = len(names)
     rows = None
+    classes = classes.repartition(partitions(classes.sparkSession), "node")  # a row becomes dozens
     for k, f in enumerate(names):
-        check = names[(k + 1) % n]
-        part = classes.select("node", F.col(check).alias("check"), F.explode(_variants(f, k)).alias("key"))
+        part = classes.select("node", F.col(names[(k + 1) % n]).alias("check"), F.explode(_variants(f, k)).alias("key"))
         rows = part if rows is None else rows.unionByName(part)
-    hubs = rows.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("node", "check")).alias("hub")).where("size > 1")
-    shared = rows.join(hubs, "key").withColumn("near", F.bit_count(F.col("check").bitwiseXOR(F.col("hub.check"))) <= check_bits)
+    order = F.col("check").bitwiseXOR(_mask(0))
+    one = rows.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", order).alias("hub"), F.min(order).alias("order")).where("size > 1")
+    one = one.select("key", "size", "hub", F.col("order").bitwiseXOR(_mask(0)).alias("hub_check"))
+    near = F.bit_count(F.col("check").bitwiseXOR(F.col("hub_check"))) <= check_bits
     # with two members the hub's test is the only one there is
-    shared = kept(shared.select("key", "node", "check", "near", F.col("hub.node").alias("hub"), "size").where("(near AND node != hub) OR size > 2"), "shared-variants")
+    shared = kept(rows.join(one, "key").select("key", "node", "check", "hub", near.alias("near"), "size").where("(near AND node != hub) OR size > 2"), "shared-variants")
+
+    fitted = classes.select("node", F.array(*names).alias("bits"))
+    within = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v) <= most_bits
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct()
-        if n == 1:
+        if n == 1 and check_bits <= most_bits:
             return pairs
-        a = classes.select(F.col("node").alias("a"), *(F.col(x).alias(f"a_{x}") for x in names))
-        b = classes.select(F.col("node").alias("b"), *(F.col(x).alias(f"b_{x}") for x in names))
-        return pairs.join(a, "a").join(b, "b").where(_distance([f"a_{x}" for x in names], [f"b_{x}" for x in names]) <= most_bits).select("a", "b")
-
-    first = kept(verified(shared.where("near AND node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "hub-links")
+        a, b = fitted.toDF("a", "a_bits"), fitted.toDF("b", "b_bits")
+        return pairs.join(a, "a").join(b, "b").where(within(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
+
+    # crowded variants get some more hubs each, so that a large group is one component before pairs are made
+    crowded = shared.where("size > 2").select("key", "node", "check")
+    turns = range(1, hubs + 1)
+    several = crowded.groupBy("key").agg(*(F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}") for t in turns), *(F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}") for t in turns))
+    several = several.select("key", F.array(*(F.struct(F.col(f"h{t}").alias("hub"), F.col(f"o{t}").bitwiseXOR(_mask(t)).alias("check")) for t in turns)).alias("hubs"))
+    more = crowded.join(kept(several, "more-hubs"), "key").select("node", "check", F.explode(F.array_distinct("hubs")).alias("h")).where((F.col("node") != F.col("h.hub")) & (F.bit_count(F.col("check").bitwiseXOR(F.col("h.check"))) <= check_bits))
+    stars = shared.where("near AND node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(more.select(F.col("node").alias("a"), F.col("h.hub").alias("b")))
+    first = kept(verified(stars), "hub-links")
     labels = kept(components(first), "hub-components")
-    crowded = shared.where("size > 2").select("key", "node", "check").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = crowded.groupBy("key").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("key")
-    crowded = kept(crowded.join(mixed, "key", "left_semi"), "mixed-variants")
-    x, y = crowded.alias("x"), crowded.alias("y")
-    near = F.bit_count(F.col("x.check").bitwiseXOR(F.col("y.check"))) <= check_bits
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & near)
-    second = verified(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    return components(first.unionByName(second))
+
+    known = crowded.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known = kept(known.join(fitted, "node"), "crowded")
+    by_part = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
+    by_part = kept(by_part.select("key", "major"), "major-components")
+    # what is outside a variant's largest component is compared with all of it; within a component there is nothing left to find
+    minor = known.join(by_part, "key").where("component != major").alias("x")
+    other = known.join(by_part.select("key"), "key", "left_semi").alias("y")
+    met = minor.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & within(F.col("x.bits"), F.col("y.bits")))
+    second = kept(met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct(), "component-links")
+    if second.isEmpty():
+        return labels
+    # components of components; a node without a label is a component of its own
+    merged = components(second)
+    ends = labels.select("component").unionByName(merged.select(F.col("node").alias("component"))).distinct().join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
+    alone = ends.where("into IS NOT NULL").join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
+    return labels.join(ends, "component").select("node", F.coalesce("into", "component").alias("component")).unionByName(alone)
+
+
+def classed(docs: DataFrame, words: int, most_bits: int, number: int, check_bits: int | None, text_column: str) -> DataFrame:
+    """Every row's other columns, f0.. and component: a number that the rows of one group share."""
+    names = [f"f{k}" for k in range(number)]
+    prints = kept(fingerprints(docs, words, number, text_column).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
+    classes = kept(prints.groupBy(*names).agg(F.min("row").alias("node")), "classes")
+    linked = link_classes(classes.select("node", *names), most_bits, most_bits if check_bits is None else check_bits)
+    labelled = kept(classes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component")), "labelled-classes")
+    return kept(prints.drop("row").join(labelled, names), "labelled-rows")
 
 
 def near_duplicates(docs: DataFrame, words: int, most_bits: int, number: int = 1, check_bits: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -140,11 +168,22 @@ def near_duplicates(docs: DataFrame, words: int, most_bits: int, number: int = 1
     one class before anything is paired.
     """
     names = [f"f{k}" for k in range(number)]
-    narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    prints = kept(fingerprints(narrow, words, number).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    classes = kept(prints.groupBy(*names).agg(F.min("row").alias("node"), F.min("id").alias("least")), "classes")
-    linked = link_classes(classes.select("node", *names), most_bits, most_bits if check_bits is None else check_bits)
-    labelled = classes.join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").select(*names, "component_id")
-    return prints.join(named, names).select(F.col("id").alias(id_column), *names, "component_id")
+    rows = classed(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), words, most_bits, number, check_bits, "text")
+    least = kept(rows.groupBy("component").agg(F.min("id").alias("component_id")), "least-ids")
+    return rows.join(least, "component").select(F.col("id").alias(id_column), *names, "component_id")
+
+
+def keep_one(docs: DataFrame, words: int, most_bits: int, number: int, check_bits: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, as it was: the one with the least id, or, without ids, any one.
+
+    Null and empty texts are a group of their own. Rows equal in id and text are copies: one stays. The other columns may have any names.
+    """
+    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    rows = classed(docs.select(F.col(id_column).alias("id"), key.alias("key"), F.col(text_column).alias("text")), words, most_bits, number, check_bits, "text")
+    least = kept(rows.groupBy("component").agg(F.min("id").alias("least")), "least-ids")
+    firsts = rows.join(least, "component").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("key").alias("key"))
+    gone = rows.select("key").distinct().join(firsts.select("key"), "key", "left_anti")
+    left = docs.withColumn("_q_key", key).join(kept(gone, "duplicates").withColumnRenamed("key", "_q_key").hint("shuffle_hash"), "_q_key", "left_anti")
+    if not rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        left = left.dropDuplicates(["_q_key"])
+    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
