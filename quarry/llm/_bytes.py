@@ -75,7 +75,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_TABLE[which][data] * powers(n, which), out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * powers(n, which, inverse=True)[starts] if n else np.zeros(0, np.uint64))
+    return mix((sums[ends] - sums[starts]) * powers(n + 1, which, inverse=True)[starts])
 
 
 def window_hashes(items: np.ndarray, width: int, which: int = 0) -> np.ndarray:

@@ -43,6 +43,13 @@ def test_lines_follow_rows():
     assert line.bins[:, NAMES.index("seen")].sum() == 1
 
 
+@pytest.mark.parametrize("texts", [[""], ["", ""], ["x\n"], ["\n", ""]])
+def test_ends_without_words(texts):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    got = line_features(data, np.append(0, np.cumsum([len(t) for t in texts])))
+    assert len(got.bins) == sum(t.count("\n") + 1 for t in texts) == got.first[-1]
+
+
 def test_training_separates():
     rng = np.random.default_rng(1)
     first = np.arange(0, 401, 4)
