@@ -162,12 +162,12 @@ def camera_vendor(make: Column) -> Column:
 
 def split_list(c: Column) -> Column:
     """Comma-separated values, trimmed, the empty ones dropped."""
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def split_tag_path(c: Column) -> Column:
     """A typed tag path cut at runs of backslash, slash or pipe."""
-    return F.filter(F.transform(F.split(c, r"[\\/|]+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[\\/|]+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def hash_tag_query(c: Column) -> Column:
