@@ -112,13 +112,13 @@ def _box(text: str) -> str:
 @register(f"""WITH b AS (SELECT p_partkey, {BOX}::DOUBLE[] AS a, {OTHER}::DOUBLE[] AS b FROM part),
 o AS (SELECT *, greatest(least(a[1] + a[3], b[1] + b[3]) - greatest(a[1], b[1]), 0) * greatest(least(a[2] + a[4], b[2] + b[4]) - greatest(a[2], b[2]), 0) AS c FROM b)
 SELECT p_partkey, round(c / (a[3] * a[4] + b[3] * b[4] - c), 6) AS iou, a[1] + a[3] <= 1 + 8 * 2.220446049250313e-16 AND a[2] + a[4] <= 1 + 8 * 2.220446049250313e-16 AS valid,
-  CASE WHEN p_partkey % 3 <> 0 AND c / (a[3] * a[4] + b[3] * b[4] - c) >= CASE WHEN p_partkey % 3 = 1 THEN 0.6 ELSE 0.51 END THEN round(c / (a[3] * a[4] + b[3] * b[4] - c), 6) END AS score FROM o""")
+  CASE WHEN p_partkey % 3 <> 0 AND c / (a[3] * a[4] + b[3] * b[4] - c) >= CASE WHEN p_partkey % 3 = 1 THEN 0.61 ELSE 0.51 END THEN round(c / (a[3] * a[4] + b[3] * b[4] - c), 6) END AS score FROM o""")
 def box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_box(BOX)).alias("a"), F.expr(_box(OTHER)).alias("b"))
     a, b = F.col("a"), F.col("b")
     # a third has faces on both sides, a third bodies alone, a third a face on one side
     turn = F.col("p_partkey") % 3
-    score = G.pair_score(F.when(turn == 1, a), F.when(turn == 2, a), F.when(turn != 2, b), F.when(turn == 2, b), min_face=0.6, min_body=0.51)
+    score = G.pair_score(F.when(turn == 1, a), F.when(turn == 2, a), F.when(turn != 2, b), F.when(turn == 2, b), min_face=0.61, min_body=0.51)
     return rows.select("p_partkey", F.round(G.iou(a, b), 6).alias("iou"), G.box_is_valid(a).alias("valid"), F.when(turn != 0, F.round(score, 6)).alias("score"))
 
 
