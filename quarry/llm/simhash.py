@@ -92,6 +92,12 @@ def _mask(turn: int) -> Column:
     return F.xxhash64("key", F.lit(turn))
 
 
+def mixed(rows: DataFrame) -> DataFrame:
+    """The rows (key, component, ...) of keys that hold more than one component."""
+    keys = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+    return kept(rows.join(kept(keys, "mixed-keys"), "key", "left_semi"), "mixed-rows")
+
+
 def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int = 4) -> DataFrame:
     """Components of fingerprint classes (node long, f0.. long) linked at most_bits or fewer over all fingerprints.
 
@@ -122,32 +128,29 @@ def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int
         a, b = fitted.toDF("a", "a_bits"), fitted.toDF("b", "b_bits")
         return pairs.join(a, "a").join(b, "b").where(within(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
 
-    # crowded variants get some more hubs each, so that a large group is one component before pairs are made
-    crowded = shared.where("size > 2").select("key", "node", "check")
+    first = kept(verified(shared.where("near AND node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "hub-links")
+    labels = kept(components(first), "hub-components")
+
+    # variants whose members are not one component yet get some more hubs each, so that a large group is one component before pairs are made
+    crowded = mixed(shared.where("size > 2").select("key", "node", "check").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
     turns = range(1, hubs + 1)
-    several = crowded.groupBy("key").agg(*(F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}") for t in turns), *(F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}") for t in turns))
+    chosen = [f for t in turns for f in (F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}"), F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}"))]
+    several = crowded.groupBy("key").agg(*chosen)
     several = several.select("key", F.array(*(F.struct(F.col(f"h{t}").alias("hub"), F.col(f"o{t}").bitwiseXOR(_mask(t)).alias("check")) for t in turns)).alias("hubs"))
-    more = crowded.join(kept(several, "more-hubs"), "key").select("node", "check", F.explode(F.array_distinct("hubs")).alias("h")).where((F.col("node") != F.col("h.hub")) & (F.bit_count(F.col("check").bitwiseXOR(F.col("h.check"))) <= check_bits))
-    stars = shared.where("near AND node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).unionByName(more.select(F.col("node").alias("a"), F.col("h.hub").alias("b")))
-    first = kept(verified(stars), "hub-links")
-    labels = kept(components(first), "hub-components")
+    close = F.filter("hubs", lambda h: (h["hub"] != F.col("node")) & (F.bit_count(F.col("check").bitwiseXOR(h["check"])) <= check_bits))
+    stars = crowded.join(kept(several, "more-hubs"), "key").select("node", F.explode(F.array_distinct(F.transform(close, lambda h: h["hub"]))).alias("hub"))
+    more = kept(verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "more-hub-links")
+    if not more.isEmpty():
+        labels = kept(components(first.unionByName(more)), "more-hub-components")
+        crowded = mixed(crowded.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
-    known = crowded.select("key", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    known = kept(known.join(fitted, "node"), "crowded")
-    by_part = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.count("*").alias("parts")).where("parts > 1")
-    by_part = kept(by_part.select("key", "major"), "major-components")
     # what is outside a variant's largest component is compared with all of it; within a component there is nothing left to find
-    minor = known.join(by_part, "key").where("component != major").alias("x")
-    other = known.join(by_part.select("key"), "key", "left_semi").alias("y")
-    met = minor.join(other, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & within(F.col("x.bits"), F.col("y.bits")))
-    second = kept(met.select(F.col("x.component").alias("a"), F.col("y.component").alias("b")).distinct(), "component-links")
-    if second.isEmpty():
-        return labels
-    # components of components; a node without a label is a component of its own
-    merged = components(second)
-    ends = labels.select("component").unionByName(merged.select(F.col("node").alias("component"))).distinct().join(merged.select(F.col("node").alias("component"), F.col("component").alias("into")), "component", "left")
-    alone = ends.where("into IS NOT NULL").join(labels.select(F.col("node").alias("component")), "component", "left_anti").select(F.col("component").alias("node"), F.col("into").alias("component"))
-    return labels.join(ends, "component").select("node", F.coalesce("into", "component").alias("component")).unionByName(alone)
+    known = kept(crowded.select("key", "node", "component").join(fitted, "node"), "crowded")
+    major = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
+    minor = known.join(kept(major, "major-components"), "key").where("component != major").alias("x")
+    met = minor.join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & within(F.col("x.bits"), F.col("y.bits")))
+    second = kept(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "last-links")
+    return labels if second.isEmpty() else components(first.unionByName(more).unionByName(second))
 
 
 def classed(docs: DataFrame, words: int, most_bits: int, number: int, check_bits: int | None, text_column: str) -> DataFrame:
