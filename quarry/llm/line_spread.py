@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._tables import kept
+
 #: Estimates outside threshold * (1 -+ MARGIN) are trusted; the sketches' relative standard error is far smaller.
 MARGIN = 0.2
 LOG2_REGISTERS = 12
@@ -34,11 +36,12 @@ def boilerplate(docs: DataFrame, min_sites: int, site_column: str = "source", te
     k1, k2 = line_key(F.col("line"))
     keyed = lines.select(k1.alias("k1"), k2.alias("k2"), F.col("site").cast("string").alias("site"))
     # a line on min_sites sites stands at least as many times; most lines stand once and need no sketch
-    frequent = keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2")
+    # (tables of their own, so that the joins deal both sides anew and can split a line that is very frequent)
+    frequent = kept(keyed.groupBy("k1", "k2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("k1", "k2"), "frequent-lines")
     seen = keyed.join(frequent, ["k1", "k2"], "left_semi")
     spread = seen.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", F.lit(LOG2_REGISTERS)).alias("sketch")).select("k1", "k2", F.hll_sketch_estimate("sketch").alias("sites"))
     sure = spread.where(F.col("sites") > min_sites * (1 + MARGIN)).select("k1", "k2")
-    near = spread.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("k1", "k2")
+    near = kept(spread.where(F.col("sites").between(min_sites * (1 - MARGIN), min_sites * (1 + MARGIN))).select("k1", "k2"), "near-lines")
     exact = seen.join(near, ["k1", "k2"], "left_semi").select("k1", "k2", "site").distinct().groupBy("k1", "k2").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites).select("k1", "k2")
     return sure.unionByName(exact)
 
@@ -51,7 +54,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "d
     table gives no rows. The documents' columns may have any names but n_lines, n_removed and names that begin with _q_.
     """
     row = F.xxhash64(F.col(id_column), F.col(text_column))
-    found = boilerplate(docs, min_sites, site_column, text_column)
+    found = kept(boilerplate(docs, min_sites, site_column, text_column), "boilerplate")
     places = docs.select(row.alias("_q_row"), F.posexplode(lines_of(text_column)).alias("at", "line")).where(has_word(F.col("line")))
     k1, k2 = line_key(F.col("line"))
     hits = places.select("_q_row", "at", k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left_semi")
