@@ -61,9 +61,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "d
     gone = hits.groupBy("_q_row").agg(F.collect_set("at").alias("_q_gone"))
     lines = lines_of(text_column)
     joined = docs.withColumn("_q_row", row).join(gone.hint("shuffle_hash"), "_q_row", "left")
-    kept = F.filter(lines, lambda x, k: ~F.array_contains("_q_gone", k))
+    left = F.filter(lines, lambda x, k: ~F.array_contains("_q_gone", k))
     n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines)).cast("long")
-    cut = joined.withColumn("_q_kept", F.when(F.col("_q_gone").isNotNull(), kept))
+    cut = joined.withColumn("_q_kept", F.when(F.col("_q_gone").isNotNull(), left))
     text = F.when(F.col("_q_kept").isNotNull(), F.array_join("_q_kept", "\n")).otherwise(F.col(text_column))
     removed = F.when(F.col("_q_kept").isNotNull(), F.size(lines) - F.size("_q_kept")).otherwise(0).cast("long")
     return cut.select(*(text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns), n.alias("n_lines"), removed.alias("n_removed"))
