@@ -22,6 +22,8 @@ from quarry.llm._bytes import mix
 from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
 
+#: Up to so many keys of rows to drop, 8 bytes each, are broadcast; beyond, the rows are dealt out by key.
+MOST_BROADCAST = 4_000_000
 #: Lengths of the segments of one 64-bit fingerprint.
 SEGMENTS = (22, 21, 21)
 
@@ -186,7 +188,9 @@ def keep_one(docs: DataFrame, words: int, most_bits: int, number: int, check_bit
     least = kept(rows.groupBy("component").agg(F.min("id").alias("least")), "least-ids")
     firsts = rows.join(least, "component").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("key").alias("key"))
     gone = rows.select("key").distinct().join(firsts.select("key"), "key", "left_anti")
-    left = docs.withColumn("_q_key", key).join(kept(gone, "duplicates").withColumnRenamed("key", "_q_key").hint("shuffle_hash"), "_q_key", "left_anti")
+    gone = kept(gone, "duplicates").withColumnRenamed("key", "_q_key")
+    few = gone.count() <= MOST_BROADCAST
+    left = docs.withColumn("_q_key", key).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_q_key", "left_anti")
     if not rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         left = left.dropDuplicates(["_q_key"])
     return left.select(*(F.col(f"`{c}`") for c in docs.columns))
