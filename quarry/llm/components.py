@@ -18,14 +18,13 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
         near = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         near = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    # a table of its own, so that the join deals both sides anew and can split a node with very many neighbours
-    least = kept(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least-neighbours")
+    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))  # dealt like near: the join adds no shuffle
     joined = near.join(least, "u")
     if small:
         linked = joined.where(F.col("v") != F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.where(F.col("u") != F.col("m")).select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         linked = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
-    return linked.distinct()
+    return linked.distinct() if small else linked
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -24,6 +24,8 @@ from quarry.llm.components import components
 
 #: Up to so many keys of rows to drop, 8 bytes each, are broadcast; beyond, the rows are dealt out by key.
 MOST_BROADCAST = 4_000_000
+#: Up to so many comparisons of fingerprints are made at once; beyond, more hubs shrink the work first.
+MOST_COMPARISONS = 20_000_000
 #: Lengths of the segments of one 64-bit fingerprint.
 SEGMENTS = (22, 21, 21)
 
@@ -97,7 +99,7 @@ def _mask(turn: int) -> Column:
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, component, ...) of keys that hold more than one component."""
     keys = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
-    return kept(rows.join(kept(keys, "mixed-keys"), "key", "left_semi"), "mixed-rows")
+    return kept(rows.join(keys, "key", "left_semi"), "mixed-rows")
 
 
 def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int = 4) -> DataFrame:
@@ -135,16 +137,20 @@ def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int
 
     # variants whose members are not one component yet get some more hubs each, so that a large group is one component before pairs are made
     crowded = mixed(shared.where("size > 2").select("key", "node", "check").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    turns = range(1, hubs + 1)
-    chosen = [f for t in turns for f in (F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}"), F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}"))]
-    several = crowded.groupBy("key").agg(*chosen)
-    several = several.select("key", F.array(*(F.struct(F.col(f"h{t}").alias("hub"), F.col(f"o{t}").bitwiseXOR(_mask(t)).alias("check")) for t in turns)).alias("hubs"))
-    close = F.filter("hubs", lambda h: (h["hub"] != F.col("node")) & (F.bit_count(F.col("check").bitwiseXOR(h["check"])) <= check_bits))
-    stars = crowded.join(kept(several, "more-hubs"), "key").select("node", F.explode(F.array_distinct(F.transform(close, lambda h: h["hub"]))).alias("hub"))
-    more = kept(verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "more-hub-links")
-    if not more.isEmpty():
-        labels = kept(components(first.unionByName(more)), "more-hub-components")
-        crowded = mixed(crowded.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    sizes = crowded.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    comparisons = sizes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+    more = first.limit(0)
+    if comparisons > MOST_COMPARISONS:
+        turns = range(1, hubs + 1)
+        chosen = [f for t in turns for f in (F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}"), F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}"))]
+        several = crowded.groupBy("key").agg(*chosen)
+        several = several.select("key", F.array(*(F.struct(F.col(f"h{t}").alias("hub"), F.col(f"o{t}").bitwiseXOR(_mask(t)).alias("check")) for t in turns)).alias("hubs"))
+        close = F.filter("hubs", lambda h: (h["hub"] != F.col("node")) & (F.bit_count(F.col("check").bitwiseXOR(h["check"])) <= check_bits))
+        stars = crowded.join(kept(several, "more-hubs"), "key").select("node", F.explode(F.array_distinct(F.transform(close, lambda h: h["hub"]))).alias("hub"))
+        more = kept(verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "more-hub-links")
+        if not more.isEmpty():
+            labels = kept(components(first.unionByName(more)), "more-hub-components")
+            crowded = mixed(crowded.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
 
     # what is outside a variant's largest component is compared with all of it; within a component there is nothing left to find
     known = kept(crowded.select("key", "node", "component").join(fitted, "node"), "crowded")
