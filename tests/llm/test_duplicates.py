@@ -88,7 +88,9 @@ def brute_components(prints: list[int], bits: int) -> list[int]:
     return [find(x) for x in range(len(prints))]
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("comparisons", [20_000_000, 0])
+def test_near_duplicates(spark, monkeypatch, comparisons):
+    monkeypatch.setattr("quarry.llm.simhash.MOST_COMPARISONS", comparisons)  # with more hubs, and without
     texts = corpus(3, 250)
     base = " ".join(f"word{k}" for k in range(400)).split()
     for k in range(60):  # a group of near copies, linked in chains
