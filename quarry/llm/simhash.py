@@ -22,8 +22,6 @@ from quarry.llm._bytes import mix
 from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
 
-#: Up to so many keys of rows to drop, 8 bytes each, are broadcast; beyond, the rows are dealt out by key.
-MOST_BROADCAST = 4_000_000
 #: Up to so many comparisons of fingerprints are made at once; beyond, more hubs shrink the work first.
 MOST_COMPARISONS = 20_000_000
 #: Lengths of the segments of one 64-bit fingerprint.
@@ -182,21 +180,3 @@ def near_duplicates(docs: DataFrame, words: int, most_bits: int, number: int = 1
     rows = classed(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), words, most_bits, number, check_bits, "text")
     least = kept(rows.groupBy("component").agg(F.min("id").alias("component_id")), "least-ids")
     return rows.join(least, "component").select(F.col("id").alias(id_column), *names, "component_id")
-
-
-def keep_one(docs: DataFrame, words: int, most_bits: int, number: int, check_bits: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, as it was: the one with the least id, or, without ids, any one.
-
-    Null and empty texts are a group of their own. Rows equal in id and text are copies: one stays. The other columns may have any names.
-    """
-    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
-    rows = classed(docs.select(F.col(id_column).alias("id"), key.alias("key"), F.col(text_column).alias("text")), words, most_bits, number, check_bits, "text")
-    least = kept(rows.groupBy("component").agg(F.min("id").alias("least")), "least-ids")
-    firsts = rows.join(least, "component").where(F.col("id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("key").alias("key"))
-    gone = rows.select("key").distinct().join(firsts.select("key"), "key", "left_anti")
-    gone = kept(gone, "duplicates").withColumnRenamed("key", "_q_key")
-    few = gone.count() <= MOST_BROADCAST
-    left = docs.withColumn("_q_key", key).join(F.broadcast(gone) if few else gone.hint("shuffle_hash"), "_q_key", "left_anti")
-    if not rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        left = left.dropDuplicates(["_q_key"])
-    return left.select(*(F.col(f"`{c}`") for c in docs.columns))
