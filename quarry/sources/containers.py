@@ -99,7 +99,7 @@ def _jpeg(data: bytes) -> Iterator[tuple[str, bytes]]:
         elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
             yield "xmp", body[29:]
         elif marker in (0xC0, 0xC1, 0xC2) and len(body) >= 5:
-            yield "size", body[1:5]
+            yield "size", struct.pack(">II", *struct.unpack(">HH", body[1:5]))
         at += 2 + size
 
 
@@ -114,7 +114,7 @@ def _png(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield "xmp", body[22:]
         elif kind == b"IHDR" and len(body) >= 8:
             width, height = struct.unpack(">II", body[:8])
-            yield "size", struct.pack(">HH", min(height, 65535), min(width, 65535))
+            yield "size", struct.pack(">II", height, width)
         at += 12 + size
 
 
@@ -130,8 +130,8 @@ def _webp(data: bytes) -> Iterator[tuple[str, bytes]]:
         at += 8 + size + size % 2
 
 
-def blocks(data: bytes) -> Iterator[tuple[str, bytes]]:
-    """The EXIF, XMP and size blocks of a file, by its first bytes."""
+def blocks(data: bytes, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
+    """The EXIF, XMP and size blocks of a file, by its first bytes; in a sidecar the packet may stand anywhere outside comments."""
     if data.startswith(b"\xff\xd8"):
         yield from _jpeg(data)
     elif data.startswith(b"\x89PNG\r\n\x1a\n"):
@@ -142,23 +142,27 @@ def blocks(data: bytes) -> Iterator[tuple[str, bytes]]:
         yield "exif", data
     elif data.startswith((b"GIF87a", b"GIF89a")) and len(data) >= 10:
         width, height = struct.unpack_from("<HH", data, 6)
-        yield "size", struct.pack(">HH", height, width)
+        yield "size", struct.pack(">II", height, width)
     elif data.startswith(b"BM") and len(data) >= 26:
         width, height = struct.unpack_from("<ii", data, 18)
-        yield "size", struct.pack(">HH", abs(height) & 65535, width & 65535)
+        yield "size", struct.pack(">II", abs(height), abs(width))
+    elif sidecar:
+        plain = re.sub(rb"<!--.*?-->", b"", data, flags=re.S)
+        if packet := re.search(rb"<x:xmpmeta|<rdf:RDF", plain):
+            yield "xmp", plain[packet.start() :]
     elif b"<x:xmpmeta" in data[:512] or b"<rdf:RDF" in data[:2048]:
         yield "xmp", data
 
 
-def tags_of(data: bytes) -> Iterator[Tag]:
-    for kind, body in blocks(data):
+def tags_of(data: bytes, sidecar: bool = False) -> Iterator[Tag]:
+    for kind, body in blocks(data, sidecar):
         try:
             if kind == "exif":
                 yield from exif_tags(body)
             elif kind == "xmp":
                 yield from xmp_tags(body.decode("utf-8", "replace"))
             else:
-                height, width = struct.unpack(">HH", body)
+                height, width = struct.unpack(">II", body)
                 yield "File", "ImageSize", f"{width}x{height}"
         except (struct.error, IndexError):
             continue
@@ -169,7 +173,7 @@ def read_tags(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p.as_py(), k, *t) for p, data in zip(batch.column(0), batch.column(1), strict=True) for k, t in enumerate(tags_of(data.as_py()))]
+            rows = [(p.as_py(), k, *t) for p, data in zip(batch.column(0), batch.column(1), strict=True) for k, t in enumerate(tags_of(data.as_py(), p.as_py().lower().endswith(".xmp")))]
             columns = list(zip(*rows, strict=True)) if rows else [()] * 5
             kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ord", "group", "name", "value"])
