@@ -2,30 +2,38 @@
 
 Fingerprints within k bits, cut into more than k / 2 segments, have a segment in which they differ
 by one bit at most. So each segment is indexed once per bit with that bit deleted (a wildcard), and
-an equality join on the variants finds every such pair; the full distance then verifies it.
-
-A variant shared by many fingerprints would make all pairs of them. Instead each is first verified
-against a few hubs of its variant and those links are closed to components; then only what lies outside
-a variant's largest component is compared with the rest, which finds every remaining link.
+an equality join on the variants finds every such pair; the full distance then verifies it. Many
+fingerprints need longer signatures: several of more, shorter segments together, chosen so that they
+too differ by one bit at most.
+
+The equality join is an aggregation: the two or three members of a variant come out of its least, its
+greatest and the exclusive or of all, and are verified where they were added up. A variant with more
+members would make all pairs of them. Those are first verified against one of them and the links closed
+to components; what is still in several components is indexed again by longer signatures, and in the end
+what lies outside a variant's largest component is compared with the rest. No link is lost on any way.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._bytes import mix
 from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
 
-#: Up to so many comparisons of fingerprints are made at once; beyond, more hubs shrink the work first.
+BITS = 64
+#: Ways to sign a fingerprint, from few and short variants to many and long ones: segments cut, segments taken together.
+PLANS = ((3, 1), (5, 2), (6, 3), (7, 4))
+#: The first way is the one by which chance alone puts no more than so many fingerprints into a variant.
+MOST_BY_CHANCE = 0.5
+#: Up to so many comparisons are made at once in the end; beyond, more hubs shrink the work first, in this many rounds at most.
 MOST_COMPARISONS = 20_000_000
-#: Lengths of the segments of one 64-bit fingerprint.
-SEGMENTS = (22, 21, 21)
+MOST_ROUNDS = 4
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -47,136 +55,159 @@ def majority(hashes: np.ndarray, block: int = 1 << 15) -> int:
     """The bits set in over half the hashes, as an unsigned integer."""
     if not len(hashes):
         return 0
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros(BITS, np.int64)
     for k in range(0, len(hashes), block):
         part = hashes[k : k + block].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int((1 << np.flatnonzero(2 * counts > len(hashes)).astype(object)).sum()) if (2 * counts > len(hashes)).any() else 0
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, words: int, number: int = 1, text_column: str = "text") -> DataFrame:
-    """Adds f0..f{number-1}: signed longs with the bits of independent fingerprints, all of them from one hash per shingle."""
-    names = [f"f{k}" for k in range(number)]
+def fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """For docs (id, text): id and f, the fingerprint's bits as a signed long."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[int]] = [[] for _ in names]
-            for text in batch.column(1):
-                hashes = shingle_hashes(text.as_py(), words)
-                for k, column in enumerate(out):
-                    column.append(majority(mix(hashes + np.uint64(k)) if k else hashes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.array(c, np.uint64).view(np.int64)) for c in out)], names=["i", *names])
-
-    others = [c for c in docs.columns if c != text_column]
-    narrow = docs.select(F.struct(*others).alias("i"), F.col(text_column).alias("t"))
-    done = narrow.mapInArrow(task, f"i {narrow.schema['i'].dataType.simpleString()}, " + ", ".join(f"{n} long" for n in names))
-    return done.select("i.*", *names)
-
-
-def _variants(f: str, which: int, segments: tuple[int, ...] = SEGMENTS) -> Column:
-    """The keys of one fingerprint: which segment, which bit is deleted, and the other bits of the segment."""
-    parts, low = [], 0
-    for s, width in enumerate(segments):
-        value = f"(shiftrightunsigned({f}, {low}) & {(1 << width) - 1}L)"
-        tag = which * len(segments) + s
-        parts.append(
-            F.expr(
-                f"transform(sequence(0, {width - 1}), p -> shiftleft({tag}L, 40) | shiftleft(cast(p as long), 32)"
-                f" | shiftleft(shiftrightunsigned({value}, p + 1), p) | ({value} & (shiftleft(1L, p) - 1L)))"
-            )
-        )
-        low += width
-    return F.concat(*parts)
-
-
-def _mask(turn: int) -> Column:
-    """A mask by key and turn: the least value under it is a different member for each key and turn."""
-    return F.xxhash64("key", F.lit(turn))
+            prints = [majority(shingle_hashes(text.as_py(), words)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["id", "f"])
+
+    docs = docs.select("id", "text")
+    return docs.mapInArrow(task, f"id {docs.schema['id'].dataType.simpleString()}, f long")
+
+
+def suits(plan: tuple[int, int], most_bits: int) -> bool:
+    """Whether, wherever most_bits differing bits fall, some choice of the plan's segments has one of them at most."""
+    cut, taken = plan
+    return taken * (most_bits // cut) + max(0, taken - (cut - most_bits % cut)) <= 1
+
+
+def masks(plan: tuple[int, int]) -> list[int]:
+    """The bits of each choice of segments, as unsigned integers."""
+    cut, taken = plan
+    edges = [BITS * k // cut for k in range(cut + 1)]
+    segments = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(chosen) for chosen in combinations(segments, taken)]
+
+
+def first_plan(number: int, most_bits: int) -> int:
+    """The place in PLANS of the way by which so many different fingerprints are to be signed first."""
+    fitting = [k for k, plan in enumerate(PLANS) if suits(plan, most_bits)]
+    if not fitting:
+        raise ValueError(f"no plan finds every pair within {most_bits} bits")
+    return next((k for k in fitting if number / 2 ** (BITS * PLANS[k][1] // PLANS[k][0] - 1) <= MOST_BY_CHANCE), fitting[-1])
+
+
+def variants(prints: DataFrame, plan: tuple[int, int]) -> DataFrame:
+    """(key, f): a row for each choice of segments and each of its bits, the key being the choice, the bit and the other bits' values."""
+    rows = [(number << 6 | bit, mask & ~(1 << bit)) for number, mask in enumerate(masks(plan)) for bit in range(BITS) if mask >> bit & 1]
+    deletions = F.array(*(F.struct(F.lit(tag).alias("tag"), F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long").alias("mask")) for tag, m in rows))
+    dealt = prints.select("f").repartition(partitions(prints.sparkSession), "f")  # a row becomes dozens
+    return dealt.select("f", F.explode(deletions).alias("d")).select(F.xxhash64(F.col("d.tag"), F.col("f").bitwiseAND(F.col("d.mask"))).alias("key"), "f")
+
+
+def _close(x: Column, y: Column, most_bits: int) -> Column:
+    return (F.bit_count(x.bitwiseXOR(y)) <= most_bits) & (x != y)
+
+
+def _near_pairs(most_bits: int) -> Column:
+    """The close pairs of a variant of two or three members, from its lo, hi and every (the exclusive or)."""
+    lo, hi = F.col("lo"), F.col("hi")
+    third = lo.bitwiseXOR(hi).bitwiseXOR(F.col("every"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    pairs = F.when(F.col("size") == 2, F.array(pair(lo, hi))).when(F.col("size") == 3, F.array(pair(lo, hi), pair(lo, third), pair(hi, third)))
+    return F.filter(pairs, lambda p: _close(p["a"], p["b"], most_bits))
 
 
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, component, ...) of keys that hold more than one component."""
-    keys = rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key")
+    keys = kept(rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key"), "mixed-keys")
     return kept(rows.join(keys, "key", "left_semi"), "mixed-rows")
 
 
-def link_classes(classes: DataFrame, most_bits: int, check_bits: int, hubs: int = 4) -> DataFrame:
-    """Components of fingerprint classes (node long, f0.. long) linked at most_bits or fewer over all fingerprints.
+def _star_links(rows: DataFrame, hubs: Column, most_bits: int) -> DataFrame:
+    """(a, b) of rows (f, ...) and those of their hubs that are close."""
+    near = F.filter(hubs, lambda h: _close(h, F.col("f"), most_bits))
+    return rows.select("f", F.explode(near).alias("hub")).select(F.least("f", "hub").alias("a"), F.greatest("f", "hub").alias("b"))
+
+
+def _remaining_links(crowd: DataFrame, major: DataFrame, most_bits: int, per_block: int = 5_000_000) -> DataFrame:
+    """(a, b) of the close pairs of two components in crowd (key, f, component): all outside a key's largest component against all of the key.
 
-    With one fingerprint, no link is lost if most_bits is less than twice the segments. With more, a pair is a candidate where one
-    segment differs by one bit at most and the next fingerprint by check_bits at most; then all bits verify it.
+    A key with many comparisons to make is cut into blocks, which go to different tasks.
     """
-    names = [c for c in classes.columns if c != "node"]
-    n = len(names)
-    rows = None
-    classes = classes.repartition(partitions(classes.sparkSession), "node")  # a row becomes dozens
-    for k, f in enumerate(names):
-        part = classes.select("node", F.col(names[(k + 1) % n]).alias("check"), F.explode(_variants(f, k)).alias("key"))
-        rows = part if rows is None else rows.unionByName(part)
-    order = F.col("check").bitwiseXOR(_mask(0))
-    one = rows.groupBy("key").agg(F.count("*").alias("size"), F.min_by("node", order).alias("hub"), F.min(order).alias("order")).where("size > 1")
-    one = one.select("key", "size", "hub", F.col("order").bitwiseXOR(_mask(0)).alias("hub_check"))
-    near = F.bit_count(F.col("check").bitwiseXOR(F.col("hub_check"))) <= check_bits
-    # with two members the hub's test is the only one there is
-    shared = kept(rows.join(one, "key").select("key", "node", "check", "hub", near.alias("near"), "size").where("(near AND node != hub) OR size > 2"), "shared-variants")
-
-    fitted = classes.select("node", F.array(*names).alias("bits"))
-    within = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v) <= most_bits
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct()
-        if n == 1 and check_bits <= most_bits:
-            return pairs
-        a, b = fitted.toDF("a", "a_bits"), fitted.toDF("b", "b_bits")
-        return pairs.join(a, "a").join(b, "b").where(within(F.col("a_bits"), F.col("b_bits"))).select("a", "b")
-
-    first = kept(verified(shared.where("near AND node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))), "hub-links")
-    labels = kept(components(first), "hub-components")
-
-    # variants whose members are not one component yet get some more hubs each, so that a large group is one component before pairs are made
-    crowded = mixed(shared.where("size > 2").select("key", "node", "check").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    sizes = crowded.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
-    comparisons = sizes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-    more = first.limit(0)
-    if comparisons > MOST_COMPARISONS:
-        turns = range(1, hubs + 1)
-        chosen = [f for t in turns for f in (F.min_by("node", F.col("check").bitwiseXOR(_mask(t))).alias(f"h{t}"), F.min(F.col("check").bitwiseXOR(_mask(t))).alias(f"o{t}"))]
-        several = crowded.groupBy("key").agg(*chosen)
-        several = several.select("key", F.array(*(F.struct(F.col(f"h{t}").alias("hub"), F.col(f"o{t}").bitwiseXOR(_mask(t)).alias("check")) for t in turns)).alias("hubs"))
-        close = F.filter("hubs", lambda h: (h["hub"] != F.col("node")) & (F.bit_count(F.col("check").bitwiseXOR(h["check"])) <= check_bits))
-        stars = crowded.join(kept(several, "more-hubs"), "key").select("node", F.explode(F.array_distinct(F.transform(close, lambda h: h["hub"]))).alias("hub"))
-        more = kept(verified(stars.select(F.col("node").alias("a"), F.col("hub").alias("b"))), "more-hub-links")
-        if not more.isEmpty():
-            labels = kept(components(first.unionByName(more)), "more-hub-components")
-            crowded = mixed(crowded.drop("component").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-
-    # what is outside a variant's largest component is compared with all of it; within a component there is nothing left to find
-    known = kept(crowded.select("key", "node", "component").join(fitted, "node"), "crowded")
-    major = known.groupBy("key", "component").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"))
-    minor = known.join(kept(major, "major-components"), "key").where("component != major").alias("x")
-    met = minor.join(known.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & within(F.col("x.bits"), F.col("y.bits")))
-    second = kept(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "last-links")
-    return labels if second.isEmpty() else components(first.unionByName(more).unionByName(second))
-
-
-def classed(docs: DataFrame, words: int, most_bits: int, number: int, check_bits: int | None, text_column: str) -> DataFrame:
-    """Every row's other columns, f0.. and component: a number that the rows of one group share."""
-    names = [f"f{k}" for k in range(number)]
-    prints = kept(fingerprints(docs, words, number, text_column).withColumn("row", F.monotonically_increasing_id()), "fingerprints")
-    classes = kept(prints.groupBy(*names).agg(F.min("row").alias("node")), "classes")
-    linked = link_classes(classes.select("node", *names), most_bits, most_bits if check_bits is None else check_bits)
-    labelled = kept(classes.join(linked, "node", "left").select(*names, F.coalesce("component", "node").alias("component")), "labelled-classes")
-    return kept(prints.drop("row").join(labelled, names), "labelled-rows")
-
-
-def near_duplicates(docs: DataFrame, words: int, most_bits: int, number: int = 1, check_bits: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: id, f0.. and component_id, the least id among the documents reachable over links.
+    blocks = F.ceil((F.col("all") - F.col("most")) * F.col("all") / per_block)
+    cut = kept(major.select("key", "major", blocks.cast("int").alias("blocks")), "blocks")
+    both = crowd.join(cut, "key")
+    x = both.where("component != major").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).alias("x")
+    y = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
+    met = x.join(y, apart & _close(F.col("x.f"), F.col("y.f"), most_bits))
+    return met.select(F.least("x.f", "y.f").alias("a"), F.greatest("x.f", "y.f").alias("b"))
+
+
+def _with_components(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components (node, component) of the links, and the rows (key, f) of keys that hold several of them, with component."""
+    labels = kept(components(links), "components")
+    own = rows.select("key", "f").join(labels.select(F.col("node").alias("f"), "component"), "f", "left")
+    return labels, mixed(own.withColumn("component", F.coalesce("component", "f")))
+
+
+def _shares(crowd: DataFrame) -> tuple[DataFrame, int]:
+    """For each key of crowd its largest component, that one's size and the size of all; and the comparisons they leave."""
+    sizes = crowd.groupBy("key", "component").agg(F.count("*").alias("n"))
+    major = kept(sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("all")), "largest-components")
+    left = major.agg(F.sum((F.col("all") - F.col("most")) * F.col("all").cast("decimal(38,0)"))).first()[0]
+    return major, int(left or 0)
+
+
+def link(prints: DataFrame, most_bits: int) -> DataFrame:
+    """Components (node, component) of the distinct fingerprints f that have a partner within most_bits; the others have no row."""
+    place = first_plan(prints.count(), most_bits)
+    links = None
+    while True:
+        signed = variants(prints, PLANS[place])
+        turned = F.col("f").bitwiseXOR(F.col("key"))  # the least and greatest of these are other members for each key
+        groups = signed.groupBy("key").agg(F.count("*").alias("size"), F.min(turned).alias("lo"), F.max(turned).alias("hi"), F.bit_xor("f").alias("every")).where("size > 1")
+        groups = groups.select("key", "size", F.col("lo").bitwiseXOR(F.col("key")).alias("lo"), F.col("hi").bitwiseXOR(F.col("key")).alias("hi"), "every")
+        groups = kept(groups.withColumn("near", _near_pairs(most_bits)).where("size > 3 OR size(near) > 0"), "variant-groups")
+        keys = groups.where("size > 3").select("key", "lo", "hi")
+        rows = kept(signed.join(keys, "key"), "crowded-variants")
+        found = groups.select(F.inline("near")).unionByName(_star_links(rows, F.array("lo", "hi"), most_bits)).distinct()
+        links = kept(found if links is None else links.unionByName(found).distinct(), "links")
+        labels, crowd = _with_components(rows, links)
+        major, left = _shares(crowd)
+        last = place + 1 == len(PLANS)
+        for turn in range(1, MOST_ROUNDS + 1):
+            if not last or left <= MOST_COMPARISONS:
+                break
+            turned = F.col("f").bitwiseXOR(F.xxhash64("key", F.lit(turn)))
+            hubs = kept(crowd.groupBy("key").agg(F.min_by("f", turned).alias("hub")), "more-hubs")
+            links = kept(links.unionByName(_star_links(crowd.join(hubs, "key"), F.array("hub"), most_bits)).distinct(), "links")
+            labels, crowd = _with_components(crowd, links)
+            major, left = _shares(crowd)
+        if not left:
+            return labels
+        if last or left <= MOST_COMPARISONS:
+            more = kept(_remaining_links(crowd, major, most_bits).distinct(), "last-links")
+            return labels if more.isEmpty() else components(links.unionByName(more))
+        # both ends of a link not found yet stand in crowd: those fingerprints are signed again, at more length
+        prints, place = kept(crowd.select("f").distinct(), "prints-to-sign-again"), place + 1
+
+
+def near_duplicates(docs: DataFrame, words: int, most_bits: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per document: id, f (the fingerprint as a signed long) and component_id, the least id among the documents reachable over links.
 
     Texts without words have fingerprint zero and link like any other; a null id takes part but is never a component's id (null if
-    the whole component has none); repeated rows each get a row; other columns are ignored; an empty table gives no rows. Copies meet in
-    one class before anything is paired.
+    the whole component has none); repeated rows each get a row; other columns are ignored; an empty table gives no rows. Texts of one
+    fingerprint meet in one class before anything is paired. How many fingerprints there are decides only how they are signed.
     """
-    names = [f"f{k}" for k in range(number)]
-    rows = classed(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), words, most_bits, number, check_bits, "text")
-    least = kept(rows.groupBy("component").agg(F.min("id").alias("component_id")), "least-ids")
-    return rows.join(least, "component").select(F.col("id").alias(id_column), *names, "component_id")
+    named = docs.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    prints = kept(fingerprints(named, words), "fingerprints")
+    classes = kept(prints.groupBy("f").agg(F.min("id").alias("least")), "classes")
+    linked = kept(link(classes, most_bits), "linked-classes")
+    grouped = classes.join(linked.select(F.col("node").alias("f"), "component"), "f")
+    grouped = kept(grouped, "grouped-classes")
+    least = kept(grouped.groupBy("component").agg(F.min("least").alias("component_id")), "least-ids")
+    named_classes = kept(grouped.join(least, "component").select("f", "component_id", F.lit(True).alias("grouped")), "named-classes")
+    labelled = classes.join(named_classes, "f", "left").select("f", F.when(F.col("grouped"), F.col("component_id")).otherwise(F.col("least")).alias("component_id"))
+    rows = prints.join(kept(labelled, "labelled-classes"), "f")
+    return rows.select(F.col("id").alias(id_column), "f", "component_id")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.components import components
 from quarry.llm.recompression import remove_repeats
-from quarry.llm.simhash import near_duplicates
+from quarry.llm.simhash import PLANS, link, masks, near_duplicates, suits
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -88,21 +88,57 @@ def brute_components(prints: list[int], bits: int) -> list[int]:
     return [find(x) for x in range(len(prints))]
 
 
-@pytest.mark.parametrize("comparisons", [20_000_000, 0])
-def test_near_duplicates(spark, monkeypatch, comparisons):
-    monkeypatch.setattr("quarry.llm.simhash.MOST_COMPARISONS", comparisons)  # with more hubs, and without
+@pytest.mark.parametrize(("by_chance", "comparisons"), [(0.5, 20_000_000), (0.5, 0), (1e-6, 20_000_000), (1e-9, 0)])
+def test_near_duplicates(spark, monkeypatch, by_chance, comparisons):
+    monkeypatch.setattr("quarry.llm.simhash.MOST_COMPARISONS", comparisons)  # with longer signatures and more hubs, and without
+    monkeypatch.setattr("quarry.llm.simhash.MOST_BY_CHANCE", by_chance)  # signed first as few and as many fingerprints are
     texts = corpus(3, 250)
     base = " ".join(f"word{k}" for k in range(400)).split()
     for k in range(60):  # a group of near copies, linked in chains
         base[(7 * k) % 400] = f"new{k}"
         texts.append(" ".join(base).upper() if k % 2 else " ".join(base))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 as id", "'x' as f0", "2 as node")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).selectExpr("*", "1 as id", "'x' as f", "2 as node", "3 as component_id")
     prints = [brute_fingerprint(t, 4) for t in texts]
     got = sorted(map(tuple, near_duplicates(docs, words=4, most_bits=4).collect()))
     assert [g[1] % 2**64 for g in got] == prints
     assert [g[2] for g in got] == brute_components(prints, 4)
 
 
+def linked(spark, prints: list[int]) -> list[int]:
+    signed = [p - 2**64 if p >> 63 else p for p in prints]
+    found = {r["node"]: r["component"] for r in link(spark.createDataFrame([(p,) for p in signed], "f long"), 4).collect()}
+    groups: dict[int, int] = {}
+    return [groups.setdefault(found.get(p, p), k) for k, p in enumerate(signed)]
+
+
+@pytest.mark.parametrize("comparisons", [20_000_000, 0])
+def test_links_of_fingerprints(spark, monkeypatch, comparisons):
+    """Random fingerprints, edits of up to six bits, and a crowd that agrees in half its bits; members that come and go change no other link."""
+    monkeypatch.setattr("quarry.llm.simhash.MOST_COMPARISONS", comparisons)
+    rng = random.Random(9)
+    prints = [rng.getrandbits(64) for _ in range(150)]
+    prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for p in prints]
+    prints += [0xABCDEF01 << 32 | rng.getrandbits(32) for _ in range(150)]
+    prints += [prints[-1] ^ sum(1 << b for b in rng.sample(range(22, 40), 2)) for _ in range(20)]
+    prints = list(dict.fromkeys(prints))
+    assert linked(spark, prints) == brute_components(prints, 4)
+    two = [5, 5 ^ 0b11 ^ 1 << 40 ^ 1 << 63]
+    assert linked(spark, two) == [0, 0]
+    assert linked(spark, [*two, 5 ^ 0xFFFF << 21, 5 ^ 0xFFF0 << 30])[:2] == [0, 0]
+
+
+@pytest.mark.parametrize("bits", [2, 3, 4])
+def test_plans(bits):
+    rng = random.Random(bits)
+    for plan in PLANS:
+        assert suits(plan, bits)
+        assert len(set(masks(plan))) == len(masks(plan))
+        for _ in range(2000):
+            differing = sum(1 << b for b in rng.sample(range(64), bits))
+            assert any((differing & m).bit_count() <= 1 for m in masks(plan))
+    assert not suits((3, 1), 6) and not suits((2, 1), 4)
+
+
 def test_near_duplicates_with_odd_rows(spark):
     docs = spark.createDataFrame([(5, "a b"), (5, "a b"), (None, "a b"), (7, None), (8, ""), (None, "alone here")], "doc_id long, text string")
     got = sorted([(r["doc_id"], r["component_id"]) for r in near_duplicates(docs, 4, 4).collect()], key=str)
@@ -110,21 +146,6 @@ def test_near_duplicates_with_odd_rows(spark):
     assert near_duplicates(docs.limit(0), 4, 4).count() == 0
 
 
-def test_several_fingerprints_link_near_copies_only(spark):
-    rng = random.Random(1)
-    rows, k = [], 0
-    for _ in range(40):
-        words = [f"w{rng.randint(0, 9999)}" for _ in range(400)]
-        for _ in range(2):
-            rows.append((k, " ".join(words)))
-            k += 1
-            for _ in range(4):
-                words[rng.randrange(400)] = "other"
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 44, number=4, check_bits=20).collect()}
-    assert all(c // 2 == d // 2 for d, c in got.items())
-    assert sum(c % 2 == 0 for c in got.values()) >= 78
-
-
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, k) for k in range(4000, 4100)] + [(7, 7), (None, 3)]
