@@ -1,15 +1,17 @@
 """WARC archives: a writer, and a reader that salvages what it can.
 
-The writer makes one record per page, each a gzip member of its own, in files of a bounded number of
-records, through Spark's file writer. The reader walks each file record by record. Where a check fails
-(a member's checksum, a header, a length, a payload's digest), it looks for the next place where a whole
-valid member or record starts, goes on from there, and reports the bytes between as a gap.
+The writer makes one record per page, each a gzip member of its own, in files of bounded size, through
+Spark's file writer. The reader walks each file record by record. Where a check fails (a member's
+checksum, a header, a length, a payload's digest), it looks for the next place where a valid member or
+record starts, goes on from there, and reports the bytes between as a gap. Inside a member it does the
+same with the inflated bytes, and of a damaged member it keeps the records that were inflated before the damage.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -20,58 +22,110 @@ from pyspark.sql import functions as F
 
 from quarry.llm._tables import kept, new_path
 
-MAGIC, VERSION, END = b"\x1f\x8b\x08", b"WARC/1.", b"\r\n\r\n"
+MAGIC, END = b"\x1f\x8b\x08", b"\r\n\r\n"
+VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
+#: Where a member or a record may start.
+START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
+#: Fixed bounds: bytes of a record's header, and of one member's content.
+MOST_HEADER, MOST_CONTENT = 1 << 16, 1 << 30
 #: A gzip member without content: the writer's separator between members. Readers skip it.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 0x08, 0, 0, 0, 0, 0, 0, 0xFF, 0x03, 0, 0, 0, 0, 0, 0, 0, 0, 0])
-RECORD_SCHEMA = "path string, start long, length long, kind string, reason string, record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
+RECORD_SCHEMA = "path string, start long, length long, inner_start long, inner_length long, kind string, reason string, record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
 class Piece(NamedTuple):
-    """A record (headers and block) or, with headers None, a gap."""
+    """A record (headers and block) or, with headers None, a gap.
+
+    start and length are bytes of the file: of the plain record, of the whole member, or of the gap; length is 0 for a record out of a
+    damaged member, whose bytes are in the gap that follows. inner is the place and length in a member's content, None outside members.
+    """
 
     start: int
     length: int
     headers: dict[str, str] | None
     block: bytes
     reason: str
+    inner: tuple[int, int] | None = None
 
 
 class Broken(ValueError):
     pass
 
 
-def _member(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int]:
-    """The content and end of the gzip member at a place."""
-    inflate, out, fed = zlib.decompressobj(31), [], at
-    try:
-        while not inflate.eof:
-            if fed >= len(data):
-                raise Broken("member cut off")
+def _deflated(data: bytes, at: int) -> int:
+    """Where the compressed bytes of the gzip member at a place begin."""
+    flags, start = data[at + 3 : at + 4], at + 10
+    if len(data) < start or flags[0] & 0xE0:
+        raise Broken("member cut off" if len(data) < start else "member damaged")
+    if flags[0] & 4:
+        start += 2 + int.from_bytes(data[start : start + 2], "little")
+    for bit in (8, 16):  # a name and a comment end with a zero byte
+        if flags[0] & bit:
+            start = data.find(b"\0", start, start + MOST_HEADER) + 1
+            if not start:
+                raise Broken("member damaged")
+    return start + (2 if flags[0] & 2 else 0)
+
+
+def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
+    """The content of the gzip member at a place, its end, and what is wrong with it: nothing, or the content and end are those before the damage."""
+    inflate, out, size, fed = zlib.decompressobj(-15), [], 0, _deflated(data, at)
+    while not inflate.eof:
+        if fed >= len(data):
+            return b"".join(out), len(data), "member cut off"
+        if size > MOST_CONTENT:
+            return b"".join(out), fed, "member too large"
+        before = inflate.copy()
+        try:
             out.append(inflate.decompress(data[fed : fed + step]))
-            fed += step
-    except zlib.error:
-        raise Broken("member damaged") from None
-    return b"".join(out), min(fed, len(data)) - len(inflate.unused_data)
+        except zlib.error:
+            for k in range(fed, min(fed + step, len(data))):  # byte by byte to the damage
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    return b"".join(out), k, "member damaged"
+            return b"".join(out), fed + step, "member damaged"
+        size += len(out[-1])
+        fed += step
+    content, end = b"".join(out), min(fed, len(data)) - len(inflate.unused_data)
+    if data[end : end + 8] != struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF):
+        return content, end, "member cut off" if end + 8 > len(data) else "member checksum wrong"
+    return content, end + 8, ""
+
+
+def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
+    """The header of the record at a place, line by line up to the empty one, and where its block begins."""
+    version = VERSION.match(data, at)
+    if version is None:
+        raise Broken("no header")
+    headers: dict[str, str] = {}
+    name, line = "", version.end()
+    while True:
+        stop = data.find(b"\r\n", line, at + MOST_HEADER)
+        if stop < 0:
+            raise Broken("header damaged")
+        if stop == line:
+            return headers, stop + 2
+        try:
+            text = data[line:stop].decode()
+        except UnicodeDecodeError:
+            raise Broken("header damaged") from None
+        if text[0] in " \t" and name:  # goes on with the line before
+            headers[name] += " " + text.strip()
+        else:
+            name, colon, value = text.partition(":")
+            if not colon:
+                raise Broken("header damaged")
+            name = name.strip().lower()
+            headers[name] = value.strip()
+        line = stop + 2
 
 
 def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """The headers, block and end of the plain record at a place, all checks made."""
-    stop = data.find(END, at)
-    if not data.startswith(VERSION, at) or stop < 0:
-        raise Broken("no header")
-    try:
-        lines = data[at:stop].decode().split("\r\n")
-    except UnicodeDecodeError:
-        raise Broken("header damaged") from None
-    headers = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(":")
-        if not colon:
-            raise Broken("header damaged")
-        headers[name.strip().lower()] = value.strip()
+    headers, first = _headers(data, at)
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")) or "warc-type" not in headers:
         raise Broken("header damaged")
-    first = stop + len(END)
     last = first + int(headers["content-length"])
     if data[last : last + len(END)] != END:
         raise Broken("length wrong")
@@ -88,38 +142,64 @@ def payload_of(block: bytes) -> bytes:
     return body if end and head.startswith(b"HTTP/") else block
 
 
-def _at(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """The records that start at a place (a member may hold several) and their end."""
-    if data.startswith(MAGIC, at):
-        content, end = _member(data, at)
-        records, inner = [], 0
-        while inner < len(content):
-            headers, block, inner = _record(content, inner)
-            records.append((headers, block))
-        return records, end
-    headers, block, end = _record(data, at)
-    return [(headers, block)], end
+def salvage_plain(data: bytes) -> Iterator[Piece]:
+    """Records and gaps of a member's content, or of any bytes without members, in order; they cover every byte once."""
+    at, lost, reason = 0, -1, ""
+    while at < len(data):
+        try:
+            headers, block, end = _record(data, at)
+        except Broken as e:
+            if lost < 0:
+                lost, reason = at, str(e)
+            found = VERSION.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if lost >= 0:
+            yield Piece(lost, at - lost, None, b"", reason)
+            lost = -1
+        yield Piece(at, end - at, headers, block, "")
+        at = end
+    if lost >= 0:
+        yield Piece(lost, len(data) - lost, None, b"", reason)
 
 
 def salvage(data: bytes) -> Iterator[Piece]:
-    """Records and gaps of an archive in order; together with empty members they cover every byte once."""
+    """Records and gaps of an archive in order; together with empty members they cover every byte.
+
+    A whole member's records and the gaps in its content all carry the member's place. A damaged member's records before the damage
+    come first, then the gap, which goes on to the next valid member or record.
+    """
     at, lost, reason = 0, -1, ""
+    known: set[bytes] = set()  # records out of the damaged member, which may also stand in its bytes as they are
     while at < len(data):
+        pieces, end, wrong = [], at, ""
         try:
-            if not data.startswith((MAGIC, VERSION), at):
-                raise Broken("no member or version line")
-            records, end = _at(data, at)
+            if data.startswith(MAGIC, at):
+                content, end, wrong = _inflate(data, at)
+                pieces = [p._replace(start=at, length=end - at, inner=(p.start, p.length)) for p in salvage_plain(content)]
+            else:
+                headers, block, end = _record(data, at)
+                pieces = [Piece(at, end - at, headers, block, "")]
         except Broken as e:
+            wrong = str(e) if data.startswith(MAGIC, at) or VERSION.match(data, at) else "no member or version line"
+        if wrong:
+            for p in pieces:
+                if p.headers is not None:
+                    known.add(hashlib.sha256(repr(p.headers).encode() + p.block).digest())
+                    yield p._replace(length=0)
             if lost < 0:
-                lost, reason = at, str(e)
-            places = [p for p in (data.find(MAGIC, at + 1), data.find(VERSION, at + 1)) if p >= 0]
-            at = min(places, default=len(data))
+                lost, reason = at, wrong
+            found = START.search(data, at + 1)
+            at = found.start() if found else len(data)
+            continue
+        if lost >= 0 and pieces and pieces[0].headers is not None and hashlib.sha256(repr(pieces[0].headers).encode() + pieces[0].block).digest() in known:
+            at = end  # part of the gap, and given already
             continue
         if lost >= 0:
             yield Piece(lost, at - lost, None, b"", reason)
             lost = -1
-        for headers, block in records:
-            yield Piece(at, end - at, headers, block, "")
+            known.clear()
+        yield from pieces
         at = end
     if lost >= 0:
         yield Piece(lost, len(data) - lost, None, b"", reason)
@@ -140,13 +220,15 @@ def deduplicated(pages: DataFrame, least: int = 100) -> DataFrame:
     return joined.select("id", "url", "html", "digest", "bytes", F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 100, records_per_file: int = 2000) -> None:
+def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", least: int = 100, chunk_bytes: int = 1 << 22, chunks_per_file: int = 32) -> None:
     """Writes a record per page: response, or revisit of the page with the least id among those of equal payload.
 
+    Members are put together up to chunk_bytes, a larger one alone, and a file takes chunks_per_file of these chunks: 128 MB, or more where single members are larger than a chunk.
+
     A null html is an empty payload; payloads under `least` bytes are always responses; a null id is never referred to, and refers to a page that
     has one; pages with the same id and payload are all responses; a null url has no target line; other columns are ignored.
     """
-    narrow = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).cast("string").alias("html"))
+    narrow = pages.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{url_column}`").alias("url"), F.col(f"`{html_column}`").cast("string").alias("html"))
     rows = deduplicated(narrow, least)
     again = F.col("refers_to").isNotNull()
     name = lambda c: F.concat(F.lit("<urn:page:"), F.col(c).cast("string"), F.lit(">"))
@@ -166,46 +248,68 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url_
     )
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = [], 0
         for batch in batches:
-            out = []
             for record in batch.column(0):
                 deflate = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.append(deflate.compress(record.as_py()) + deflate.flush())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["member"])
-
-    members = rows.select(F.concat(head, block, F.lit("\r\n\r\n")).cast("binary").alias("record")).mapInArrow(task, "member binary")
+                member = deflate.compress(record.as_py()) + deflate.flush()
+                if chunk and size + len(member) > chunk_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)], pa.binary())], names=["chunk"])
+                    chunk, size = [], 0
+                chunk.append(member)
+                size += len(member)
+        if chunk:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(chunk)], pa.binary())], names=["chunk"])
+
+    chunks = rows.select(F.concat(head, block, F.lit("\r\n\r\n")).cast("binary").alias("record")).mapInArrow(task, "chunk binary")
     # the text writer puts out a string's bytes unchanged, and this separator after each
-    writer = members.select(F.col("member").cast("string").alias("value")).write.option("maxRecordsPerFile", records_per_file)
+    writer = chunks.select(F.col("chunk").cast("string").alias("value")).write.option("maxRecordsPerFile", chunks_per_file)
     writer.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
-def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record (kind 'record') and per quarantined gap (kind 'gap', with its reason), as in RECORD_SCHEMA; start and length are bytes of the file.
+def _rows(path: str, content: bytes, payloads: bool) -> Iterator[tuple]:
+    """The rows of RECORD_SCHEMA of one archive."""
+    named = re.compile("<urn:page:(.*)>")
+    for p in salvage(content):
+        place = (path, p.start, p.length, *(p.inner or (None, None)))
+        h = p.headers
+        if h is None:
+            yield *place, "gap", p.reason, *[None] * 7
+            continue
+        response = h["warc-type"] == "response"
+        body = payload_of(p.block) if response else None
+        page, refers = (named.fullmatch(h.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
+        size = len(body) if response else int(h["x-payload-length"]) if re.fullmatch("[0-9]{1,15}", h.get("x-payload-length", "")) else None
+        digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
+        yield *place, "record", None, h["warc-type"], page and page[1], h.get("warc-target-uri"), digest, size, refers and refers[1], body if payloads else None
 
-    Plain and gzipped archives are read alike. Empty files give no rows. payload is null for gaps, for other types than response, and unless asked for.
+
+def read_archives(spark: SparkSession, path: str, payloads: bool = True, part_bytes: int = 1 << 24, part_rows: int = 10_000) -> DataFrame:
+    """A row per record (kind 'record') and per quarantined gap (kind 'gap', with its reason), as in RECORD_SCHEMA.
+
+    start and length are bytes of the file, inner_start and inner_length bytes of a member's content (null outside members); a record out of
+    a damaged member has length 0, its bytes being part of the gap. Plain and gzipped archives are read alike. Empty files give no rows. payload is null for gaps,
+    for other types than response, and unless asked for. A file is read whole and must be under 2 GB; its rows leave the task in parts.
     """
+    fields = [x.split(" ") for x in RECORD_SCHEMA.split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+    def part(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[kind]) for c, (_, kind) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = ["path", "start", "length", "kind", "reason", "record_type", "page_id", "uri", "payload_digest", "payload_bytes", "refers_to", "payload"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.int64(), pa.string(), pa.binary()]
-        named = re.compile("<urn:page:(.*)>")
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1), strict=True):
-                columns: list[list] = [[] for _ in fields]
-                for p in salvage(content.as_py()):
-                    h = p.headers
-                    if h is None:
-                        row = (path.as_py(), p.start, p.length, "gap", p.reason, *[None] * 7)
-                    else:
-                        response = h["warc-type"] == "response"
-                        body = payload_of(p.block) if response else None
-                        page, refers = (named.fullmatch(h.get(k, "")) for k in ("warc-record-id", "warc-refers-to"))
-                        size = len(body) if response else int(h["x-payload-length"]) if h.get("x-payload-length", "").isdigit() else None
-                        digest = h.get("warc-payload-digest", "").removeprefix("sha256:") or None
-                        row = (path.as_py(), p.start, p.length, "record", None, h["warc-type"], page and page[1], h.get("warc-target-uri"), digest, size, refers and refers[1], body if payloads else None)
-                    for column, value in zip(columns, row, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=fields)
+                rows, size = [], 0
+                for row in _rows(path.as_py(), content.as_py(), payloads):
+                    rows.append(row)
+                    size += len(row[-1] or b"")
+                    if size >= part_bytes or len(rows) >= part_rows:
+                        yield part(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield part(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(task, RECORD_SCHEMA)
 
