@@ -1,11 +1,13 @@
 """Quality rules whose cutoffs are chosen to limit the false rejection of good documents.
 
-Each rule rejects a document whose measure lies beyond a cutoff. For every stratum, rule and candidate
-cutoff, the good documents of the labelled holdout that it would reject are counted. The exact binomial
-test of 'its false rejection rate is over the limit' must reject that at a level corrected for all
-strata, rules and candidates tried together (Bonferroni); among the cutoffs that pass, the strictest is
-taken. So with probability 1 - delta, no rule in no stratum rejects more than its share of good documents,
-and all rules of a stratum together not more than alpha. Where too few labels can show that, a rule is off.
+A rule rejects a document whose measure lies beyond a cutoff. Settings are tried along paths fixed in advance: all
+rules tighten together, or all but one, or one alone, from lenient cutoffs to strict ones. For every stratum and
+setting the good documents of the labelled holdout that it would reject are counted, by whichever rule. The exact
+binomial test of 'its false rejection rate is over the limit' must reject that for a setting and for all that come
+before it on its path (fixed-sequence testing, which needs no correction within a path), at a level corrected for the
+number of strata and paths (Bonferroni). So with probability 1 - delta, no stratum has a safe setting that in truth
+rejects more than its share alpha of good documents, and any safe one may be taken: the one that rejects the most
+labelled documents that are not good. Where too few labels can show safety, the rules are off.
 
 All of it is DataFrame and SQL functions.
 """
@@ -54,7 +56,7 @@ def measures(docs: DataFrame, carry: dict[str, str], text_column: str = "text")
 
     Null is an empty text. Everything is computed within a row, whatever its length.
     """
-    text = docs.select(*(F.col(c).alias(new) for new, c in carry.items()), F.coalesce(text_column, F.lit("")).alias("_q_text"))
+    text = docs.select(*(F.col(f"`{c}`").alias(new) for new, c in carry.items()), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("_q_text"))
     split = text.withColumn("_q_words", F.expr(words_sql("_q_text")))
     lines = "filter(split(_q_text, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
     without = lambda letters: F.length("_q_text") - F.length(F.translate("_q_text", letters, ""))
@@ -96,32 +98,55 @@ def binomial_tail_sql(k: str, n: str, p: float) -> str:
     return f"aggregate(CASE WHEN {k} > 0 THEN sequence(1L, {k}) ELSE array() END, named_struct('t', {first}, 'sum', {first}), (a, i) -> {add}, a -> least(1D, exp(a.sum)))"
 
 
+def paths(rules: tuple[Rule, ...]) -> list[tuple[Rule, ...]]:
+    """The sets of rules that tighten together: all, all but one, each alone."""
+    several = [tuple(r for r in rules if r is not out) for out in rules] if len(rules) > 2 else []
+    return [rules, *several, *((r,) for r in rules if len(rules) > 1)]
+
+
+def setting(path: tuple[Rule, ...], step: int) -> dict[str, float]:
+    """Each rule's cutoff at a step; one with fewer cutoffs stays at its strictest."""
+    return {r.name: r.cutoffs[min(step, len(r.cutoffs) - 1)] for r in path}
+
+
 def choose_cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ...] = RULES, alpha: float = 0.02, delta: float = 0.05, good: str = "quality", id_column: str = "doc_id") -> DataFrame:
-    """(stratum, rule, cutoff) for the rules that are on.
+    """(stratum, cutoffs: a map from rule to cutoff) for the strata that have a safe setting which rejects any labelled document that is not good.
 
-    measured has id, stratum and measures(). The holdout is every document whose labels are all 1; a null stratum is one of its own.
+    measured has id, stratum and measures(). The holdout is every document whose labels are all 1; one with any other label is not good; null labels
+    and ids count for nothing; a null stratum is one of its own.
     """
-    sound = labels.groupBy(F.col(id_column).alias("id")).agg(F.min(good).alias("low"), F.max(good).alias("high")).where("low = 1 AND high = 1").select("id")
-    held = measured.join(sound, "id", "left_semi")
-    over = [F.count_if(F.expr(f"{r.measure} > {c!r}D")).alias(f"{r.name}_{k}") for r in rules for k, c in enumerate(r.cutoffs)]
-    counts = held.groupBy("stratum").agg(F.count("*").alias("n"), *over)
-    tried = sum(len(r.cutoffs) for r in rules)
-    rows = ", ".join(f"'{r.name}', {c!r}D, {k}, {r.name}_{k}" for r in rules for k, c in enumerate(r.cutoffs))
-    table = counts.select("stratum", "n", F.expr(f"stack({tried}, {rows}) AS (rule, cutoff, place, k)")).crossJoin(F.broadcast(counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))))
-    share = alpha / len(rules)
-    tail = F.expr(f"CASE WHEN k > n * {share!r}D THEN 1D ELSE {binomial_tail_sql('k', 'n', share)} END")
-    safe = table.where(tail <= F.lit(delta) / (F.col("strata") * tried))
-    return safe.groupBy("stratum", "rule").agg(F.max_by("cutoff", "place").alias("cutoff"))
+    judged = labels.where(F.col(good).isNotNull()).groupBy(F.col(f"`{id_column}`").alias("id")).agg((F.min(good).eqNullSafe(1) & F.max(good).eqNullSafe(1)).alias("sound"))
+    held = measured.join(judged, "id")
+    tried = [(p, path, step) for p, path in enumerate(paths(rules)) for step in range(max(len(r.cutoffs) for r in path))]
+    by = {r.name: r for r in rules}
+    rejects = lambda path, step: F.expr(" OR ".join(f"{by[n].measure} > {c!r}D" for n, c in setting(path, step).items()))
+    counts = held.groupBy("stratum").agg(
+        F.count_if("sound").alias("n"),
+        *(F.count_if(F.col("sound") & rejects(path, step)).alias(f"k{p}_{step}") for p, path, step in tried),
+        *(F.count_if(~F.col("sound") & rejects(path, step)).alias(f"b{p}_{step}") for p, path, step in tried),
+    )
+    as_map = lambda path, step: "map(" + ", ".join(f"'{n}', {c!r}D" for n, c in setting(path, step).items()) + ")"
+    rows = ", ".join(f"{p}, {step}, k{p}_{step}, b{p}_{step}, {as_map(path, step)}" for p, path, step in tried)
+    table = kept(counts.select("stratum", "n", F.expr(f"stack({len(tried)}, {rows}) AS (path, step, k, b, cutoffs)")), "settings")
+    tests = len(paths(rules)) * max(1, table.select("stratum").distinct().count())
+    tail = F.expr(f"CASE WHEN k > n * {alpha!r}D THEN 1D ELSE {binomial_tail_sql('k', 'n', alpha)} END")
+    # a path ends before its first setting that is not shown to be safe
+    judged_settings = table.withColumn("safe", tail <= delta / tests)
+    ends = judged_settings.groupBy("stratum", "path").agg(F.min(F.when(~F.col("safe"), F.col("step"))).alias("end"))
+    on = judged_settings.alias("s").join(ends.alias("e"), F.expr("s.stratum <=> e.stratum AND s.path = e.path AND (e.end IS NULL OR s.step < e.end)"))
+    best = F.max_by("s.cutoffs", F.struct("s.b", -F.col("s.path"), -F.col("s.step")))
+    return on.where("s.b > 0").groupBy(F.col("s.stratum").alias("stratum")).agg(best.alias("cutoffs"))
 
 
 def verdicts(measured: DataFrame, cutoffs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: int = 50, most_repeats: int = 50) -> DataFrame:
-    """measured with base_failed and kept. The cutoffs are a few numbers for each stratum that has thousands of labels, and become constants of the plan."""
-    by = {r.name: r for r in rules}
+    """measured with base_failed and kept. A stratum without cutoffs has no rule on."""
+    own = cutoffs.select(F.col("stratum").alias("_q_stratum"), F.col("cutoffs").alias("_q_cutoffs"))
+    joined = measured.join(own, F.col("stratum").eqNullSafe(F.col("_q_stratum")), "left")
     rejected: Column = F.lit(False)
-    for row in cutoffs.collect():
-        rejected = rejected | (F.col("stratum").eqNullSafe(F.lit(row["stratum"])) & (F.expr(by[row["rule"]].measure) > F.lit(row["cutoff"])))
+    for r in rules:
+        rejected = rejected | F.coalesce(F.expr(r.measure) > F.try_element_at("_q_cutoffs", F.lit(r.name)), F.lit(False))
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeats * F.col("n_words"))
-    return measured.withColumn("base_failed", base).withColumn("kept", ~base & ~rejected)
+    return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~rejected).drop("_q_stratum", "_q_cutoffs")
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang", id_column: str = "doc_id", text_column: str = "text", rules: tuple[Rule, ...] = RULES, alpha: float = 0.02, delta: float = 0.05) -> DataFrame:
@@ -131,5 +156,6 @@ def judge(docs: DataFrame, labels: DataFrame, stratum_column: str = "lang", id_c
     columns are ignored; an empty table gives no rows; without labels only the base decides.
     """
     measured = kept(measures(docs, {"id": id_column, "stratum": stratum_column}, text_column), "measures")
-    out = verdicts(measured, choose_cutoffs(measured, labels, rules, alpha, delta, id_column=id_column), rules)
+    cutoffs = kept(choose_cutoffs(measured, labels, rules, alpha, delta, id_column=id_column), "cutoffs")  # a row a stratum, broadcast where its size allows
+    out = verdicts(measured, cutoffs, rules)
     return out.withColumnRenamed("id", id_column)

@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from quarry.llm.risk_rules import BASE, RULES, Rule, binomial_tail_sql, choose_cutoffs, judge, measures, verdicts
+from quarry.llm.risk_rules import BASE, RULES, Rule, binomial_tail_sql, choose_cutoffs, judge, measures, paths, setting, verdicts
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -46,22 +47,87 @@ def test_binomial_tail(spark, k, n, p):
     assert got == pytest.approx(want, rel=1e-9, abs=1e-300)
 
 
+SCHEMA = "id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_loud long"
+TWO = (Rule("symbols", "n_symbols / n_words", (0.7, 0.5)), Rule("loud", "n_loud / n_words", (0.5,)))
+
+
 def test_cutoffs_and_verdicts(spark):
     rng = random.Random(7)
     rows = [(k, rng.choice(["en", "de", None]), 100, 500, rng.choice([0] * 99 + [60]), 0, 0, 0) for k in range(6000)]
-    measured = spark.createDataFrame(rows, "id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_loud long")
-    labels = spark.createDataFrame([(k, 1) for k in range(6000)] + [(1, 0)], "doc_id long, quality int")
-    rules = (Rule("symbols", "n_symbols / n_words", (0.7, 0.5)), Rule("loud", "n_loud / n_words", (0.5,)))
-    found = {(r["stratum"], r["rule"]): r["cutoff"] for r in choose_cutoffs(measured, labels, rules, alpha=0.01).collect()}
-    # one in a hundred good documents is over 0.5, more than its share of the limit; none is over 0.7
-    assert found == {(s, r): {"symbols": 0.7, "loud": 0.5}[r] for s in ("en", "de", None) for r in ("symbols", "loud")}
-    few = labels.where("doc_id < 300")
-    assert choose_cutoffs(measured, few, rules, alpha=0.01).count() == 0
-    bad = measured.limit(1).withColumn("n_symbols", F.lit(90).cast("long"))
-    got = verdicts(bad, choose_cutoffs(measured, labels, rules, alpha=0.01), rules).first()
+    rows += [(10_000 + k, ["en", "de", None][k % 3], 100, 500, 90, 0, 0, 0) for k in range(30)]
+    measured = spark.createDataFrame(rows, SCHEMA)
+    labels = spark.createDataFrame([(k, 1) for k in range(6000)] + [(10_000 + k, 0) for k in range(30)] + [(10_000, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    found = {r["stratum"]: r["cutoffs"] for r in choose_cutoffs(measured, labels, TWO, alpha=0.01).collect()}
+    # one in a hundred good documents is over 0.5, as many as the limit: that can't be shown to be safe; none is over 0.7
+    assert found == {s: {"symbols": 0.7, "loud": 0.5} for s in ("en", "de", None)}
+    few = labels.where("doc_id < 300 OR doc_id >= 10000")
+    assert choose_cutoffs(measured, few, TWO, alpha=0.01).count() == 0
+    assert choose_cutoffs(measured, few, TWO, alpha=0.1).count() == 3
+    assert choose_cutoffs(measured, labels.where("quality = 1 AND doc_id < 6000"), TWO, alpha=0.01).count() == 0  # nothing to gain
+    bad = measured.where("id = 10000")
+    got = verdicts(bad, choose_cutoffs(measured, labels, TWO, alpha=0.01), TWO).first()
     assert not got["base_failed"] and not got["kept"]
 
 
+def tail(k, n, p):
+    return math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_choice_is_the_brute_one(spark):
+    rng = random.Random(11)
+    rows = [(k, f"s{k % 3}", 100, 500, rng.choice([0, 0, 0, 30, 60, 80]) if k % 5 == 0 else rng.choice([0] * 60 + [60, 80]), 0, 0, rng.choice([0] * 30 + [70])) for k in range(3000)]
+    good = {k: int(k % 5 != 0) for k in range(3000)}
+    measured = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    labels = spark.createDataFrame(list(good.items()), "doc_id long, quality int")
+    got = {r["stratum"]: r["cutoffs"] for r in choose_cutoffs(measured, labels, TWO, alpha=0.05).collect()}
+    want = {}
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in rows if r[1] == s]
+        sound = [r for r in own if good[r[0]]]
+        best = (0, None)
+        for path in paths(TWO):
+            for step in range(max(len(r.cutoffs) for r in path)):
+                cut = setting(path, step)
+                out = lambda r, cut=cut: any(v / 100 > cut.get(n, 9) for n, v in (("symbols", r[4]), ("loud", r[7])))
+                if tail(sum(map(out, sound)), len(sound), 0.05) > 0.05 / (3 * len(paths(TWO))):
+                    break
+                gain = sum(out(r) for r in own if not good[r[0]])
+                best = max(best, (gain, cut), key=lambda x: x[0])
+        if best[0]:
+            want[s] = best[1]
+    assert got == want and want
+
+
+def test_false_rejections_stay_within_the_limit(spark):
+    """Many draws of a holdout from documents whose true rates are known: unsafe settings are taken in at most delta of them."""
+    rng = np.random.default_rng(5)
+    draws, size, alpha, delta = 400, 600, 0.02, 0.05
+    symbols = rng.choice([0, 60, 80], (draws, size), p=[0.97, 0.02, 0.01])  # 3 % of the good ones are over 0.5: unsafe; 1 % over 0.7: safe
+    loud = rng.choice([0, 70], (draws, size), p=[0.995, 0.005])
+    rows = pd.DataFrame({"d": np.repeat(np.arange(draws), size), "symbols": symbols.ravel(), "loud": loud.ravel()})
+    unsafe, on = 0, 0
+    level = delta / len(paths(TWO))
+    for _, own in rows.groupby("d"):
+        taken = []
+        for path in paths(TWO):
+            for step in range(max(len(r.cutoffs) for r in path)):
+                cut = setting(path, step)
+                k = int(((own.symbols / 100 > cut.get("symbols", 9)) | (own.loud / 100 > cut.get("loud", 9))).sum())
+                if tail(k, size, alpha) > level:
+                    break
+                taken.append(cut)
+        on += bool(taken)
+        unsafe += any(c.get("symbols") == 0.5 for c in taken)
+    assert unsafe <= delta * draws and on > draws / 2
+    # the operator itself, on some of the draws as strata: each is corrected for their number
+    part = rows[rows.d < 40].reset_index(drop=True)
+    some = [(k, f"d{d}", 100, 500, int(s), 0, 0, int(x)) for k, (d, s, x) in enumerate(zip(part.d, part.symbols, part.loud, strict=True))]
+    bad = [(100_000 + k, f"d{k}", 100, 500, 90, 0, 0, 90) for k in range(40)]
+    labels = [(r[0], 1) for r in some] + [(r[0], 0) for r in bad]
+    found = choose_cutoffs(spark.createDataFrame(some + bad, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int"), TWO, alpha, delta).collect()
+    assert found and not any(r["cutoffs"].get("symbols") == 0.5 for r in found)
+
+
 def test_judge_odd_rows(spark):
     docs = spark.createDataFrame([(1, "word " * 60, "en"), (None, None, None), (2, " ".join(f"w{k}" for k in range(60)), None), (2, " ".join(f"w{k}" for k in range(60)), None)], "doc_id long, text string, lang string").selectExpr("*", "true as kept", "1 as stratum")
     labels = spark.createDataFrame([], "doc_id long, quality int")
