@@ -4,11 +4,16 @@ A url becomes a set of tokens. FP-growth finds token combinations that go with a
 that conclude it, those of enough support and confidence stay. They are matched by an inverted index:
 each rule is filed under its rarest token, met by an equality join, and verified on all its tokens.
 
+FP-growth makes every combination of tokens that occur together, so it is spared what can't matter: tokens in
+too few bad urls; tokens that alone decide, since a combination with one decides nothing more; and of tokens that
+stand in the very same labelled urls all but one, for which any of them may then stand in a rule.
+
 All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
+from math import ceil
 from typing import NamedTuple
 
 from pyspark.ml.fpm import FPGrowth
@@ -65,18 +70,44 @@ def tokens(url_column: str = "url") -> Column:
     return F.array_distinct(F.concat(tagged("host:", F.split("host", r"\.")), tagged("path:", segment), tagged("key:", keys), others))
 
 
-def mine(urls: DataFrame, labels: DataFrame, min_support: float, min_count: int, min_confidence: float, bad: str, id_column: str, label_id_column: str) -> DataFrame:
-    """(rule_id, needs, anchor, confidence, support) of the rules tokens -> bad label. urls has the id and tokens; an id's labels are bad if any is."""
-    judged = labels.select(F.col(label_id_column).alias(id_column), F.expr(bad).alias("bad")).where("bad IS NOT NULL").groupBy(id_column).agg(F.bool_or("bad").alias("bad"))
-    baskets = kept(urls.join(judged, id_column).select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BLOCKED)))).otherwise(F.col("tokens")).alias("items")), "url-baskets")
-    support = max(min_support, min_count / max(1, baskets.count()))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support), minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED)).select(F.array_sort("antecedent").alias("needs"), "confidence", "support")
-    rules = rules.withColumn("rule_id", F.xxhash64("needs"))
-    # every token of a frequent combination is frequent by itself
-    often = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
-    rarest = rules.select("rule_id", F.explode("needs").alias("token")).join(often, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("freq", "token")).alias("anchor"))
-    return rules.join(rarest, "rule_id").select("rule_id", "needs", "anchor", "confidence", "support")
+def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rows of urls (tokens, ...) with each rule (rule_id, needs, anchors) they fit; repeated where a url has several of a rule's anchors."""
+    filed = rules.select("rule_id", "needs", F.explode("anchors").alias("anchor"))
+    met = urls.withColumn("anchor", F.explode("tokens")).join(filed, "anchor")
+    return met.where(F.forall("needs", lambda some: F.arrays_overlap(some, F.col("tokens")))).drop("anchor", "needs")
+
+
+def mine(urls: DataFrame, labels: DataFrame, min_support: float, min_count: int, min_confidence: float, bad: str, id_column: str, label_id_column: str, most_tokens: int = 16) -> DataFrame:
+    """(rule_id, needs, anchors, confidence, support) of the rules tokens -> bad label. urls has the id and tokens; an id's labels are bad if any is.
+
+    needs is an array of arrays: a url fits that has a token of each. Besides the rules of one token, which are all found, combinations are sought among a url's
+    most_tokens most telling tokens (those of the greatest share of bad urls; of tokens in the same urls one counts): that bounds the combinations, and matters
+    only to labelled urls that hold more frequent tokens than that. Counts are those over all labelled urls.
+    """
+    judged = labels.select(F.col(f"`{label_id_column}`").alias(id_column), F.expr(bad).alias("bad")).where("bad IS NOT NULL").groupBy(id_column).agg(F.bool_or("bad").alias("bad"))
+    baskets = kept(urls.join(judged, id_column).select(F.monotonically_increasing_id().alias("basket"), "tokens", "bad"), "url-baskets")
+    number = max(1, baskets.count())
+    least = max(min_support * number, min_count)
+    rows = baskets.select("basket", "bad", F.explode("tokens").alias("token"))
+    same = [F.bit_xor(F.xxhash64(F.lit(k), "basket")).alias(f"x{k}") for k in range(2)]  # stand for the set of urls
+    frequent = rows.groupBy("token").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"), *same).where(F.col("n_bad") >= least)
+    classes = kept(frequent.groupBy("n", "n_bad", "x0", "x1").agg(F.min("token").alias("class"), F.array_sort(F.collect_set("token")).alias("members")), "url-token-classes")
+    alone = F.col("n_bad") / F.col("n") >= min_confidence
+    single = classes.where(alone).select(F.array("members").alias("needs"), F.col("members").alias("anchors"))
+
+    telling = classes.where(~alone).select(F.explode("members").alias("token"), "class", (F.col("n_bad") / F.col("n")).alias("share"))
+    ranked = rows.join(telling, "token").groupBy("basket").agg(F.sort_array(F.collect_set(F.struct("share", "class")), asc=False).alias("own"))
+    names = F.transform(F.slice("own", 1, most_tokens), lambda x: x["class"])
+    items = baskets.select("basket", "bad").join(ranked, "basket", "left").select(F.concat(F.coalesce(names, F.array().cast("array<string>")), F.when(F.col("bad"), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (ceil(least) - 0.5) / number), minConfidence=min_confidence).fit(kept(items, "url-items"))
+    combined = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCKED)).select(F.array_sort("antecedent").alias("rule"), F.explode("antecedent").alias("class"))
+    combined = kept(combined, "url-combinations").join(classes.select("class", "members", "n"), "class").groupBy("rule")
+    several = combined.agg(F.array_sort(F.collect_set("members")).alias("needs"), F.min_by("members", F.struct("n", "class")).alias("anchors")).drop("rule")
+
+    found = kept(single.unionByName(several).withColumn("rule_id", F.xxhash64("needs")), "url-candidates")
+    counted = matches(baskets, found).select("rule_id", "basket", "bad").distinct().groupBy("rule_id").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
+    sound = counted.where((F.col("n_bad") >= least) & (F.col("n_bad") / F.col("n") >= min_confidence))
+    return found.join(sound, "rule_id").select("rule_id", "needs", "anchors", (F.col("n_bad") / F.col("n")).alias("confidence"), (F.col("n_bad") / number).alias("support"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.8, bad: str = "quality = 0 OR toxic = 1", id_column: str = "page_id", label_id_column: str = "doc_id", url_column: str = "url") -> DataFrame:
@@ -86,13 +117,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[UrlRule], min_support
     labels with null ids, and null labels, teach nothing, but every page is judged. A null url has empty host and path and only its empty tokens. Repeated rows each
     get a row; other columns are ignored; an empty table gives no rows; without labels nothing is mined. Equal urls are matched once.
     """
-    narrow = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"))
+    narrow = pages.select(F.col(f"`{id_column}`").alias("id"), F.col(f"`{url_column}`").alias("url"))
     parsed = with_host_and_path(narrow).withColumn("fixed", fixed_rule(rules))
     urls = parsed.select("id", tokens().alias("tokens"))
     mined = kept(mine(urls, labels, min_support, min_count, min_confidence, bad, "id", label_id_column), "url-rules")
     open_urls = parsed.where("fixed IS NULL").select("url", tokens().alias("tokens")).distinct()
-    met = open_urls.select("url", "tokens", F.explode("tokens").alias("anchor")).join(mined, "anchor").where(F.size(F.array_except("needs", "tokens")) == 0)
-    blocked = met.groupBy("url").agg(F.min("rule_id").alias("mined_rule"))
+    blocked = matches(open_urls, mined).groupBy("url").agg(F.min("rule_id").alias("mined_rule"))
     joined = parsed.join(blocked.withColumnRenamed("url", "blocked_url"), F.col("url").eqNullSafe(F.col("blocked_url")) & F.col("fixed").isNull(), "left")
     verdict = F.coalesce(F.col("fixed.verdict"), F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"))
     return joined.select(F.col("id").alias(id_column), "host", "path", F.col("fixed.rule").alias("rule"), verdict.alias("verdict"), "mined_rule")
