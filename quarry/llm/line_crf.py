@@ -149,6 +149,47 @@ def forward_backward(model: Model, e: np.ndarray, first: np.ndarray) -> tuple[np
     return m[:, 1] / m.sum(1), pair
 
 
+def chain_marginals(phi: np.ndarray, move: np.ndarray, block: int = 1024) -> np.ndarray:
+    """The marginal of 'good' for each line of one long chain: blocks advance together, from the vectors that the blocks around them pass on."""
+    n = len(phi)
+    k = -(-n // block)
+    step = np.tile(np.eye(2), (k * block, 1, 1))
+    step[:n] = move * phi[:, None, :]
+    step[0] = np.diag(phi[0])
+    step = step.reshape(k, block, 2, 2)
+    whole = np.tile(np.eye(2), (k, 1, 1))
+    for t in range(block):
+        whole = whole @ step[:, t]
+        whole /= whole.sum((1, 2), keepdims=True)
+    before, after = np.ones((k, 2)), np.ones((k, 2))
+    for b in range(1, k):
+        v, w = before[b - 1] @ whole[b - 1], whole[k - b] @ after[k - b]
+        before[b], after[k - b - 1] = v / v.sum(), w / w.sum()
+    alpha, beta = np.empty((k, block, 2)), np.empty((k, block, 2))
+    for t in range(block):
+        before = (before[:, None, :] @ step[:, t])[:, 0]
+        before /= before.sum(1, keepdims=True)
+        alpha[:, t] = before
+    for t in range(block - 1, -1, -1):
+        beta[:, t] = after
+        after = (step[:, t] @ after[:, :, None])[:, :, 0]
+        after /= after.sum(1, keepdims=True)
+    m = (alpha * beta).reshape(-1, 2)[:n]
+    return m[:, 1] / m.sum(1)
+
+
+def marginals(model: Model, e: np.ndarray, first: np.ndarray, most_steps: int = 4096) -> np.ndarray:
+    """forward_backward's marginals; rows of more than most_steps lines are done block by block, each by itself."""
+    size = np.diff(first)
+    out = np.empty(len(e))
+    for k in np.flatnonzero(size > most_steps):
+        phi = np.stack([np.ones(size[k]), np.exp(np.clip(e[first[k] : first[k + 1]], -30, 30))], 1)
+        out[first[k] : first[k + 1]] = chain_marginals(phi / phi.sum(1, keepdims=True), np.exp(model.step))
+    rest = np.repeat(size <= most_steps, size)
+    out[rest] = forward_backward(model, e[rest], np.append(0, np.cumsum(size[size <= most_steps])))[0]
+    return out
+
+
 def train(lines: Lines, good: np.ndarray, rounds: int = 120, rate: float = 0.1, penalty: float = 1e-3) -> Model:
     """Maximises the labelled lines' conditional log-likelihood, each document weighing the same (gradient steps with moments)."""
     model = Model.empty()
@@ -186,7 +227,7 @@ def train(lines: Lines, good: np.ndarray, rounds: int = 120, rate: float = 0.1,
 
 
 def mean_marginals(model: Model, lines: Lines) -> np.ndarray:
-    marginal, _ = forward_backward(model, potentials(model, lines), lines.first)
+    marginal = marginals(model, potentials(model, lines), lines.first)
     return np.add.reduceat(marginal * lines.weight, lines.first[:-1]) / np.add.reduceat(lines.weight, lines.first[:-1])
 
 
@@ -202,15 +243,16 @@ def held_out(id_column: str, folds: int = 5) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, most_lines: int = 500, label_column: str = "quality", id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Learns from labelled documents outside the held-out fold.
 
-    The sample is bounded: the most_documents labels first in the order of a hash of their ids, and of their documents those of at most
-    most_lines lines. Labels other than 0 and 1 and null ids are ignored; of an id's different labels the lower counts; of a
-    repeated id's texts each counts. Without labels,
-    every score is one half.
+    The sample is bounded: the most_documents labels first in the order of a hash of their ids, one text of each id (the first by a hash, of
+    those of at most most_lines lines). Labels other than 0 and 1 and null ids are ignored; of an id's different labels the lower counts. Without
+    labels, every score is one half.
     """
-    usable = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull() & ~held_out(id_column)).groupBy(F.col(id_column).alias("id")).agg(F.min(label_column).alias("label"))
+    label, label_id = F.col(f"`{label_column}`"), F.col(f"`{id_column}`")
+    usable = labels.select(label_id.alias("id"), label.alias("label")).where(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out("id")).groupBy("id").agg(F.min("label").alias("label"))
     chosen = usable.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(most_documents)
-    texts = docs.select(F.col(id_column).alias("id"), F.coalesce(text_column, F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").where(F.length("text") - F.length(F.translate("text", "\n", "")) < most_lines).select("label", "text")
+    texts = docs.select(F.col(f"`{id_column}`").alias("id"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).alias("text"))
+    short = texts.join(F.broadcast(chosen), "id").where(F.length("text") - F.length(F.translate("text", "\n", "")) < most_lines)
+    sample = short.groupBy("id").agg(F.first("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text")).drop("id")  # combined before the shuffle
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,12 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_documents: int = 4000, most_lin
     return train(Lines(np.concatenate([*bins, np.zeros((0, len(NAMES)), np.int8)]), weight, first), np.array([y for _, _, y in rows], int))
 
 
-def score_documents(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
-    """The documents with a column score (0 to 1, higher: label 1 likelier).
-
-    A null or empty text is one empty line; repeated rows score alike; other columns pass unread; an empty table gives no rows. Each text is
-    scored whole where it is read, without a shuffle.
-    """
+def _scored(docs: DataFrame, model: Model, text_column: str) -> DataFrame:
+    """i (a struct of the row's own columns) and score."""
     names = docs.columns
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("i"))
     where = names.index(text_column)
@@ -242,4 +280,18 @@ def score_documents(docs: DataFrame, model: Model, text_column: str = "text") ->
             out = [scores(model, line_features(data, offsets)) for _, _, data, offsets in text_chunks(batch.column(0).field(where))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate([*out, np.zeros(0)]))], names=["i", "score"])
 
-    return packed.mapInArrow(task, f"i {packed.schema['i'].dataType.simpleString()}, score double").select("i.*", "score")
+    return packed.mapInArrow(task, f"i {packed.schema['i'].dataType.simpleString()}, score double")
+
+
+def score_documents(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
+    """The documents with a column score (0 to 1, higher: label 1 likelier), in place of one so named.
+
+    A null or empty text is one empty line; repeated rows score alike; other columns pass unread; an empty table gives no rows. Each text is
+    scored whole where it is read, without a shuffle.
+    """
+    return _scored(docs, model, text_column).select(*(F.col(f"i.`{c}`").alias(c) for c in docs.columns if c != "score"), "score")
+
+
+def keep_good(docs: DataFrame, model: Model, cut: float, text_column: str = "text") -> DataFrame:
+    """The documents, with all their columns as they were, that score_documents gives the cut or more."""
+    return _scored(docs, model, text_column).where(F.col("score") >= cut).select(*(F.col(f"i.`{c}`").alias(c) for c in docs.columns))

@@ -46,24 +46,45 @@ def boilerplate(docs: DataFrame, min_sites: int, site_column: str = "source", te
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text") -> DataFrame:
-    """One row per document: its own columns with the text less its boilerplate lines, and n_lines, n_removed.
-
-    Lines are cut at \\n and compared whole. A text that loses no line, null too, stays as it was (null has no lines, an empty text one);
-    lines without a word never go; a null site adds no site; ids may be null or repeated (a row is known by all it holds); an empty
-    table gives no rows. The documents' columns may have any names but n_lines, n_removed and names that begin with _q_.
-    """
-    row = F.xxhash64(F.col(id_column), F.col(text_column))
-    found = kept(boilerplate(docs, min_sites, site_column, text_column), "boilerplate")
-    places = docs.select(row.alias("_q_row"), F.posexplode(lines_of(text_column)).alias("at", "line")).where(has_word(F.col("line")))
+def _without_boilerplate(docs: DataFrame, min_sites: int, id_column: str, site_column: str, text_column: str) -> DataFrame:
+    """_q_doc (a struct of the row's own columns) and _q_text, _q_lines, _q_removed."""
+    text, site, doc_id = (F.col(f"_q_doc.`{c}`") for c in (text_column, site_column, id_column))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_q_doc"))
+    rows = packed.select("_q_doc", F.xxhash64(doc_id, text).alias("_q_row"), F.xxhash64(F.lit(1), doc_id, text).alias("_q_row2"))
+    found = kept(boilerplate(packed.select(site.alias("site"), text.alias("text")), min_sites, "site", "text"), "boilerplate")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    places = rows.select("_q_row", "_q_row2", F.posexplode(lines).alias("at", "line")).where(has_word(F.col("line")))
     k1, k2 = line_key(F.col("line"))
-    hits = places.select("_q_row", "at", k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left_semi")
-    gone = hits.groupBy("_q_row").agg(F.collect_set("at").alias("_q_gone"))
-    lines = lines_of(text_column)
-    joined = docs.withColumn("_q_row", row).join(gone.hint("shuffle_hash"), "_q_row", "left")
+    hits = places.select("_q_row", "_q_row2", "at", k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left_semi")
+    gone = hits.groupBy("_q_row", "_q_row2").agg(F.collect_set("at").alias("_q_gone"))
+    joined = rows.join(gone.hint("shuffle_hash"), ["_q_row", "_q_row2"], "left")
     left = F.filter(lines, lambda x, k: ~F.array_contains("_q_gone", k))
-    n = F.when(F.col(text_column).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     cut = joined.withColumn("_q_kept", F.when(F.col("_q_gone").isNotNull(), left))
-    text = F.when(F.col("_q_kept").isNotNull(), F.array_join("_q_kept", "\n")).otherwise(F.col(text_column))
+    new_text = F.when(F.col("_q_kept").isNotNull(), F.array_join("_q_kept", "\n")).otherwise(text)
     removed = F.when(F.col("_q_kept").isNotNull(), F.size(lines) - F.size("_q_kept")).otherwise(0).cast("long")
-    return cut.select(*(text.alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns), n.alias("n_lines"), removed.alias("n_removed"))
+    return cut.select("_q_doc", new_text.alias("_q_text"), n.alias("_q_lines"), removed.alias("_q_removed"))
+
+
+def _own(docs: DataFrame, changed: dict[str, Column]) -> list[Column]:
+    return [(changed[c] if c in changed else F.col(f"_q_doc.`{c}`")).alias(c) for c in docs.columns]
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text") -> DataFrame:
+    """One row per document: its own columns with the text less its boilerplate lines, and n_lines, n_removed (in place of columns so named).
+
+    Lines are cut at \\n and compared whole. A text that loses no line, null too, stays as it was (null has no lines, an empty text one);
+    lines without a word never go; a null site adds no site; ids may be null or repeated (a row is known by its id and text); an empty
+    table gives no rows. Other columns may have any names.
+    """
+    added = {"n_lines": F.col("_q_lines"), "n_removed": F.col("_q_removed")}
+    done = _without_boilerplate(docs, min_sites, id_column, site_column, text_column)
+    own = [c for c in docs.columns if c not in added]
+    return done.select(*_own(docs.select(*(F.col(f"`{c}`") for c in own)), {text_column: F.col("_q_text")}), *(c.alias(n) for n, c in added.items()))
+
+
+def cleaned(docs: DataFrame, min_sites: int = 10, id_column: str = "doc_id", site_column: str = "source", text_column: str = "text", length_column: str = "n_chars") -> DataFrame:
+    """The documents with all their columns, their texts less the boilerplate lines, and the length column, where there is one, counted anew where the text changed."""
+    done = _without_boilerplate(docs, min_sites, id_column, site_column, text_column)
+    length = F.when(F.col("_q_removed") > 0, F.length("_q_text").cast("long")).otherwise(F.col(f"_q_doc.`{length_column}`")) if length_column in docs.columns else F.lit(None)
+    return done.select(*_own(docs, {text_column: F.col("_q_text"), length_column: length}))

@@ -166,7 +166,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = 1024, end_id: int = 0,
     """
     spark = docs.sparkSession
     salts = partitions(spark)
-    pieces = kept(token_pieces(docs, vocabulary, window, end_id, id_column, text_column).withColumn("salt", F.pmod(F.xxhash64("i", "start", "ids_crc32"), F.lit(salts)).cast("int")), "pieces")
+    pieces = kept(token_pieces(docs, vocabulary, window, end_id, id_column, text_column).withColumn("salt", F.pmod(F.xxhash64("i", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(salts)).cast("int")), "pieces")
     counts = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     intervals = plan(histogram, window)

@@ -7,7 +7,7 @@ their ends, in whatever texts they stand. Names are 64-bit hashes, global withou
 
 Spark then counts every symbol of the last round over the corpus. A window of `width` words that
 holds, with all it was decided by, a symbol that occurs once cannot occur twice; it is kept. The
-windows left over, those made of shared symbols, are verified: their 128-bit hashes are counted, and
+windows left over, those made of shared symbols, are verified: their 96-bit hashes are counted, and
 those that occur once are kept as well. A symbol for the whole text stands above the others: of texts
 that are alike as a whole, all words go, and one of them alone is verified against the other texts.
 

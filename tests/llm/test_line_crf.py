@@ -1,11 +1,12 @@
 """The line field: exact sums on small chains, gradients by their effect, accuracy on held-out documents."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
 
-from quarry.llm.line_crf import NAMES, Lines, Model, fit, forward_backward, held_out, line_features, score_documents, train
+from quarry.llm.line_crf import NAMES, Lines, Model, chain_marginals, fit, forward_backward, held_out, keep_good, line_features, marginals, score_documents, scores, train
 
 DATA = "/root/testdata/sf0.01"
 
@@ -30,6 +31,23 @@ def test_marginals_equal_the_sum_over_all_labellings():
         assert np.allclose(pair[a : b - 1], pairs[:-1] / total)
 
 
+def test_long_chains_in_blocks():
+    rng = np.random.default_rng(2)
+    model = Model.empty()
+    model.step[:] = rng.normal(size=(2, 2))
+    sizes = [3, 57, 1, 2049, 300]
+    first = np.append(0, np.cumsum(sizes))
+    e = rng.normal(size=first[-1]) * 3
+    want = forward_backward(model, e, first)[0]
+    assert np.allclose(marginals(model, e, first, most_steps=50), want)
+    phi = np.stack([np.ones(57), np.exp(e[3:60])], 1)
+    for block in (1, 2, 7, 57, 100):
+        assert np.allclose(chain_marginals(phi / phi.sum(1, keepdims=True), np.exp(model.step), block), want[3:60])
+    began = time.perf_counter()
+    line_scores = scores(train(Lines(np.zeros((2, len(NAMES)), np.int8), np.ones(2), np.array([0, 1, 2])), np.array([0, 1])), line_features(np.full(500_000, 10, np.uint8), np.array([0, 500_000])))
+    assert line_scores.shape == (1,) and time.perf_counter() - began < 30
+
+
 def test_lines_follow_rows():
     texts = ["one two\nONE!!\n", "", "a a a\n\nb"]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -71,11 +89,15 @@ def test_held_out_accuracy(spark, sf):
 
 
 def test_odd_rows(spark):
-    docs = spark.createDataFrame([(1, "fine words here", 3), (None, None, None), (2, "", 4), (2, "", 4)], "doc_id long, text string, score int").withColumnRenamed("score", "i")
+    docs = spark.createDataFrame([(1, "fine words here", 3), (None, None, None), (2, "", 4), (2, "", 4)], "doc_id long, text string, score int").selectExpr("*", "5 as i", "6 as label", "7 as id")
     labels = spark.createDataFrame([(1, 1), (None, 0), (2, None), (2, 7), (2, 0), (2, 1)], "doc_id long, quality int")
     model = fit(docs, labels)
     got = score_documents(docs, model).collect()
     assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got) and len({r["score"] for r in got if not r["text"]}) == 1
+    stay = keep_good(docs, model, 0.0)
+    assert stay.columns == docs.columns and sorted(stay.collect(), key=str) == sorted(docs.collect(), key=str)
+    many = spark.createDataFrame([(1, f"text {k}") for k in range(300)], "doc_id long, text string").unionByName(docs.select("doc_id", "text"))
+    assert fit(many, labels).near.any() == fit(docs, labels).near.any()  # one text of an id is learned from
     none = fit(docs, labels.limit(0))
     assert {r["score"] for r in score_documents(docs, none).collect()} == {0.5}
     assert score_documents(docs.limit(0), model).count() == 0
