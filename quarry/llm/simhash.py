@@ -34,6 +34,8 @@ MOST_BY_CHANCE = 0.5
 #: Up to so many comparisons are made at once in the end; beyond, more hubs shrink the work first, in this many rounds at most.
 MOST_COMPARISONS = 20_000_000
 MOST_ROUNDS = 4
+#: Up to so many keys of crowded variants, 8 bytes each, are broadcast; beyond, the variants are dealt out by key.
+MOST_BROADCAST = 2_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -165,13 +167,15 @@ def link(prints: DataFrame, most_bits: int) -> DataFrame:
     links = None
     while True:
         signed = variants(prints, PLANS[place])
-        turned = F.col("f").bitwiseXOR(F.col("key"))  # the least and greatest of these are other members for each key
-        groups = signed.groupBy("key").agg(F.count("*").alias("size"), F.min(turned).alias("lo"), F.max(turned).alias("hi"), F.bit_xor("f").alias("every")).where("size > 1")
-        groups = groups.select("key", "size", F.col("lo").bitwiseXOR(F.col("key")).alias("lo"), F.col("hi").bitwiseXOR(F.col("key")).alias("hi"), "every")
+        # least, greatest and exclusive or are one value in a row that met no other yet: the shuffle's compression takes two of them away
+        groups = signed.groupBy("key").agg(F.count("*").alias("size"), F.min("f").alias("lo"), F.max("f").alias("hi"), F.bit_xor("f").alias("every")).where("size > 1")
         groups = kept(groups.withColumn("near", _near_pairs(most_bits)).where("size > 3 OR size(near) > 0"), "variant-groups")
-        keys = groups.where("size > 3").select("key", "lo", "hi")
-        rows = kept(signed.join(keys, "key"), "crowded-variants")
-        found = groups.select(F.inline("near")).unionByName(_star_links(rows, F.array("lo", "hi"), most_bits)).distinct()
+        keys = kept(groups.where("size > 3").select("key"), "crowded-keys")
+        rows = kept(signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key", "left_semi"), "crowded-variants")
+        turned = F.col("f").bitwiseXOR(F.col("key"))  # the least and greatest of these are other members for each key
+        hubs = rows.groupBy("key").agg(F.array(F.min(turned).bitwiseXOR(F.col("key")), F.max(turned).bitwiseXOR(F.col("key"))).alias("hubs"))
+        stars = _star_links(rows.join(kept(hubs, "hubs"), "key"), F.col("hubs"), most_bits)
+        found = groups.select(F.inline("near")).unionByName(stars).distinct()
         links = kept(found if links is None else links.unionByName(found).distinct(), "links")
         labels, crowd = _with_components(rows, links)
         major, left = _shares(crowd)
