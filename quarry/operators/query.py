@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, contains_folded
+from quarry.tables import kept, partitions
 
 DEFAULT_PAGE, MOST_PAGE = 250, 1000
 SORTS = {"name": "name", "modified": "modified_at_ms", "size": "size_bytes", "kind": "kind"}
@@ -88,9 +88,9 @@ def dense_order(rows: DataFrame, *keys: Column) -> DataFrame:
     """Adds place, 0 to n - 1 over all rows, without sending them through one task.
 
     Rows are dealt by ranges of the keys, which sorts them across partitions; places within a partition are shifted by the counts of the earlier ones.
+    The ranges are kept as a table: they come from a sample, and dealt out anew after a loss they could differ.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(n, *keys).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)  # dealt once, read twice
+    ranged = kept(rows.repartitionByRange(partitions(rows.sparkSession), *keys).withColumn("_part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_part").orderBy(*keys))
@@ -106,7 +106,9 @@ def around_selection(rows: DataFrame, place: str, selected: int, reach: int) ->
 
 
 def folder_order_key(name: Column) -> Column:
-    """A key under which names sort without case or accents and digit runs by their value (up to 18 digits)."""
-    folded = F.lower(F.translate(name, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"))
+    """A key under which names sort without case or marks and digit runs by their value (up to 18 digits)."""
+    from quarry.operators.search import fold
+
+    folded = fold(name)
     parts = F.regexp_extract_all(folded, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, like_nocase
 
-#: Letters with a mark and what they fold to.
-MARKED = "àáâãäåāăąçćčďèéêëēėęěìíîïīńñňòóôõöōřśšťùúûüūůýÿžźżÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiinnnoooooorsstuuuuuuyyzzzaaaaaaceeeeiiiinooooouuuuy"
+
+
+def _marked_letters(last: int = 0x2FFF) -> tuple[str, str]:
+    """Letters with marks up to a code point and, at the same places, the letters that Unicode's canonical decomposition leaves without them."""
+    bare = {chr(k): "".join(x for x in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(x)) for k in range(0x80, last + 1)}
+    found = {c: b for c, b in bare.items() if len(b) == 1 and b != c}
+    return "".join(found), "".join(found.values())
+
+
+MARKED, PLAIN = _marked_letters()
 
 
 def fold(c: Column) -> Column:
-    """Lower case, without the marks of Latin letters and without combining marks."""
+    """Lower case, without marks: letters that carry one become plain, combining marks go."""
     return F.regexp_replace(F.lower(F.translate(c, MARKED, PLAIN)), r"\p{M}", "")
 
 
@@ -42,13 +52,21 @@ def match_all(indexed: DataFrame, query: str, key: str) -> DataFrame:
 
     A query without terms matches nothing; callers list a directory then.
     """
-    terms = query_terms(indexed.sparkSession, query)
-    wanted = terms.agg(F.countDistinct("term").alias("wanted"))
-    hit = F.when(F.col("t.last"), F.col("i.word").startswith(F.col("t.word"))).otherwise(F.col("i.word") == F.col("t.word"))
-    hits = indexed.alias("i").join(F.broadcast(terms.alias("t")), hit).select(f"i.{key}", "i.field", (F.col("i.at") - F.col("t.at")).alias("start"), "t.term", "t.n", "t.at")
-    phrases = hits.groupBy(key, "field", "start", "term", "n").agg(F.countDistinct("at").alias("found")).where("found = n")
-    matched = phrases.groupBy(key).agg(F.countDistinct("term").alias("terms"))
-    return matched.join(F.broadcast(wanted), F.col("terms") == F.col("wanted")).select(key)
+    terms = query_terms(indexed.sparkSession, query).collect()  # the query's own words
+    if not terms:
+        return indexed.select(key).limit(0)
+    word = F.col("word")
+    fits = [word.startswith(t["word"]) if t["last"] else word == t["word"] for t in terms]
+    told = [F.when(hit, F.struct(F.lit(t["term"]).alias("term"), F.lit(t["n"]).alias("n"), F.lit(t["at"]).alias("t"))) for hit, t in zip(fits, terms, strict=True)]
+    hits = indexed.where(reduce(Column.__or__, fits)).select(key, "field", "at", F.explode(F.array_compact(F.array(*told))).alias("hit"))
+    placed = hits.select(key, "field", (F.col("at") - F.col("hit.t")).alias("start"), "hit.term", "hit.n", "hit.t")
+    phrases = placed.groupBy(key, "field", "start", "term", "n").agg(F.countDistinct("t").alias("found")).where("found = n")
+    return phrases.groupBy(key).agg(F.countDistinct("term").alias("terms")).where(F.col("terms") == len({t["term"] for t in terms})).select(key)
+
+
+def match_or_list(rows: DataFrame, query: str, key: str, *columns: str) -> DataFrame:
+    """The keys of rows that match the query; a query of white space alone lists all of them."""
+    return match_all(index(rows, key, *columns), query, key) if query.strip() else rows.select(key)
 
 
 def rank_directories(directories: DataFrame, query: str) -> DataFrame:

@@ -16,9 +16,10 @@ def index_diff(old: DataFrame, new: DataFrame, key: list[str], compared: list[st
     return a.join(b, key, "full").select(*key, change.alias("change"))
 
 
-def next_generation(old: DataFrame, scanned: DataFrame, key: list[str], compared: list[str], scan_id: int) -> DataFrame:
-    """The index after a scan: what was not seen is gone, what was seen carries the scan's number."""
-    return scanned.select(*key, *compared).withColumn("scan_id", F.lit(scan_id).cast("long")).join(old.select(*key), key, "left")
+def next_generation(old: DataFrame, scanned: DataFrame, columns: list[str], root: str, scan_id: int) -> DataFrame:
+    """The index (root_path, columns, scan_id) after a scan of one root: of it, what was not seen is gone and what was seen carries the scan's number; other roots stay."""
+    own = scanned.select(F.lit(root).alias("root_path"), *columns, F.lit(scan_id).cast("long").alias("scan_id"))
+    return old.where(~F.col("root_path").eqNullSafe(root)).select("root_path", *columns, "scan_id").unionByName(own)
 
 
 def snapshot_blocked(directories: DataFrame, tombstones: DataFrame) -> DataFrame:

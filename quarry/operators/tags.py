@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import normalized_tag_name
+from quarry.tables import kept
 
 
 def closure(tags: DataFrame, most_rounds: int = 12) -> DataFrame:
@@ -22,7 +23,7 @@ def closure(tags: DataFrame, most_rounds: int = 12) -> DataFrame:
         if edge.isEmpty():
             return paths
         far = edge.alias("e").join(paths.where("depth > 0").alias("p"), F.col("e.ancestor") == F.col("p.tag"))
-        paths = paths.unionByName(far.select("p.ancestor", "e.tag", (F.col("e.depth") + F.col("p.depth")).alias("depth")))
+        paths = kept(paths.unionByName(far.select("p.ancestor", "e.tag", (F.col("e.depth") + F.col("p.depth")).alias("depth"))), "tag-paths")
         reach *= 2
     raise ValueError("the tags hold a cycle, or too many levels")
 
@@ -31,6 +32,12 @@ def subtree_contains(closed: DataFrame, root: int, tag: int) -> bool:
     return not closed.where((F.col("ancestor") == root) & (F.col("tag") == tag)).isEmpty()
 
 
+def subtree_tests(closed: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (root, tag) with contained: the same test for many pairs at once."""
+    known = closed.select(F.col("ancestor").alias("root"), "tag", F.lit(True).alias("_in"))
+    return asked.join(known, ["root", "tag"], "left").withColumn("contained", F.coalesce("_in", F.lit(False))).drop("_in")
+
+
 def match_assets(closed: DataFrame, assigned: DataFrame, selected: list[int], match_all: bool) -> DataFrame:
     """Assets with a tag in the subtree of every selected tag (or of any). A selected id outside the vocabulary is a subtree of itself."""
     spark = closed.sparkSession

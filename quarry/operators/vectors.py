@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.geometry import cosine, dot, vector_is_valid
+from quarry.tables import kept
 
 MARGIN = 0.05
 LIKE = 0.5
@@ -46,6 +47,7 @@ def gallery_scores(faces: DataFrame, references: DataFrame, threshold: float) ->
     The references of one gallery are the small side by nature, but of no proven size: their count decides how the pairs are made. Up to
     a few thousand they are broadcast; beyond, faces are copied to blocks of references, dealt out by block and face.
     """
+    references = kept(references.select("person_id", "vector"), "references")  # counted, then read
     n = references.count()
     near = lambda pairs: pairs.withColumn("score", dot(F.col("f.vector"), F.col("r.vector"))).where(~F.isnan("score") & (F.col("score") >= threshold))
     if n <= 5000:
@@ -91,14 +93,18 @@ def complete_link(faces: DataFrame, folder: str = "folder_path", threshold: floa
 
 
 def link(vectors: list[np.ndarray | None], pictures: list, threshold: float) -> list[int]:
-    """The owner of each face: a merge is made where all pairs across the two clusters reach the threshold."""
+    """The owner of each face: a merge is made where all pairs across the two clusters reach the threshold.
+
+    Similarities are summed in double precision; a pair within rounding of the threshold may be judged otherwise by sums in single precision.
+    """
     n = len(vectors)
     usable = [k for k in range(n) if vectors[k] is not None]
     like = np.full((n, n), -1.0)
     if usable:
         m = np.stack([vectors[k] for k in usable])
         like[np.ix_(usable, usable)] = m @ m.T
-    same = np.array([[a == b for b in pictures] for a in pictures]).reshape(n, n)
+    codes = pd.factorize(np.array(pictures, object), use_na_sentinel=False)[0]
+    same = codes[:, None] == codes[None, :]
     like[same] = -1.0
     i, j = np.nonzero(np.tril(like >= threshold, -1))
     order = np.lexsort((j, i, -like[i, j]))
@@ -130,22 +136,25 @@ def mutual_best(pairs: DataFrame, margin: float, group: tuple[str, ...] = ()) ->
     return ranked.where("m_place = 1").select(*group, "manual_id", "detected_id", "score", matched.alias("matched"))
 
 
-def align(manual: DataFrame, detected: DataFrame, revision: str, score: Column, margin: float = 0.15) -> DataFrame:
-    """(manual_id, detected_id, score, reason): a match, or the reason there is none, for every manual instance.
+def align(manual: DataFrame, detected: DataFrame, revision: Column | str, score: Column, margin: float = 0.15, picture: tuple[str, ...] = ()) -> DataFrame:
+    """(picture, manual_id, detected_id, score, reason): a match, or the reason there is none, for every manual instance.
 
-    manual and detected have id, source_identity_revision, face_box, body_box (manual also needs_review); score is a column over m and d.
+    manual and detected have id, source_identity_revision, face_box, body_box and the picture's columns (manual also needs_review); revision is the picture's
+    current one, a literal or a column of both; score is a column over m and d. Pictures are aligned each by itself.
     """
+    revision = F.lit(revision) if isinstance(revision, str) else revision
     reason = (
-        F.when(F.coalesce("needs_review", F.lit(False)), "needs_review").when(F.col("source_identity_revision").isNull(), "source_unverified").when(F.col("source_identity_revision") != revision, "source_changed")
+        F.when(F.coalesce("needs_review", F.lit(False)), "needs_review").when(F.col("source_identity_revision").isNull(), "source_unverified").when(~F.col("source_identity_revision").eqNullSafe(revision), "source_changed")
     )
     judged = manual.withColumn("reason", reason)
     ready, current = judged.where("reason IS NULL").alias("m"), detected.where(F.col("source_identity_revision") == revision).alias("d")
-    # one picture's instances on either side: a bounded handful, and a join on the revision they share
-    pairs = ready.join(current, F.col("m.source_identity_revision") == F.col("d.source_identity_revision")).select(F.col("m.id").alias("manual_id"), F.col("d.id").alias("detected_id"), score.alias("score")).where("score IS NOT NULL")
-    best = mutual_best(pairs, margin)
-    joined = judged.select(F.col("id").alias("manual_id"), "reason").join(best, "manual_id", "left")
+    # one picture's instances on either side: a bounded handful, and a join on the picture and the revision they share
+    same = [F.col(f"m.{c}") == F.col(f"d.{c}") for c in (*picture, "source_identity_revision")]
+    pairs = ready.join(current, same).select(*(F.col(f"m.{c}") for c in picture), F.col("m.id").alias("manual_id"), F.col("d.id").alias("detected_id"), score.alias("score")).where("score IS NOT NULL")
+    best = mutual_best(pairs, margin, picture)
+    joined = judged.select(*picture, F.col("id").alias("manual_id"), "reason").join(best, [*picture, "manual_id"], "left")
     why = F.coalesce("reason", F.when(F.col("matched").isNull(), "no_matching_detection").when(~F.col("matched"), "ambiguous_geometry"))
-    return joined.select("manual_id", F.when(F.col("matched"), F.col("detected_id")).alias("detected_id"), F.when(F.col("matched"), F.col("score")).alias("score"), why.alias("reason"))
+    return joined.select(*picture, "manual_id", F.when(F.col("matched"), F.col("detected_id")).alias("detected_id"), F.when(F.col("matched"), F.col("score")).alias("score"), why.alias("reason"))
 
 
 def suppress(boxes: DataFrame, picture: str, most_overlap: float) -> DataFrame:

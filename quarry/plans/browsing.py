@@ -77,11 +77,10 @@ def directory_rank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH w AS (
-  SELECT doc_id, unnest(list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents WHERE lang = 'en' AND text IS NOT NULL
-) SELECT doc_id FROM w GROUP BY doc_id HAVING bool_or(starts_with(word, 'tion')) AND bool_or(starts_with(word, 'the')) AND bool_or(starts_with(word, 'ening'))""")
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL
+) SELECT doc_id FROM w GROUP BY doc_id HAVING bool_or(starts_with(word, 'cion')) AND bool_or(starts_with(word, 'es')) AND bool_or(starts_with(word, 'ent'))""")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents").where("lang = 'en'")
-    return S.match_all(S.index(documents, "doc_id", "text"), "Tion  THE ening", "doc_id")
+    return S.match_all(S.index(table(spark, sf_dir, "documents"), "doc_id", "text"), "Ción  ES ent", "doc_id")
 
 
 @register(r"""
@@ -109,12 +108,12 @@ def path_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH p AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages WHERE page_id % 5 = 0),
+WITH p AS (SELECT DISTINCT list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
 n AS (SELECT unnest(range(1, len(parts) + 1)) AS k, parts FROM p WHERE len(parts) > 0)
 SELECT '/root/' || array_to_string(parts[1:k], '/') AS path, bool_or(k = len(parts)) AS is_match FROM n GROUP BY 1""")
 def search_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.filter(F.split(F.regexp_extract("url", "^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda x: x != "")
-    rows = table(spark, sf_dir, "pages").where("page_id % 5 = 0").select(parts.alias("parts")).where("size(parts) > 0")
+    rows = table(spark, sf_dir, "pages").select(parts.alias("parts")).where("size(parts) > 0")
     return S.search_tree(rows.select(F.concat(F.lit("/root/"), F.array_join("parts", "/")).alias("path"), F.lit("/root").alias("root_path")).distinct())
 
 

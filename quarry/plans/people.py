@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import geometry as G
@@ -84,18 +84,62 @@ def gallery_rank_open(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.rank_open(faces, V.gallery_scores(faces, references, 0.2)).select("face_id", "person_id", F.round("score", 6).alias("score"))
 
 
-@register(f"""WITH p AS (SELECT a.label, a.vec_id AS m, b.vec_id AS d, list_cosine_similarity(a.{D}, b.{D}) AS score FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+@register(f"""WITH p AS (SELECT a.vec_id // 20 AS picture, a.vec_id AS m, b.vec_id AS d, list_cosine_similarity(a.{D}, b.{D}) AS score FROM embeddings a JOIN embeddings b ON a.vec_id // 20 = b.vec_id // 20 AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
 r AS (SELECT *, row_number() OVER wm AS mk, lead(score) OVER wm AS mn, row_number() OVER wd AS dk, lead(score) OVER wd AS dn FROM p WHERE score >= 0.05
-  WINDOW wm AS (PARTITION BY label, m ORDER BY score DESC, d), wd AS (PARTITION BY label, d ORDER BY score DESC, m))
-SELECT label, m AS manual_id, d AS detected_id, round(score, 6) AS score, dk = 1 AND (mn IS NULL OR score - mn >= 0.02) AND (dn IS NULL OR score - dn >= 0.02) AS matched FROM r WHERE mk = 1""".replace("a.embedding::DOUBLE[]", "a.embedding::DOUBLE[]"))
+  WINDOW wm AS (PARTITION BY picture, m ORDER BY score DESC, d), wd AS (PARTITION BY picture, d ORDER BY score DESC, m))
+SELECT picture, m AS manual_id, d AS detected_id, round(score, 6) AS score, dk = 1 AND (mn IS NULL OR score - mn >= 0.02) AND (dn IS NULL OR score - dn >= 0.02) AS matched FROM r WHERE mk = 1""")
 def align_mutual_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _features(spark, sf_dir).select("label", "feature_row_id", "vector")
+    rows = _features(spark, sf_dir).select(F.floor(F.col("feature_row_id") / 20).alias("picture"), "feature_row_id", "vector")
     manual, detected = rows.where("feature_row_id % 2 = 0").alias("m"), rows.where("feature_row_id % 2 = 1").alias("d")
-    pairs = manual.join(detected, F.col("m.label") == F.col("d.label")).select("m.label", F.col("m.feature_row_id").alias("manual_id"), F.col("d.feature_row_id").alias("detected_id"), G.cosine(F.col("m.vector"), F.col("d.vector")).alias("score"))
-    return V.mutual_best(pairs.where("score >= 0.05"), 0.02, ("label",)).select("label", "manual_id", "detected_id", F.round("score", 6).alias("score"), "matched")
-
-
-@register()
+    pairs = manual.join(detected, F.col("m.picture") == F.col("d.picture")).select("m.picture", F.col("m.feature_row_id").alias("manual_id"), F.col("d.feature_row_id").alias("detected_id"), G.cosine(F.col("m.vector"), F.col("d.vector")).alias("score"))
+    return V.mutual_best(pairs.where("score >= 0.05"), 0.02, ("picture",)).select("picture", "manual_id", "detected_id", F.round("score", 6).alias("score"), "matched")
+
+
+def _iou(a: str, b: str) -> str:
+    common = f"(greatest(least({a}[1] + {a}[3], {b}[1] + {b}[3]) - greatest({a}[1], {b}[1]), 0) * greatest(least({a}[2] + {a}[4], {b}[2] + {b}[4]) - greatest({a}[2], {b}[2]), 0))"
+    return f"({common} / ({a}[3] * {a}[4] + {b}[3] * {b}[4] - {common}))"
+
+
+@register(f"""WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem),
+b AS (SELECT l_orderkey, rn AS id, CASE WHEN l_suppkey % 9 = 1 THEN 'old' WHEN l_suppkey % 9 <> 0 THEN 'r' || l_orderkey END AS rev, l_partkey % 11 = 0 AS needs, CAST((rn - 1) // 2 % 2 AS DOUBLE) * 0.3 AS x,
+  CASE WHEN l_partkey % 3 <> 0 THEN [x, 0.1::DOUBLE, 0.2 + CAST(l_partkey % 5 AS DOUBLE) * 0.01, 0.2::DOUBLE] END AS face, CASE WHEN l_suppkey % 2 = 0 THEN [x, 0.05::DOUBLE, 0.4::DOUBLE, 0.3 + CAST(l_suppkey % 4 AS DOUBLE) * 0.05] END AS body FROM l),
+m AS (SELECT * FROM b WHERE id % 2 = 1), d AS (SELECT * FROM b WHERE id % 2 = 0 AND rev = 'r' || l_orderkey),
+p AS (SELECT m.l_orderkey, m.id AS mid, d.id AS did, CASE WHEN m.face IS NOT NULL AND d.face IS NOT NULL AND {_iou('m.face', 'd.face')} >= 0.75 AND (m.body IS NULL OR d.body IS NULL OR {_iou('m.body', 'd.body')} >= 0.5) THEN {_iou('m.face', 'd.face')}
+  WHEN m.face IS NULL AND d.face IS NULL AND {_iou('m.body', 'd.body')} >= 0.8 THEN {_iou('m.body', 'd.body')} END AS score FROM m JOIN d ON d.l_orderkey = m.l_orderkey WHERE NOT m.needs AND m.rev = 'r' || m.l_orderkey),
+r AS (SELECT *, row_number() OVER wm AS mk, lead(score) OVER wm AS mn, row_number() OVER wd AS dk, lead(score) OVER wd AS dn FROM p WHERE score IS NOT NULL
+  WINDOW wm AS (PARTITION BY l_orderkey, mid ORDER BY score DESC, did), wd AS (PARTITION BY l_orderkey, did ORDER BY score DESC, mid)),
+best AS (SELECT *, dk = 1 AND (mn IS NULL OR score - mn >= 0.15) AND (dn IS NULL OR score - dn >= 0.15) AS ok FROM r WHERE mk = 1)
+SELECT m.l_orderkey, m.id AS manual_id, CASE WHEN ok THEN did END AS detected_id, CASE WHEN ok THEN round(score, 6) END AS score,
+  CASE WHEN needs THEN 'needs_review' WHEN rev IS NULL THEN 'source_unverified' WHEN rev = 'old' THEN 'source_changed' WHEN did IS NULL THEN 'no_matching_detection' WHEN NOT ok THEN 'ambiguous_geometry' END AS reason
+FROM m LEFT JOIN best ON best.l_orderkey = m.l_orderkey AND best.mid = m.id""")
+def align_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order a picture, its line items instances: odd places manual, even ones detected."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = table(spark, sf_dir, "lineitem").withColumn("id", F.row_number().over(order).cast("long"))
+    x = F.floor((F.col("id") - 1) / 2) % 2 * F.lit(0.3)
+    current = F.concat(F.lit("r"), F.col("l_orderkey").cast("string"))
+    rev = F.when(F.col("l_suppkey") % 9 == 1, "old").when(F.col("l_suppkey") % 9 != 0, current)
+    face = F.when(F.col("l_partkey") % 3 != 0, F.array(x, F.lit(0.1), 0.2 + (F.col("l_partkey") % 5).cast("double") * 0.01, F.lit(0.2)))
+    body = F.when(F.col("l_suppkey") % 2 == 0, F.array(x, F.lit(0.05), F.lit(0.4), 0.3 + (F.col("l_suppkey") % 4).cast("double") * 0.05))
+    boxes = rows.select("l_orderkey", "id", rev.alias("source_identity_revision"), current.alias("revision"), face.alias("face_box"), body.alias("body_box"), (F.col("l_partkey") % 11 == 0).alias("needs_review"))
+    score = G.pair_score(F.col("m.face_box"), F.col("m.body_box"), F.col("d.face_box"), F.col("d.body_box"))
+    found = V.align(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"), F.col("revision"), score, picture=("l_orderkey",))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@register(f"""WITH RECURSIVE u AS (SELECT CAST(label AS VARCHAR) AS folder_path, '/p/' || (vec_id % 50) AS asset_path, CAST(vec_id AS VARCHAR) AS instance_id, vec_id % 17 AS quality, {D} AS e, sqrt(list_dot_product({D}, {D})) AS norm FROM embeddings),
+f AS (SELECT *, row_number() OVER (PARTITION BY folder_path ORDER BY quality DESC, asset_path, instance_id) AS k, list_transform(e, lambda x: CAST(CAST(x / norm AS FLOAT) AS DOUBLE)) AS v FROM u),
+p AS (SELECT a.folder_path, a.k AS i, b.k AS j, CASE WHEN a.asset_path = b.asset_path THEN -1 ELSE list_dot_product(a.v, b.v) END AS l FROM f a JOIN f b ON a.folder_path = b.folder_path AND a.k > b.k),
+e AS (SELECT *, row_number() OVER (PARTITION BY folder_path ORDER BY l DESC, i, j) AS step FROM p WHERE l >= 0.12),
+bad AS (SELECT folder_path, list({{'i': i, 'j': j}}) AS pairs FROM p WHERE l < 0.12 GROUP BY folder_path),
+s AS (SELECT folder_path, CAST(0 AS BIGINT) AS step, list(k ORDER BY k) AS owner FROM f GROUP BY folder_path
+  UNION ALL SELECT folder_path, step, CASE WHEN a <> b AND len(list_filter(pairs, lambda x: (owner[x.i] = a AND owner[x.j] = b) OR (owner[x.i] = b AND owner[x.j] = a))) = 0
+    THEN list_transform(owner, lambda o: CASE WHEN o = b THEN a ELSE o END) ELSE owner END
+  FROM (SELECT s.folder_path, e.step, s.owner, coalesce(bad.pairs, []) AS pairs, s.owner[e.i] AS a, s.owner[e.j] AS b FROM s JOIN e ON e.folder_path = s.folder_path AND e.step = s.step + 1 LEFT JOIN bad ON bad.folder_path = s.folder_path) t),
+last AS (SELECT folder_path, arg_max(owner, step) AS owner FROM s GROUP BY folder_path),
+o AS (SELECT f.folder_path, asset_path, instance_id, owner[k] AS owner FROM f JOIN last ON last.folder_path = f.folder_path),
+n AS (SELECT folder_path, owner, sha256('[' || string_agg('["' || asset_path || '", "' || instance_id || '"]', ', ' ORDER BY asset_path, instance_id) || ']') AS cluster_id FROM o GROUP BY folder_path, owner HAVING count(*) > 1)
+SELECT o.folder_path, asset_path, instance_id, cluster_id FROM o LEFT JOIN n ON n.folder_path = o.folder_path AND n.owner = o.owner""")
 def complete_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces = _features(spark, sf_dir).select(F.col("label").cast("string").alias("folder_path"), "asset_path", "instance_id", (F.col("feature_row_id") % 17).cast("double").alias("quality"), G.unit(F.col("vector")).alias("vector"))
     return V.complete_link(faces, threshold=0.12)
@@ -130,14 +174,35 @@ def detection_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(G.face_quality(F.col("p_retailprice"), unit), 6).alias("quality"), F.round(box[2], 6).alias("width"))
 
 
-@register()
+@register("""WITH RECURSIVE b AS (SELECT p_partkey // 50 AS picture, p_partkey AS id, CAST(p_partkey * 7 % 90 AS DOUBLE) AS x1, CAST(p_size * 3 AS DOUBLE) AS y1, CAST(p_partkey * 7 % 90 AS DOUBLE) + 40 AS x2, CAST(p_size * 3 AS DOUBLE) + 30 AS y2, p_retailprice AS score FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY picture ORDER BY score DESC, id) AS k FROM b),
+s AS (SELECT picture, k, [{'x': x1, 'y': y1}] AS kept, true AS stays FROM r WHERE k = 1
+  UNION ALL SELECT picture, k, CASE WHEN free THEN list_append(kept, {'x': x1, 'y': y1}) ELSE kept END, free FROM (
+    SELECT r.picture, r.k, r.x1, r.y1, s.kept, len(list_filter(s.kept, lambda o: greatest(least(o.x + 40, r.x2) - greatest(o.x, r.x1) + 1, 0) * greatest(least(o.y + 30, r.y2) - greatest(o.y, r.y1) + 1, 0)
+      / (2 * 41 * 31 - greatest(least(o.x + 40, r.x2) - greatest(o.x, r.x1) + 1, 0) * greatest(least(o.y + 30, r.y2) - greatest(o.y, r.y1) + 1, 0)) > 0.4)) = 0 AS free
+    FROM s JOIN r ON r.picture = s.picture AND r.k = s.k + 1) t)
+SELECT r.picture, id, x1, y1, x2, y2, score FROM s JOIN r ON r.picture = s.picture AND r.k = s.k WHERE stays""")
 def suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     x, y = (F.col("p_partkey") * 7 % 90).cast("double"), (F.col("p_size") * 3).cast("double")
-    boxes = p.select((F.col("p_partkey") % 20).alias("picture"), F.col("p_partkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + 40).alias("x2"), (y + 30).alias("y2"), F.col("p_retailprice").alias("score"))
+    boxes = p.select(F.floor(F.col("p_partkey") / 50).alias("picture"), F.col("p_partkey").alias("id"), x.alias("x1"), y.alias("y1"), (x + 40).alias("x2"), (y + 30).alias("y2"), F.col("p_retailprice").alias("score"))
     return V.suppress(boxes, "picture", 0.4)
 
 
+@register("""SELECT vec_id, vec_id % 5 <> 0 AND vec_id % 3 <> 2 AS usable FROM embeddings""")
+def cluster_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of 512 numbers and of 64, of squared lengths within 0.002 of 1 and beyond."""
+    stretch = (1 + (F.col("vec_id") % 3) * 0.0008) / G.norm(F.col("embedding"))
+    wide = F.transform(F.flatten(F.array_repeat("embedding", 8)), lambda x: x.cast("double") * stretch / 8**0.5)
+    vector = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: x.cast("double") * stretch)).otherwise(wide)
+    return table(spark, sf_dir, "embeddings").select("vec_id", G.cluster_vector(vector).isNotNull().alias("usable"))
+
+
+@register("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 60 OFFSET 7")
+def gallery_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.gallery_page(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 7, 100, "o_totalprice", "o_orderkey")
+
+
 INSTANCES = """instances AS (SELECT o_custkey AS k, CAST(o_orderkey AS VARCHAR) AS instance_id, CASE WHEN o_orderkey % 4 = 0 THEN 'old' ELSE c_nationkey || ':' || o_custkey END AS rev, o_orderstatus = 'P' AS needs FROM orders JOIN customer ON c_custkey = o_custkey),
 reviews AS (SELECT CAST(l_orderkey AS VARCHAR) AS instance_id, max(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 3 <> 0 GROUP BY l_orderkey),
 known AS (SELECT i.*, CASE r.flag WHEN 'A' THEN 'belongs' WHEN 'N' THEN 'pending' WHEN 'R' THEN 'doesNotBelong' END AS decision, rev <> c_nationkey || ':' || c_custkey OR needs AS stale FROM instances i JOIN customer ON c_custkey = k LEFT JOIN reviews r ON r.instance_id = i.instance_id)"""
@@ -247,18 +312,21 @@ def cluster_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.adopt_cluster(members, aligned, reviews, "me")[1]
 
 
-@register("""WITH base AS (SELECT CAST(o_orderkey AS VARCHAR) AS i, CASE WHEN o_orderkey % 2 = 0 THEN 'person:' || (o_custkey % 7) ELSE 'unknown:g' || (o_custkey % 11) END AS g, o_orderkey % 2 = 0 AS known FROM orders WHERE o_orderkey < 2000),
-rev AS (SELECT CAST(c_custkey AS VARCHAR) AS i, 'person:' || (c_nationkey % 7) AS g, CASE WHEN c_custkey % 3 = 0 THEN 'doesNotBelong' WHEN c_custkey % 3 = 1 THEN 'belongs' ELSE 'pending' END AS decision FROM customer WHERE c_custkey % 4 = 0),
+@register("""WITH base AS (SELECT CAST(o_orderkey AS VARCHAR) AS i, CASE WHEN o_orderkey % 2 = 0 THEN 'person:' || (o_custkey % 7) ELSE 'unknown:g' || (o_custkey % 11) END AS g, o_orderkey % 2 = 0 AS known FROM orders UNION ALL SELECT 'm' || s_suppkey, 'unknown:m' || s_suppkey, false FROM supplier),
+rev AS (SELECT CAST(c_custkey AS VARCHAR) AS i, 'person:' || (c_nationkey % 7) AS g, CASE WHEN c_custkey % 3 = 0 THEN 'doesNotBelong' WHEN c_custkey % 3 = 1 THEN 'belongs' ELSE 'pending' END AS decision FROM customer
+  UNION ALL SELECT 'm' || s_suppkey, 'person:' || (s_nationkey % 7), 'doesNotBelong' FROM supplier WHERE s_acctbal < 0),
 m AS (SELECT b.i, r.g, true AS known, r.decision FROM rev r JOIN base b ON b.i = r.i
   UNION ALL SELECT b.i, 'unknown:' || b.i, false, NULL FROM rev r JOIN base b ON b.i = r.i WHERE r.decision = 'doesNotBelong'
   UNION ALL SELECT b.i, b.g, b.known, NULL FROM base b WHERE NOT EXISTS (SELECT 1 FROM rev r WHERE r.i = b.i AND r.decision <> 'doesNotBelong')),
 o AS (SELECT g, i, bool_or(known) AS known, max(decision) AS decision FROM m GROUP BY g, i)
 SELECT g AS group_id, known, i AS instance_id, decision, count(*) OVER (PARTITION BY g) AS size FROM o""")
 def person_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, c = table(spark, sf_dir, "orders").where("o_orderkey < 2000"), table(spark, sf_dir, "customer").where("c_custkey % 4 = 0")
+    o, c, s = (table(spark, sf_dir, t) for t in ("orders", "customer", "supplier"))
     even = F.col("o_orderkey") % 2 == 0
     person = F.when(even, (F.col("o_custkey") % 7).cast("string"))
     suggestions = o.select(F.col("o_orderkey").cast("string").alias("instance_id"), F.lit("/a").alias("asset_path"), F.when(even, F.concat(F.lit("person:"), person)).otherwise(F.concat(F.lit("unknown:g"), (F.col("o_custkey") % 11).cast("string"))).alias("group_id"), person.alias("person_id"))
     k = F.col("c_custkey") % 3
     reviews = c.select(F.col("c_custkey").cast("string").alias("instance_id"), (F.col("c_nationkey") % 7).cast("string").alias("person_id"), F.when(k == 0, "doesNotBelong").when(k == 1, "belongs").otherwise("pending").alias("decision"))
-    return P.workspace(suggestions, suggestions.limit(0), reviews).drop("asset_path")
+    manual_id = F.concat(F.lit("m"), F.col("s_suppkey").cast("string")).alias("instance_id")
+    excluded = s.where("s_acctbal < 0").select(manual_id, (F.col("s_nationkey") % 7).cast("string").alias("person_id"), F.lit("doesNotBelong").alias("decision"))
+    return P.workspace(suggestions, s.select(manual_id, F.lit("/m").alias("asset_path")), reviews.unionByName(excluded)).drop("asset_path")

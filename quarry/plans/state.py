@@ -19,10 +19,10 @@ QUERIES, ORACLE = register.queries, register.oracle
 OBSERVATIONS = """obs AS (SELECT 'u' || user_id AS path, event_type AS projection_kind, CAST(epoch_us(ts) // 3600000000 AS BIGINT) AS valid_at, event_id AS arrival, CAST(event_id % 4 AS BIGINT) AS state_revision, CAST(value AS VARCHAR) AS status FROM events)"""
 
 
-def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as observations, their time in whole hours, so that there are ties."""
+def _observations(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """events, or a stream of them, as observations, their time in whole hours, so that there are ties."""
     hours = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).cast("long")
-    return table(spark, sf_dir, "events").select(
+    return (events or table(spark, sf_dir, "events")).select(
         F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.col("event_type").alias("projection_kind"), hours.alias("valid_at"), F.col("event_id").alias("arrival"),
         (F.col("event_id") % 4).cast("long").alias("state_revision"), F.col("value").cast("string").alias("status"))
 
@@ -72,11 +72,11 @@ def projection_image_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 @register("""
-SELECT p_partkey, o_orderkey FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey < 400) p JOIN (SELECT o_orderkey, (o_custkey % 3) || ':' || (o_orderkey % 2) || ':x' AS rev, o_orderstatus FROM orders WHERE o_orderkey < 3000) o
-  ON o.o_orderkey % 400 = p.p_partkey WHERE o_orderstatus = 'F' AND starts_with(rev, (p_size % 3) || ':' || (p_partkey % 2) || ':')""")
+SELECT p_partkey, o_orderkey FROM part JOIN (SELECT o_orderkey, o_custkey, (o_orderkey % 3) || ':' || (o_orderkey % 2) || ':x' AS rev, o_orderstatus FROM orders) o
+  ON o_custkey = p_partkey WHERE o_orderstatus = 'F' AND starts_with(rev, (p_size % 3) || ':' || (p_partkey % 2) || ':')""")
 def projection_stale_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, part = table(spark, sf_dir, "orders").where("o_orderkey < 3000"), table(spark, sf_dir, "part").where("p_partkey < 400")
-    state = orders.select((F.col("o_orderkey") % 400).alias("path"), "o_orderkey", F.concat_ws(":", (F.col("o_custkey") % 3).cast("string"), (F.col("o_orderkey") % 2).cast("string"), F.lit("x")).alias("source_revision"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("error").alias("status"))
+    orders, part = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    state = orders.select(F.col("o_custkey").alias("path"), "o_orderkey", F.concat_ws(":", (F.col("o_orderkey") % 3).cast("string"), (F.col("o_orderkey") % 2).cast("string"), F.lit("x")).alias("source_revision"), F.when(F.col("o_orderstatus") == "F", "ready").otherwise("error").alias("status"))
     found = P.while_revalidating(state, part.select(F.col("p_partkey").alias("path"), (F.col("p_size") % 3).alias("modified_at_ms"), (F.col("p_partkey") % 2).alias("size_bytes")))
     return found.select(F.col("path").alias("p_partkey"), "o_orderkey")
 
@@ -179,15 +179,16 @@ def ledger_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {TASKS}, c AS (SELECT * FROM tasks t WHERE state = 'queued' AND NOT EXISTS (SELECT 1 FROM tasks e WHERE e.run_id = t.run_id AND e.asset_path = t.asset_path AND e.stage_order < t.stage_order AND e.state <> 'completed'))
-SELECT t.run_id, t.asset_path, t.stage_id, CASE WHEN c.stage_id IS NULL THEN CASE WHEN t.state = 'queued' AND EXISTS (SELECT 1 FROM tasks e WHERE e.run_id = t.run_id AND e.asset_path = t.asset_path AND e.stage_order < t.stage_order AND e.state = 'failed') THEN 'failed' ELSE t.state END WHEN t.asset_path % 4 = 0 THEN 'failed' WHEN t.asset_path % 4 = 1 THEN 'running' ELSE 'completed' END AS state
-FROM tasks t LEFT JOIN c ON c.run_id = t.run_id AND c.asset_path = t.asset_path AND c.stage_id = t.stage_id WHERE t.stage_order <= 3 AND t.asset_path % 4 <> 0""")
+, a AS (SELECT t.*, CASE WHEN c.stage_id IS NULL THEN t.state WHEN t.asset_path % 4 = 0 THEN 'failed' WHEN t.asset_path % 4 = 1 THEN 'running' ELSE 'completed' END AS now
+  FROM tasks t LEFT JOIN c ON c.run_id = t.run_id AND c.asset_path = t.asset_path AND c.stage_id = t.stage_id)
+SELECT run_id, asset_path, stage_id, CASE WHEN now = 'queued' AND EXISTS (SELECT 1 FROM a e WHERE e.run_id = a.run_id AND e.asset_path = a.asset_path AND e.stage_order < a.stage_order AND e.now = 'failed') THEN 'failed' ELSE now END AS state FROM a""")
 def ledger_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tasks(spark, sf_dir)
     claims = own.select(*L.TASK, F.explode(F.array(F.lit("t2"), F.lit("t1"))).alias("claim_token"))
     running = L.apply_claims(own, claims)
     token = F.when(F.col("asset_path") % 4 == 1, "t2").otherwise("t1")
     outcomes = own.select(*L.TASK, "source_revision", "stage_fingerprint", token.alias("claim_token"), F.when(F.col("asset_path") % 4 == 0, "failed").otherwise("completed").alias("outcome"), F.lit("e").alias("error"))
-    return L.apply_outcomes(running, outcomes).where("stage_order <= 3 AND asset_path % 4 != 0").select("run_id", "asset_path", "stage_id", "state")
+    return L.apply_outcomes(running, outcomes).select("run_id", "asset_path", "stage_id", "state")
 
 
 @register("SELECT user_id AS key, max(CAST(value AS INTEGER) % 5) AS priority, min(event_id) AS seq, arg_max(event_type, event_id) AS payload FROM events GROUP BY user_id".replace("CAST(value AS INTEGER)", "CAST(floor(value) AS INTEGER)"))

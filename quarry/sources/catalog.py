@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,34 +42,65 @@ def directory_order() -> list:
 
 
 class Snapshots:
-    """Immutable versions of a relation under one folder, with a table of which is current; the two newest are kept known."""
+    """Immutable versions of a relation under one folder. Version n is current where log/n is the newest entry; the two newest versions are kept, older ones removed.
+
+    Publishing is fenced: the entry of a number is created by one writer alone, without overwriting; whoever comes second is refused.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema("version string, number long").json(f"{self.folder}/log")
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
 
     def _numbers(self) -> list[tuple[int, str]]:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/log")
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
+        """The numbers and versions of the entries, the newest first."""
+        path, system = self._path("log")
+        if not system.exists(path):
             return []
-        return sorted(((r["number"], r["version"]) for r in self._log().orderBy(F.col("number").desc()).limit(2).collect()), reverse=True)
+        names = [f.getPath().getName() for f in system.listStatus(path)]
+        newest = sorted((int(n) for n in names if n.isdigit()), reverse=True)[:3]
+        versions = {n: self._version(n) for n in newest}
+        return [(n, v) for n, v in versions.items() if v]  # an entry without content is still being written
+
+    def _version(self, number: int) -> str:
+        path, system = self._path(f"log/{number}")
+        source = system.open(path)
+        try:
+            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
+        finally:
+            source.close()
 
     def publish(self, df: DataFrame, expected: int | None = None) -> int:
-        """Writes a version and makes it current; where expected is given and another number is current, it is refused."""
+        """Writes a version and makes it current; refused where another number than expected is current, or where another writer takes the number first."""
         now = self._numbers()
         current = now[0][0] if now else 0
         if expected is not None and expected != current:
             raise ValueError(f"version {current} is current, not {expected}")
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/data/{version}")
-        self.spark.createDataFrame([(version, current + 1)], "version string, number long").coalesce(1).write.mode("append").json(f"{self.folder}/log")
+        path, system = self._path(f"log/{current + 1}")
+        try:
+            entry = system.create(path, False)
+        except Py4JJavaError as e:
+            self._remove(version)
+            raise ValueError(f"version {current + 1} was published by another writer") from e
+        entry.write(version.encode())
+        entry.close()
+        for number, old in self._numbers()[2:]:
+            self._remove(old)
+            path, system = self._path(f"log/{number}")
+            system.delete(path, False)
         return current + 1
 
+    def _remove(self, version: str) -> None:
+        path, system = self._path(f"data/{version}")
+        system.delete(path, True)
+
     def read(self, number: int | None = None) -> DataFrame:
         """The current version, or the one asked for if it is one of the two newest."""
-        for n, version in self._numbers():
+        for n, version in self._numbers()[:2]:
             if number is None or n == number:
                 return self.spark.read.parquet(f"{self.folder}/data/{version}")
         raise LookupError("stale" if number is not None else "nothing is published")
