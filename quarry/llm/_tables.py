@@ -1,47 +1,5 @@
 """Tables that operators keep between their passes, in the folder the cluster shares."""
 
-from __future__ import annotations
+from quarry.tables import kept, new_path, partitions, removed, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-SETTING = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset, a job in one process gets a temporary one, which is then set; a cluster's job is an error."""
-    found = spark.conf.get(SETTING, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
-        spark.conf.set(SETTING, found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quarry/{label}-{uuid.uuid4().hex}"
-
-
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once and reads it back: cuts the lineage, fixes generated row numbers and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._quarry_path = path
-    return out
-
-
-def removed(*tables: DataFrame) -> None:
-    """Deletes tables made by kept() that have been replaced: nothing that is still to be computed may read them."""
-    for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table._quarry_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+__all__ = ["kept", "new_path", "partitions", "removed", "shared_dir"]
