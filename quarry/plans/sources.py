@@ -25,6 +25,16 @@ register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
 
 
+@register("""SELECT 'n_regionkey=' || n_regionkey AS name, true AS has_children, 1 AS depth, 'tree' AS parent FROM nation
+UNION SELECT 'n_name=' || replace(n_name, ' ', '%20'), false, 2, 'n_regionkey=' || n_regionkey FROM nation""".replace("%20", " "))
+def directory_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of partition folders is written, then walked."""
+    root = new_path(spark, "walk") + "/tree"
+    table(spark, sf_dir, "nation").write.partitionBy("n_regionkey", "n_name").csv(root)
+    found = catalog.listed_directories(catalog.walk(spark, root), root)
+    return found.select("name", "has_children", "depth", F.element_at(F.split("parent_path", "/"), -1).alias("parent"))
+
+
 @register("""SELECT 'r' || n_regionkey AS root_path, c_custkey, c_name, CAST(1 AS BIGINT) AS scan_id FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 1
 UNION ALL SELECT 'r1', c_custkey, upper(c_name), 2 FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 1 AND c_custkey % 3 <> 0""")
 def next_generation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, ascii_upper, asset_kind, base_name, extension, parent_path, stable_id, stem_path
+from quarry.tables import kept, partitions
 
 
 def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -17,6 +21,48 @@ def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     return reader.load(root).select("path", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_at_ms"))
 
 
+ENTRY = "path string, is_directory boolean, size_bytes long, modified_at_ms long"
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the directories of a batch hold; one that cannot be listed holds nothing."""
+    names = [f.split(" ")[0] for f in ENTRY.split(", ")]
+    for batch in batches:
+        for root in batch.column(0).to_pylist():
+            try:
+                system, inside = fs.FileSystem.from_uri(root)
+                found = system.get_file_info(fs.FileSelector(inside))
+            except OSError:
+                continue
+            rows = [(f"{root.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1_000_000) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=names)
+
+
+def walk(spark: SparkSession, root: str, recursive: bool = True, most_depth: int = 64) -> DataFrame:
+    """(path, is_directory, size_bytes, modified_at_ms) of all that is below a root URI, empty files and directories too, links followed.
+
+    A level's directories are listed by tasks, and are the next level's input; nothing but their being there comes to the driver. A tree of more
+    than most_depth levels, such as a link to a directory above makes, is an error.
+    """
+    level, found = spark.createDataFrame([(root,)], "path string"), None
+    for _ in range(most_depth):
+        entries = kept(level.repartition(partitions(spark)).mapInArrow(_entries, ENTRY), "entries")
+        found = entries if found is None else found.unionByName(entries)
+        level = entries.where("is_directory").select("path")
+        if not recursive or level.isEmpty():
+            return found
+    raise ValueError(f"more than {most_depth} levels below {root}")
+
+
+def listed_directories(found: DataFrame, root: str) -> DataFrame:
+    """(path, parent_path, name, has_children, depth) of the directories of a walk."""
+    each = found.where("is_directory").select("path")
+    parents = each.select(parent_path(F.col("path")).alias("path")).distinct().withColumn("has_children", F.lit(True))
+    below = F.substring(F.col("path"), len(root.rstrip("/")) + 2, F.length("path"))
+    return each.join(parents, "path", "left").select("path", parent_path(F.col("path")).alias("parent_path"), base_name(F.col("path")).alias("name"), F.coalesce("has_children", F.lit(False)).alias("has_children"), F.size(F.split(below, "/")).alias("depth"))
+
+
 def assets(listing: DataFrame) -> DataFrame:
     """Supported files as asset rows; a sidecar beside one, the same path with the extension xmp, is noted and is no row of its own."""
     split = listing.withColumns({"name": base_name(F.col("path")), "ext": extension(F.col("path")), "stem": stem_path(F.col("path"))})

@@ -1,7 +1,7 @@
 """Embedded tags of image files, as a long relation (path, ord, group, name, value).
 
-Spark reads the files and deals them out; a task's part is the small walk below: find a container's EXIF
-and XMP blocks, read the directories' entries, and pick XMP properties. What is damaged gives no rows.
+Spark reads the files and deals them out; a task's part is the small walk below: find a container's EXIF,
+XMP, profile and IPTC blocks, read the directories' entries, and pick XMP properties. What is damaged gives no rows.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from quarry.sources import embedded as E
+
 TAG_SCHEMA = "path string, ord int, group string, name string, value string"
 
 #: EXIF entries that the catalog knows, by number.
@@ -89,6 +91,17 @@ def xmp_tags(xml: str) -> Iterator[Tag]:
 
 def _jpeg(data: bytes) -> Iterator[tuple[str, bytes]]:
     at = 2
+    profile: dict[int, bytes] = {}
+    extended: dict[bytes, dict[int, bytes]] = {}
+    yield from _jpeg_segments(data, at, profile, extended)
+    if profile:
+        yield "icc", E.joined_profile(profile)
+    for parts in extended.values():
+        yield "xmp", E.joined_profile(parts)
+
+
+def _jpeg_segments(data: bytes, at: int, profile: dict[int, bytes], extended: dict[bytes, dict[int, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """A JPEG's blocks up to its picture; what comes in parts is put into profile (by number) and extended (by packet and place)."""
     while at + 4 <= len(data) and data[at] == 0xFF:
         marker, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
         if marker == 0xDA:
@@ -98,6 +111,12 @@ def _jpeg(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield "exif", body[6:]
         elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
             yield "xmp", body[29:]
+        elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xmp/extension/\0") and len(body) > 75:
+            extended.setdefault(body[35:67], {})[struct.unpack_from(">I", body, 71)[0]] = body[75:]
+        elif marker == 0xE2 and body.startswith(b"ICC_PROFILE\0") and len(body) > 14:
+            profile[body[12]] = body[14:]
+        elif marker == 0xED and body.startswith(b"Photoshop 3.0\0"):
+            yield "iptc", body[14:]
         elif marker in (0xC0, 0xC1, 0xC2) and len(body) >= 5:
             yield "size", struct.pack(">II", *struct.unpack(">HH", body[1:5]))
         at += 2 + size
@@ -112,6 +131,8 @@ def _png(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield "exif", body
         elif kind == b"iTXt" and body.startswith(b"XML:com.adobe.xmp\0\0\0\0\0"):
             yield "xmp", body[22:]
+        elif kind == b"iCCP":
+            yield "icc", E.png_profile(body)
         elif kind == b"IHDR" and len(body) >= 8:
             width, height = struct.unpack(">II", body[:8])
             yield "size", struct.pack(">II", height, width)
@@ -127,6 +148,8 @@ def _webp(data: bytes) -> Iterator[tuple[str, bytes]]:
             yield "exif", body.removeprefix(b"Exif\0\0")
         elif kind == b"XMP ":
             yield "xmp", body
+        elif kind == b"ICCP":
+            yield "icc", body
         at += 8 + size + size % 2
 
 
@@ -138,6 +161,8 @@ def blocks(data: bytes, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
         yield from _png(data)
     elif data.startswith(b"RIFF") and data[8:12] == b"WEBP":
         yield from _webp(data)
+    elif data[4:8] in (b"ftyp", b"moov", b"mdat", b"wide", b"free"):
+        yield from E.iso_blocks(data)
     elif data[:4] in (b"II*\0", b"MM\0*"):
         yield "exif", data
     elif data.startswith((b"GIF87a", b"GIF89a")) and len(data) >= 10:
@@ -154,13 +179,27 @@ def blocks(data: bytes, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
         yield "xmp", data
 
 
+def _whole(found: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """The blocks up to where a walk meets damage."""
+    try:
+        yield from found
+    except (struct.error, IndexError):
+        return
+
+
 def tags_of(data: bytes, sidecar: bool = False) -> Iterator[Tag]:
-    for kind, body in blocks(data, sidecar):
+    for kind, body in _whole(blocks(data, sidecar)):
         try:
             if kind == "exif":
                 yield from exif_tags(body)
             elif kind == "xmp":
                 yield from xmp_tags(body.decode("utf-8", "replace"))
+            elif kind == "icc":
+                yield from E.icc_tags(body)
+            elif kind == "iptc":
+                yield from E.iptc_tags(body)
+            elif kind == "tag":
+                yield body
             else:
                 height, width = struct.unpack(">II", body)
                 yield "File", "ImageSize", f"{width}x{height}"

@@ -1,6 +1,7 @@
 """Sidecars with long preambles, and sizes beyond 16 bits."""
 
 import struct
+import zlib
 
 import pytest
 
@@ -20,3 +21,61 @@ def test_large_sizes():
     bmp = b"BM" + b"\0" * 12 + struct.pack("<Iii", 40, 100000, -70000) + b"\0" * 28
     for data in (png, bmp):
         assert list(containers.tags_of(data)) == [("File", "ImageSize", "100000x70000")]
+
+
+def box(kind: bytes, *body: bytes) -> bytes:
+    inner = b"".join(body)
+    return struct.pack(">I", 8 + len(inner)) + kind + inner
+
+
+def profile() -> bytes:
+    text = "sRGB ü".encode("utf-16-be")
+    mluc = b"mluc" + b"\0" * 4 + struct.pack(">II", 1, 12) + b"enUS" + struct.pack(">II", len(text), 28) + text
+    head = bytearray(128)
+    head[12:24], head[36:40] = b"mntrRGB XYZ ", b"acsp"
+    return bytes(head) + struct.pack(">I4sII", 1, b"desc", 144, len(mluc)) + mluc
+
+
+def test_heif_items():
+    tiff = b"II*\0" + struct.pack("<IH", 8, 1) + struct.pack("<HHI", 0x0112, 3, 1) + struct.pack("<HH", 6, 0) + b"\0" * 4
+    exif = struct.pack(">I", 6) + b"Exif\0\0" + tiff
+    info = lambda n, kind, rest=b"": box(b"infe", b"\2\0\0\0", struct.pack(">HH", n, 0), kind, b"\0", rest)
+    iinf = box(b"iinf", b"\0" * 4, struct.pack(">H", 2), info(1, b"Exif"), info(2, b"mime", b"application/rdf+xml\0"))
+    ispe = box(b"iprp", box(b"ipco", box(b"ispe", b"\0" * 4, struct.pack(">II", 160, 120)), box(b"ispe", b"\0" * 4, struct.pack(">II", 4000, 3000)), box(b"colr", b"prof", profile())))
+    start = box(b"ftyp", b"heic\0\0\0\0")
+
+    def whole(at: int) -> bytes:
+        iloc = box(b"iloc", b"\0" * 4, b"\x44\0", struct.pack(">H", 2), *(struct.pack(">HHHII", n, 0, 1, place, size) for n, place, size in ((1, at, len(exif)), (2, at + len(exif), len(XMP)))))
+        return start + box(b"meta", b"\0" * 4, iinf, iloc, ispe)
+
+    data = whole(len(whole(0)) + 8) + box(b"mdat", exif, XMP)
+    got = {(g, n): v for g, n, v in containers.tags_of(data)}
+    assert got[("EXIF", "Orientation")] == "6" and got[("XMP", "Rating")] == "4" and got[("File", "ImageSize")] == "4000x3000"
+    assert got[("ICC_Profile", "ProfileDescription")] == "sRGB ü" and got[("ICC_Profile", "ColorSpaceData")] == "RGB"
+    for cut in range(0, len(data), 3):
+        list(containers.tags_of(data[:cut]))
+
+
+@pytest.mark.parametrize("version", [0, 1])
+def test_film(version):
+    made = 2082844800 + 86400
+    times = struct.pack(">QQIQ", made, 0, 600, 600 * 3725) if version else struct.pack(">IIII", made, 0, 600, 600 * 3725)
+    track = box(b"trak", box(b"tkhd", b"\0" * 76, struct.pack(">II", 1920 << 16, 1080 << 16)))
+    data = box(b"ftyp", b"qt  ") + box(b"moov", box(b"mvhd", bytes([version, 0, 0, 0]), times), track, box(b"trak", box(b"tkhd", b"\0" * 84)))
+    assert list(containers.tags_of(data)) == [("QuickTime", "CreateDate", "1970:01:02 00:00:00"), ("QuickTime", "Duration", "1:02:05"), ("File", "ImageSize", "1920x1080")]
+
+
+def test_profiles_records_and_long_packets():
+    segment = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    entry = lambda n, text: b"\x1c\2" + struct.pack(">BH", n, len(text)) + text
+    iptc = entry(25, b"sea") + entry(120, "Küste".encode()) + entry(25, b"sky") + entry(200, b"?")
+    photoshop = b"Photoshop 3.0\0" + b"8BIM\x04\x25\0\0\0\0\0\1x\0" + b"8BIM\x04\x04\x03abc" + struct.pack(">I", len(iptc)) + iptc
+    icc, packet = profile(), XMP.replace(b"Rating", b"Label")
+    parts = [segment(0xE2, b"ICC_PROFILE\0" + bytes([k, 2]) + p) for k, p in ((2, icc[100:]), (1, icc[:100]))]
+    long = [segment(0xE1, b"http://ns.adobe.com/xmp/extension/\0" + b"G" * 32 + struct.pack(">II", len(packet), at) + packet[at:to]) for at, to in ((40, len(packet)), (0, 40))]
+    data = b"\xff\xd8" + segment(0xED, photoshop) + b"".join(parts + long) + b"\xff\xda\0\2"
+    got = {(g, n): v for g, n, v in containers.tags_of(data)}
+    assert got[("IPTC", "Keywords")] == "sea, sky" and got[("IPTC", "Caption-Abstract")] == "Küste" and got[("XMP", "Label")] == "4"
+    assert got[("ICC_Profile", "ProfileDescription")] == "sRGB ü"
+    png = b"\x89PNG\r\n\x1a\n" + (lambda b: struct.pack(">I", len(b)) + b"iCCP" + b + b"\0" * 4)(b"name\0\0" + zlib.compress(icc))
+    assert ("ICC_Profile", "ProfileClass", "mntr") in list(containers.tags_of(png))

@@ -124,6 +124,23 @@ def test_scan(spark, folder):
     assert tree == {"sub": (True, 1), "deep": (False, 2)}
 
 
+def test_walk(spark, folder):
+    (folder / "bare" / "er").mkdir(parents=True)
+    root = f"file://{folder}"
+    found = catalog.walk(spark, root)
+    listing = found.where("NOT is_directory")
+    assert {r["path"].rsplit("/", 1)[1]: r["size_bytes"] for r in listing.collect()} == {n.rsplit("/", 1)[-1]: len(d) for n, d in files().items()}
+    assert "empty.png" in {r["name"] for r in catalog.assets(listing).collect()}
+    tree = {r["name"]: (r["has_children"], r["depth"]) for r in catalog.listed_directories(found, root).collect()}
+    assert tree == {"sub": (True, 1), "deep": (False, 2), "bare": (True, 1), "er": (False, 2)}
+    assert catalog.walk(spark, root, recursive=False).where("is_directory").count() == 2
+    assert catalog.walk(spark, f"{root}/bare/er").count() == 0
+    (folder / "bare" / "up").symlink_to(folder / "bare")
+    with pytest.raises(ValueError, match="levels"):
+        catalog.walk(spark, f"{root}/bare", most_depth=5)
+    (folder / "bare" / "up").unlink()
+
+
 def test_snapshots(spark, tmp_path):
     versions = catalog.Snapshots(spark, f"file://{tmp_path}/snap")
     with pytest.raises(LookupError):
@@ -135,3 +152,8 @@ def test_snapshots(spark, tmp_path):
         versions.read(1)
     with pytest.raises(ValueError, match="current"):
         versions.publish(spark.range(1), expected=1)
+    late = catalog.Snapshots(spark, f"file://{tmp_path}/snap")
+    late._numbers = lambda: [(2, "x")]  # another writer's view of before
+    with pytest.raises(ValueError, match="another writer"):
+        late.publish(spark.range(9), expected=2)
+    assert versions.read().count() == 3 and len(list((tmp_path / "snap" / "data").iterdir())) == 2
