@@ -116,6 +116,7 @@ def test_links_of_fingerprints(spark, monkeypatch, comparisons, broadcast):
     """Random fingerprints, edits of up to six bits, and a crowd that agrees in half its bits; members that come and go change no other link."""
     monkeypatch.setattr("quarry.llm.simhash.MOST_COMPARISONS", comparisons)
     monkeypatch.setattr("quarry.llm.simhash.MOST_BROADCAST", broadcast)  # both sides of the switch
+    monkeypatch.setattr("quarry.llm.simhash.MOST_ROUNDS", 1)
     rng = random.Random(9)
     prints = [rng.getrandbits(64) for _ in range(150)]
     prints += [p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 6))) for p in prints]
