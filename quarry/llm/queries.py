@@ -107,6 +107,27 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP8_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), t AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w
+), v AS (
+  SELECT r, k, md5(string_agg(word, ' ') OVER s) AS h, count(*) OVER s AS n FROM t WINDOW s AS (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)
+), again AS (
+  SELECT h FROM v WHERE n = 35 GROUP BY h HAVING count(*) > 1
+), covered AS (
+  SELECT DISTINCT r, unnest(range(k, k + 35)) AS k FROM v WHERE n = 35 AND h IN (SELECT h FROM again)
+), stay AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS kept FROM t WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.r = t.r AND c.k = t.k) GROUP BY r
+), gone AS (
+  SELECT r, count(*) AS n FROM covered GROUP BY r
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN stay ON stay.r = w.r LEFT JOIN gone ON gone.r = w.r
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.risk_rules import BASE, judge
 
@@ -114,6 +135,58 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *BASE, "base_failed", "kept")
 
 
+def op9_sql() -> str:
+    """The base measures, the tests along the paths and the verdicts in SQL; paths, cutoffs and levels are the operator's."""
+    from quarry.llm.risk_rules import RULES, paths, setting
+
+    ways = paths(RULES)
+    settings = [(p, step, rule, cutoff) for p, path in enumerate(ways) for step in range(max(len(r.cutoffs) for r in path)) for rule, cutoff in setting(path, step).items()]
+    values = ", ".join(f"({p}, {step}, '{rule}', {cutoff})" for p, step, rule, cutoff in settings)
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), t AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM w
+), v AS (
+  SELECT r, k, string_agg(word, ' ') OVER s AS three, count(*) OVER s AS n FROM t WINDOW s AS (PARTITION BY r ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)
+), again AS (
+  SELECT *, count(*) OVER (PARTITION BY r, three) AS times FROM v WHERE n = 3
+), repeats AS (
+  SELECT r, count(DISTINCT k + d) AS n FROM again, (VALUES (0), (1), (2)) x(d) WHERE times > 1 GROUP BY r
+), m AS (
+  SELECT w.r, doc_id, lang, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(text, '[^!?]', '', 'g')) AS BIGINT) AS n_loud,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, CAST(coalesce(repeats.n, 0) AS BIGINT) AS n_repeat_words
+  FROM w LEFT JOIN repeats ON repeats.r = w.r
+), d AS (
+  SELECT *, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines FROM m
+), x AS (
+  SELECT r, unnest(['symbols', 'loud', 'dup_lines', 'repeats', 'long_words']) AS rule, CASE WHEN n_words = 0 THEN 0 ELSE unnest([n_symbols, n_loud, n_dup_lines, n_repeat_words, word_chars]) / n_words END AS measure FROM d
+), s(path, step, rule, cutoff) AS (VALUES {values}
+), sound AS (
+  SELECT doc_id, min(quality) = 1 AND max(quality) = 1 AS sound FROM labels WHERE quality IS NOT NULL GROUP BY doc_id
+), held AS (
+  SELECT d.r, d.lang, sound.sound FROM d JOIN sound ON sound.doc_id = d.doc_id
+), hits AS (
+  SELECT held.r, held.lang, held.sound, path, step, bool_or(measure > cutoff) AS hit FROM held JOIN x ON x.r = held.r JOIN s ON s.rule = x.rule GROUP BY ALL
+), k AS (
+  SELECT lang, path, step, count(*) FILTER (WHERE sound) AS n, count(*) FILTER (WHERE sound AND hit) AS k, count(*) FILTER (WHERE NOT sound AND hit) AS b FROM hits GROUP BY lang, path, step
+), tested AS (
+  SELECT *, k <= n * 0.02 AND list_sum(list_transform(range(0, k + 1), lambda i: exp(CASE WHEN i = 0 THEN 0 ELSE lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) END + i * ln(0.02::DOUBLE) + (n - i) * ln(0.98::DOUBLE))))
+    <= 0.05 / ({len(ways)} * (SELECT count(DISTINCT coalesce(lang, '?')) FROM held)) AS safe FROM k
+), held_so_far AS (
+  SELECT *, bool_and(safe) OVER (PARTITION BY lang, path ORDER BY step) AS on FROM tested
+), best AS (
+  SELECT lang, path, step FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY b DESC, path, step) AS place FROM held_so_far WHERE "on" AND b > 0) y WHERE place = 1
+), rejected AS (
+  SELECT x.r, bool_or(measure > cutoff) AS hit FROM d JOIN best ON best.lang IS NOT DISTINCT FROM d.lang JOIN x ON x.r = d.r JOIN s ON s.path = best.path AND s.step = best.step AND s.rule = x.rule GROUP BY x.r
+), judged AS (
+  SELECT d.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, coalesce(hit, false) AS hit FROM d LEFT JOIN rejected ON rejected.r = d.r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT hit AS kept FROM judged
+""".replace(" AS on FROM", ' AS "on" FROM')
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quarry.llm.simhash import near_duplicates
 
@@ -133,4 +206,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }
-ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL}
+ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_quality_rules": op9_sql()}
