@@ -100,10 +100,11 @@ def first_plan(number: int, most_bits: int) -> int:
 
 def variants(prints: DataFrame, plan: tuple[int, int]) -> DataFrame:
     """(key, f): a row for each choice of segments and each of its bits, the key being the choice, the bit and the other bits' values."""
-    rows = [(number << 6 | bit, mask & ~(1 << bit)) for number, mask in enumerate(masks(plan)) for bit in range(BITS) if mask >> bit & 1]
-    deletions = F.array(*(F.struct(F.lit(tag).alias("tag"), F.lit(m - (1 << BITS) if m >> (BITS - 1) else m).cast("long").alias("mask")) for tag, m in rows))
+    without = [mask & ~(1 << bit) for mask in masks(plan) for bit in range(BITS) if mask >> bit & 1]
+    signed = (m - (1 << BITS) if m >> (BITS - 1) else m for m in without)
+    literals = ", ".join(f"{m}L" if m > -(1 << (BITS - 1)) else f"{m + 1}L - 1L" for m in signed)
     dealt = prints.select("f").repartition(partitions(prints.sparkSession), "f")  # a row becomes dozens
-    return dealt.select("f", F.explode(deletions).alias("d")).select(F.xxhash64(F.col("d.tag"), F.col("f").bitwiseAND(F.col("d.mask"))).alias("key"), "f")
+    return dealt.select("f", F.posexplode(F.expr(f"array({literals})")).alias("which", "mask")).select(F.xxhash64("which", F.col("f").bitwiseAND(F.col("mask"))).alias("key"), "f")
 
 
 def _close(x: Column, y: Column, most_bits: int) -> Column:
