@@ -194,6 +194,95 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.dual_tree import cluster
+
+    found = cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dimensions=64, scale=256, seed="2")
+    digest = F.sha2(F.array_join(F.transform("centroid", lambda x: x.cast("string")), ","), 256)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
+def op11_sql() -> str:
+    """The rounds one after another; vectors are whole numbers in doubles, so sums and products are exact."""
+    floor = "(s - ((s % n) + n) % n) // n"
+    rounds = "".join(f"""
+), a{k} AS (
+  SELECT r, arg_min(c.k, (list_inner_product(x, x) - 2 * list_inner_product(x, m) + list_inner_product(m, m), c.k)) AS k FROM v, c{k} c GROUP BY r
+), s{k} AS (
+  SELECT a.k, count(*) AS n, d, sum(CAST(x[d] AS HUGEINT)) AS s FROM a{k} a JOIN v ON v.r = a.r, range(1, 65) t(d) GROUP BY a.k, d
+), c{k + 1} AS (
+  SELECT c.k, coalesce(n.m, c.m) AS m FROM c{k} c LEFT JOIN (SELECT k, list(CAST({floor} AS DOUBLE) ORDER BY d) AS m FROM s{k} GROUP BY k) n ON n.k = c.k""" for k in range(5))
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), embedding) AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+), c0 AS (
+  SELECT CAST(r - 1 AS INTEGER) AS k, x AS m FROM v WHERE r <= 40{rounds}
+), f AS (
+  SELECT r, min((list_inner_product(x, x) - 2 * list_inner_product(x, m) + list_inner_product(m, m), c.k)) AS best FROM v, c5 c GROUP BY r
+), g AS (
+  SELECT vec_id, best[2] AS cluster, CAST(best[1] AS BIGINT) AS distance FROM f JOIN v ON v.r = f.r
+)
+SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(m, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM g JOIN c5 ON c5.k = g.cluster
+"""
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.middle import fill_in_middle, restored
+
+    made = fill_in_middle(table(spark, sf_dir, "documents"), seed=42, percent=50, suffix_first=80)
+    back = F.sha2(restored(F.col("output"), F.col("form")), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), back.alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units FROM d
+), r AS (
+  SELECT doc_id, text, units, CAST(len(units) AS BIGINT) AS n, list_transform([1, 9, 17, 25], lambda k: CAST('0x' || substr(h, k, 8) AS BIGINT)) AS x FROM u
+), c AS (
+  SELECT *, least(x[1] % (n + 1), x[2] % (n + 1)) AS a, greatest(x[1] % (n + 1), x[2] % (n + 1)) AS b,
+         CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR x[3] % 100 >= 50 THEN 'plain' WHEN x[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM r
+), p AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quarry.llm.chat import format_conversations, read_back
+
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return read_back(format_conversations(turns.unionByName(more)))
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+  SELECT *, length(regexp_replace(text, '([<\[])(\\*/?(?:s>|INST\]|SYS\]|ROLE\]))', '\1\\\2', 'g'))
+    + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 WHEN 'system' THEN 13
+      ELSE 17 + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '([<\[])(\\*/?(?:s>|INST\]|SYS\]|ROLE\]))', '\1\\\2', 'g')) END AS size FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_quality_classifier": op2_quality_classifier,
@@ -205,5 +294,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_chat_formatting": op13_chat_formatting,
 }
-ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_quality_rules": op9_sql()}
+ORACLE: dict[str, str] = {"op5_warc": OP5_SQL, "op6_line_dedup": OP6_SQL, "op8_substring_dedup": OP8_SQL, "op9_quality_rules": op9_sql(), "op11_centroid_clustering": op11_sql(), "op12_fill_in_middle": OP12_SQL, "op13_chat_formatting": OP13_SQL}

@@ -10,7 +10,7 @@ from quarry.llm.queries import ORACLE, QUERIES
 def test_query(spark, name):
     sf = "/root/testdata/sf0.001"
     duck = duckdb.connect()
-    for table in ("documents", "pages", "labels"):
+    for table in ("documents", "pages", "labels", "embeddings", "conversations"):
         duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf}/{table}.parquet')")
     df = QUERIES[name](spark, sf)
     columns = sorted(df.columns)
