@@ -30,6 +30,12 @@ def has_word(line: Column) -> Column:
     return line.rlike("[^\\x20\\x09-\\x0D]")
 
 
+def flags(places: str) -> Column:
+    """For a column of ascending places: true at each of them, false before it; one pass, whatever their number."""
+    before = lambda k: F.when(k > 0, F.get(F.col(places), k - 1)).otherwise(-1)
+    return F.flatten(F.transform(places, lambda x, k: F.concat(F.array_repeat(F.lit(False), x - before(k) - 1), F.array(F.lit(True)))))
+
+
 def boilerplate(docs: DataFrame, min_sites: int, site_column: str = "source", text_column: str = "text") -> DataFrame:
     """(k1, k2) of the lines with a word that stand on at least min_sites distinct sites; a null site is none."""
     lines = docs.where(F.col(site_column).isNotNull()).select(F.col(site_column).alias("site"), F.explode(lines_of(text_column)).alias("line")).where(has_word(F.col("line")))
@@ -56,9 +62,9 @@ def _without_boilerplate(docs: DataFrame, min_sites: int, id_column: str, site_c
     places = rows.select("_q_row", "_q_row2", F.posexplode(lines).alias("at", "line")).where(has_word(F.col("line")))
     k1, k2 = line_key(F.col("line"))
     hits = places.select("_q_row", "_q_row2", "at", k1.alias("k1"), k2.alias("k2")).join(found, ["k1", "k2"], "left_semi")
-    gone = hits.groupBy("_q_row", "_q_row2").agg(F.collect_set("at").alias("_q_gone"))
+    gone = hits.groupBy("_q_row", "_q_row2").agg(F.array_sort(F.collect_set("at")).alias("_q_gone"))
     joined = rows.join(gone.hint("shuffle_hash"), ["_q_row", "_q_row2"], "left")
-    left = F.filter(lines, lambda x, k: ~F.array_contains("_q_gone", k))
+    left = F.array_compact(F.zip_with(lines, flags("_q_gone"), lambda line, out: F.when(~F.coalesce(out, F.lit(False)), line)))
     n = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     cut = joined.withColumn("_q_kept", F.when(F.col("_q_gone").isNotNull(), left))
     new_text = F.when(F.col("_q_kept").isNotNull(), F.array_join("_q_kept", "\n")).otherwise(text)

@@ -5,6 +5,7 @@ Spark's file writer. The reader walks each file record by record. Where a check
 checksum, a header, a length, a payload's digest), it looks for the next place where a valid member or
 record starts, goes on from there, and reports the bytes between as a gap. Inside a member it does the
 same with the inflated bytes, and of a damaged member it keeps the records that were inflated before the damage.
+Headers and members may be of any size; a large member is inflated as its records are read.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -26,8 +27,8 @@ MAGIC, END = b"\x1f\x8b\x08", b"\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[0-9]\r\n")
 #: Where a member or a record may start.
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[0-9]\r\n")
-#: Fixed bounds: bytes of a record's header, and of one member's content.
-MOST_HEADER, MOST_CONTENT = 1 << 16, 1 << 30
+#: Bytes of a member's content that are held at once; of more, what the records need.
+HELD = 1 << 24
 #: A gzip member without content: the writer's separator between members. Readers skip it.
 EMPTY_MEMBER = bytes([0x1F, 0x8B, 0x08, 0, 0, 0, 0, 0, 0, 0xFF, 0x03, 0, 0, 0, 0, 0, 0, 0, 0, 0])
 RECORD_SCHEMA = "path string, start long, length long, inner_start long, inner_length long, kind string, reason string, record_type string, page_id string, uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
@@ -49,10 +50,79 @@ class Piece(NamedTuple):
 
 
 class Broken(ValueError):
-    pass
+    """A failed check, and the place before which no record can start that would pass it."""
+
+    def __init__(self, reason: str, skip: int = 0):
+        super().__init__(reason)
+        self.skip = skip
+
+
+class Content:
+    """Bytes of a known number that come in chunks and are let go from the front; places are counted from the very first."""
+
+    def __init__(self, chunks: Iterator[bytes], size: int):
+        self.chunks, self.size, self.data, self.base = chunks, size, bytearray(), 0
+
+    @classmethod
+    def of(cls, data: bytes) -> Content:
+        out = cls(iter(()), len(data))
+        out.data = data
+        return out
+
+    def fill(self, end: int) -> None:
+        end = min(end, self.size)
+        while self.base + len(self.data) < end:
+            self.data += next(self.chunks)
+
+    def forget(self, before: int) -> None:
+        """Lets go what is before a place, once that is most of what is held."""
+        if isinstance(self.data, bytearray) and 2 * (before - self.base) > len(self.data):
+            self.fill(before)
+            del self.data[: before - self.base]
+            self.base = before
+
+    def bytes(self, start: int, end: int) -> bytes:
+        self.fill(end)
+        return bytes(self.data[start - self.base : end - self.base])
+
+    def match(self, pattern: re.Pattern, at: int) -> int:
+        """The end of a match of at most ten bytes at a place, or -1."""
+        self.fill(at + 10)
+        found = pattern.match(self.data, at - self.base)
+        return found.end() + self.base if found else -1
+
+    def find(self, what: bytes | re.Pattern, at: int) -> int:
+        """The next place from `at` on of some bytes, or of a match of at most ten, or -1."""
+        while True:
+            held = self.base + len(self.data)
+            if isinstance(what, bytes):
+                k = self.data.find(what, at - self.base)
+            else:
+                found = what.search(self.data, at - self.base)
+                k = found.start() if found else -1
+            if k >= 0:
+                return k + self.base
+            if held >= self.size:
+                return -1
+            at = max(at, held - 9)
+            self.fill(held + max(1 << 20, len(self.data)))
+
+
+class Next:
+    """The next zero byte after ascending places, each stretch looked through once."""
+
+    def __init__(self, data: bytes):
+        self.data, self.low, self.at = data, 0, -1
 
+    def __call__(self, start: int) -> int:
+        if not self.low <= start <= self.at:
+            self.low, self.at = start, self.data.find(b"\0", start)
+            if self.at < 0:
+                self.at = len(self.data)
+        return self.at
 
-def _deflated(data: bytes, at: int) -> int:
+
+def _deflated(data: bytes, at: int, zero: Next) -> int:
     """Where the compressed bytes of the gzip member at a place begin."""
     flags, start = data[at + 3 : at + 4], at + 10
     if len(data) < start or flags[0] & 0xE0:
@@ -61,78 +131,99 @@ def _deflated(data: bytes, at: int) -> int:
         start += 2 + int.from_bytes(data[start : start + 2], "little")
     for bit in (8, 16):  # a name and a comment end with a zero byte
         if flags[0] & bit:
-            start = data.find(b"\0", start, start + MOST_HEADER) + 1
-            if not start:
+            start = zero(start) + 1
+            if start > len(data):
                 raise Broken("member damaged")
     return start + (2 if flags[0] & 2 else 0)
 
 
-def _inflate(data: bytes, at: int, step: int = 1 << 16) -> tuple[bytes, int, str]:
-    """The content of the gzip member at a place, its end, and what is wrong with it: nothing, or the content and end are those before the damage."""
-    inflate, out, size, fed = zlib.decompressobj(-15), [], 0, _deflated(data, at)
+def _inflated(data: bytes, fed: int, step: int = 1 << 16) -> Generator[bytes, None, tuple[int, str]]:
+    """The content of a gzip member whose compressed bytes begin at a place, in chunks; returns its end and what is wrong with it, such as damage after the last chunk."""
+    inflate, crc, size = zlib.decompressobj(-15), 0, 0
     while not inflate.eof:
         if fed >= len(data):
-            return b"".join(out), len(data), "member cut off"
-        if size > MOST_CONTENT:
-            return b"".join(out), fed, "member too large"
+            return len(data), "member cut off"
         before = inflate.copy()
         try:
-            out.append(inflate.decompress(data[fed : fed + step]))
+            out = inflate.decompress(data[fed : fed + step])
         except zlib.error:
-            for k in range(fed, min(fed + step, len(data))):  # byte by byte to the damage
-                try:
-                    out.append(before.decompress(data[k : k + 1]))
-                except zlib.error:
-                    return b"".join(out), k, "member damaged"
-            return b"".join(out), fed + step, "member damaged"
-        size += len(out[-1])
-        fed += step
-    content, end = b"".join(out), min(fed, len(data)) - len(inflate.unused_data)
-    if data[end : end + 8] != struct.pack("<II", zlib.crc32(content), len(content) & 0xFFFFFFFF):
-        return content, end, "member cut off" if end + 8 > len(data) else "member checksum wrong"
-    return content, end + 8, ""
-
-
-def _headers(data: bytes, at: int) -> tuple[dict[str, str], int]:
-    """The header of the record at a place, line by line up to the empty one, and where its block begins."""
-    version = VERSION.match(data, at)
-    if version is None:
+            some, k = [], fed
+            try:
+                while k < min(fed + step, len(data)):  # byte by byte to the damage
+                    some.append(before.decompress(data[k : k + 1]))
+                    k += 1
+            except zlib.error:
+                pass
+            yield b"".join(some)
+            return k, "member damaged"
+        crc, size, fed = zlib.crc32(out, crc), size + len(out), fed + step
+        yield out
+    end = min(fed, len(data)) - len(inflate.unused_data)
+    if data[end : end + 8] != struct.pack("<II", crc, size & 0xFFFFFFFF):
+        return end, "member cut off" if end + 8 > len(data) else "member checksum wrong"
+    return end + 8, ""
+
+
+def _member(data: bytes, fed: int) -> tuple[Content, int, str]:
+    """The content of a gzip member, its end, and what is wrong with it. Content of more than HELD bytes is measured first and inflated again as it is read."""
+    chunks, size, out = [], 0, _inflated(data, fed)
+    while True:
+        try:
+            chunk = next(out)
+        except StopIteration as done:
+            end, wrong = done.value
+            return Content.of(b"".join(chunks)) if size <= HELD else Content(_inflated(data, fed), size), end, wrong
+        size += len(chunk)
+        chunks.append(chunk)
+        if size > HELD:
+            chunks.clear()
+
+
+def _headers(content: Content, at: int) -> tuple[dict[str, str], dict[str, int], int]:
+    """The header of the record at a place, line by line up to the empty one, where each name's last line begins, and where the block begins."""
+    line = content.match(VERSION, at)
+    if line < 0:
         raise Broken("no header")
-    headers: dict[str, str] = {}
-    name, line = "", version.end()
+    parts: dict[str, list[str]] = {}
+    places: dict[str, int] = {}
+    name = ""
     while True:
-        stop = data.find(b"\r\n", line, at + MOST_HEADER)
+        stop = content.find(b"\r\n", line)
         if stop < 0:
-            raise Broken("header damaged")
+            raise Broken("header damaged", line)
         if stop == line:
-            return headers, stop + 2
+            return {k: " ".join(v) for k, v in parts.items()}, places, stop + 2
         try:
-            text = data[line:stop].decode()
+            text = content.bytes(line, stop).decode()
         except UnicodeDecodeError:
-            raise Broken("header damaged") from None
+            raise Broken("header damaged", line) from None
         if text[0] in " \t" and name:  # goes on with the line before
-            headers[name] += " " + text.strip()
+            parts[name].append(text.strip())
         else:
             name, colon, value = text.partition(":")
-            if not colon:
-                raise Broken("header damaged")
+            if not colon or text[0] in " \t":
+                raise Broken("header damaged", line)
             name = name.strip().lower()
-            headers[name] = value.strip()
+            parts[name], places[name] = [value.strip()], line
         line = stop + 2
 
 
-def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    """The headers, block and end of the plain record at a place, all checks made."""
-    headers, first = _headers(data, at)
+def _record(content: Content, at: int) -> tuple[dict[str, str], bytes, int]:
+    """The headers, block and end of the plain record at a place, all checks made.
+
+    A header has no bound, and may hold version lines itself. A search that goes on inside it would read the same lines up to the same end, so a
+    failed check says where one can go on that may turn out otherwise: headers that repeat a name count with the last.
+    """
+    headers, places, first = _headers(content, at)
     if not re.fullmatch("[0-9]{1,15}", headers.get("content-length", "")) or "warc-type" not in headers:
-        raise Broken("header damaged")
+        raise Broken("header damaged", first)
     last = first + int(headers["content-length"])
-    if data[last : last + len(END)] != END:
-        raise Broken("length wrong")
-    block = data[first:last]
+    if last + len(END) > content.size or content.bytes(last, last + len(END)) != END:
+        raise Broken("length wrong", first)
+    block = content.bytes(first, last)
     digest = headers.get("warc-payload-digest", "")
     if headers["warc-type"] == "response" and digest.startswith("sha256:") and digest[7:] != hashlib.sha256(payload_of(block)).hexdigest():
-        raise Broken("payload digest wrong")
+        raise Broken("payload digest wrong", places["warc-payload-digest"])
     return headers, block, last + len(END)
 
 
@@ -142,25 +233,31 @@ def payload_of(block: bytes) -> bytes:
     return body if end and head.startswith(b"HTTP/") else block
 
 
-def salvage_plain(data: bytes) -> Iterator[Piece]:
+def salvage_plain(content: Content) -> Iterator[Piece]:
     """Records and gaps of a member's content, or of any bytes without members, in order; they cover every byte once."""
     at, lost, reason = 0, -1, ""
-    while at < len(data):
+    while at < content.size:
         try:
-            headers, block, end = _record(data, at)
+            headers, block, end = _record(content, at)
         except Broken as e:
             if lost < 0:
                 lost, reason = at, str(e)
-            found = VERSION.search(data, at + 1)
-            at = found.start() if found else len(data)
+            at = content.find(VERSION, max(at + 1, e.skip))
+            at = content.size if at < 0 else at
+            content.forget(at)
             continue
         if lost >= 0:
             yield Piece(lost, at - lost, None, b"", reason)
             lost = -1
         yield Piece(at, end - at, headers, block, "")
         at = end
+        content.forget(at)
     if lost >= 0:
-        yield Piece(lost, len(data) - lost, None, b"", reason)
+        yield Piece(lost, content.size - lost, None, b"", reason)
+
+
+def _digest(p: Piece) -> bytes:
+    return hashlib.sha256(repr(p.headers).encode() + p.block).digest()
 
 
 def salvage(data: bytes) -> Iterator[Piece]:
@@ -171,35 +268,47 @@ def salvage(data: bytes) -> Iterator[Piece]:
     """
     at, lost, reason = 0, -1, ""
     known: set[bytes] = set()  # records out of the damaged member, which may also stand in its bytes as they are
+    plain, zero, failed = Content.of(data), Next(data), set()
     while at < len(data):
-        pieces, end, wrong = [], at, ""
+        pieces: Iterator[Piece] = iter(())
+        end, wrong, skip = at, "", at + 1
         try:
             if data.startswith(MAGIC, at):
-                content, end, wrong = _inflate(data, at)
-                pieces = [p._replace(start=at, length=end - at, inner=(p.start, p.length)) for p in salvage_plain(content)]
+                fed = _deflated(data, at, zero)
+                if fed in failed:
+                    raise Broken("member damaged")
+                content, end, wrong = _member(data, fed)
+                if wrong:
+                    failed.add(fed)
+                found = salvage_plain(content)
+                pieces = (p._replace(start=at, length=0 if wrong else end - at, inner=(p.start, p.length)) for p in found)  # noqa: B023
             else:
-                headers, block, end = _record(data, at)
-                pieces = [Piece(at, end - at, headers, block, "")]
+                headers, block, end = _record(plain, at)
+                pieces = iter([Piece(at, end - at, headers, block, "")])
         except Broken as e:
             wrong = str(e) if data.startswith(MAGIC, at) or VERSION.match(data, at) else "no member or version line"
+            skip = max(skip, e.skip)
         if wrong:
             for p in pieces:
                 if p.headers is not None:
-                    known.add(hashlib.sha256(repr(p.headers).encode() + p.block).digest())
-                    yield p._replace(length=0)
+                    known.add(_digest(p))
+                    yield p
             if lost < 0:
                 lost, reason = at, wrong
-            found = START.search(data, at + 1)
-            at = found.start() if found else len(data)
+            at = plain.find(START, skip)
+            at = len(data) if at < 0 else at
             continue
-        if lost >= 0 and pieces and pieces[0].headers is not None and hashlib.sha256(repr(pieces[0].headers).encode() + pieces[0].block).digest() in known:
+        first = next(pieces, None)
+        if lost >= 0 and first is not None and first.headers is not None and _digest(first) in known:
             at = end  # part of the gap, and given already
             continue
         if lost >= 0:
             yield Piece(lost, at - lost, None, b"", reason)
             lost = -1
             known.clear()
-        yield from pieces
+        if first is not None:
+            yield first
+            yield from pieces
         at = end
     if lost >= 0:
         yield Piece(lost, len(data) - lost, None, b"", reason)

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import time
+import zlib
 
 import pytest
 
@@ -79,6 +80,39 @@ def test_search_is_linear():
     assert time.perf_counter() - began < 20
 
 
+def test_search_in_long_headers_is_linear():
+    began = time.perf_counter()
+    good = record(3, b"x")
+    for line, tail in ((b"A: WARC/1.0\r\n", b"\r\n"), (b"A: WARC/1.0\r\n", b"Content-Length: 5\r\nWARC-Type: response\r\n\r\n"), (b" WARC/1.0\r\n", b""), (b"A: WARC/1.0\r\n", b"no colon\r\n")):
+        pieces = list(salvage(b"WARC/1.0\r\n" + line * 60_000 + tail + good))
+        assert ids(pieces) == [3] and len(pieces) == 2
+        assert ids(salvage(gzip.compress(b"WARC/1.0\r\n" + line * 60_000 + tail + good, 1))) == [3]
+    named = b"\x1f\x8b\x08\x08\0\0\0\0\0\0"
+    assert ids(salvage(named.replace(b"\0", b"n") * 60_000 + good)) == [3]
+    wrong = b"WARC/1.0\r\nWARC-Payload-Digest: sha256:0\r\n" + b"A: WARC/1.0\r\n" * 60_000 + b"WARC-Type: response\r\nWARC-Record-ID: <urn:page:5>\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    assert ids(salvage(wrong + good)) == [5, 3]  # a record without the wrong digest starts behind it
+    assert time.perf_counter() - began < 20
+
+
+def test_member_of_over_a_gibibyte():
+    payload = bytes(11 << 20)
+    records = [record(k, payload) for k in range(100)]
+    deflate = zlib.compressobj(1, zlib.DEFLATED, 31)
+    data = b"".join([deflate.compress(r) for r in records] + [deflate.compress(b"junk" * 1_000_000), deflate.compress(record(100, b"last")), deflate.flush()])
+    del records
+    found = [(p.headers and int(p.headers["warc-record-id"][10:-1]), p.length, p.inner[1]) for p in salvage(data)]
+    assert [k for k, _, _ in found] == [*range(100), None, 100] and found[100][2] == 4_000_000 and {n for _, n, _ in found} == {len(data)}
+    cut = [p for p in salvage(data[: len(data) // 2])]
+    assert len([p for p in cut if p.headers is not None and p.length == 0]) >= 45 and cut[-1].reason == "member cut off"
+
+
+def test_long_urls(spark):
+    rows = [(k, "http://a/" + "u" * n, "page") for k, n in enumerate((3, 70_000, 5_000_000, 66_000))]
+    path = new_path(spark, "test-warc")
+    write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    assert sorted((int(r["page_id"]), r["uri"], r["payload"]) for r in read_archives(spark, path).collect()) == [(k, u, b"page") for k, u, _ in rows]
+
+
 def test_folded_headers():
     data = record(1, b"x").replace(b"WARC-Type: response", b"WARC-Type:\r\n response")
     assert ids(salvage(data)) == [1]
