@@ -8,16 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: The folder of a job in one process whose session names none.
+_own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir. Where that is unset, a job in one process gets a temporary one, which is then set; a cluster's job is an error."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a job in one process gets a temporary one for as long as the process lives; a cluster's job is an error."""
     found = spark.conf.get(SETTING, None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError(f"{SETTING} must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="spark-quarry-")
-        spark.conf.set(SETTING, found)
+        if not _own:
+            _own.append("file://" + tempfile.mkdtemp(prefix="spark-quarry-"))
+        found = _own[0]
     return found.rstrip("/")
 
 
