@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm._bytes import U64, mix, span_hashes, text_chunks, window_hashes, word_spans
@@ -211,17 +211,37 @@ def kept_rows(joined: DataFrame, width: int, kind: str) -> DataFrame:
     return joined.mapInArrow(task, f"id {kind}, n_words long, n_removed long, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, rounds: int = 6, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def with_keys(rows: DataFrame, keys: tuple[Column, ...]) -> DataFrame:
+    """Adds key, a number that tells the rows' (id, text) apart: the first of the keys, or, where rows that differ in another key share it, a later one.
+
+    Rows that agree in all the keys are taken for equal. Only rows whose keys meet, few if any, are known by more than their first."""
+    names = [f"_key{k}" for k in range(len(keys))]
+    now = rows.select("*", *(c.alias(n) for c, n in zip(keys, names, strict=True)))
+    number = F.col(names[0])
+    for k in range(1, len(names)):
+        differ = F.lit(False)
+        for other in names:
+            differ = differ | (F.min(other) != F.max(other))
+        shared = kept(now.select(number.alias("shared"), *names).groupBy("shared").agg(differ.alias("differ")).where("differ").select("shared"), "shared-keys")
+        if shared.isEmpty():
+            return now.select(number.alias("key"), *rows.columns)
+        number = F.when(F.col("shared").isNotNull(), F.xxhash64(number, names[k])).otherwise(number)
+        now = now.join(shared, F.col(names[0]) == F.col("shared") if k == 1 else F.col("key") == F.col("shared"), "left").select(*rows.columns, *names, number.alias("key"))
+        number = F.col("key")
+    return now.select(number.alias("key"), *rows.columns)
+
+
+def remove_repeats(docs: DataFrame, width: int = 35, rounds: int = 6, id_column: str = "doc_id", text_column: str = "text", keys: tuple[Column, ...] = ()) -> DataFrame:
     """Removes every word that lies in a window of `width` words whose sequence also starts anywhere else in the corpus.
 
     One row per document: the id, n_words, n_removed, kept_text (the kept words joined by one space). Windows are judged on the input.
     Null, empty and short texts keep all they have; repeated rows are copies of one another; ids may be null or repeated, for a row is
-    known by id and text together; other columns are ignored; an empty table gives no rows.
+    known by id and text together, through hashes of both (`keys`, columns of id and text, where others are wanted); other columns are ignored; an empty table gives no rows.
     """
     if not 2 <= width <= 255:
         raise ValueError("width must be from 2 to 255")
     narrow = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    keyed = narrow.select(F.xxhash64("id", "text").alias("key"), "id", "text")
+    keyed = with_keys(narrow, keys or tuple(F.xxhash64(F.lit(k), "id", "text") for k in range(3))).select("key", "id", "text")
     symbols = symbol_rows(keyed, width, rounds)
     counted = symbols.groupBy("name").agg(F.count("*").alias("n"), F.bit_xor("key").alias("key"), F.bit_xor("place").alias("place"))
     places = counted.where("n = 1 AND place >= 0").groupBy("key").agg(F.collect_list("place").alias("places"))

@@ -65,6 +65,16 @@ def test_repeats_with_odd_rows(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_rows_whose_first_keys_are_equal(spark):
+    rng = random.Random(8)
+    rows = [(k % 37, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 30)))) for k in range(60)] + [(None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, remove_repeats(docs, 4, 2).collect()), key=str)
+    one, text = F.lit(7).cast("long"), F.xxhash64("id", "text")
+    for keys in ((one, text), (F.xxhash64("id"), text), (one, one, text), (F.abs(text) % 5, F.abs(text) % 3, text)):
+        assert sorted(map(tuple, remove_repeats(docs, 4, 2, keys=keys).collect()), key=str) == want
+
+
 def brute_fingerprint(text: str | None, words: int) -> int:
     parts = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     shingles = [" ".join(parts[k : k + words]) for k in range(len(parts) - words + 1)] or ([" ".join(parts)] if parts else [])
