@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 EDGE = 1 + 8 * sys.float_info.epsilon
 #: The longest vector a feature may have.
 MOST_DIMENSIONS = 4096
+#: Terms that are written out in one expression; compiled methods must stay small.
+MOST_TERMS = 128
 
 
 def finite(c: Column) -> Column:
@@ -33,11 +36,21 @@ def iou(a: Column, b: Column) -> Column:
     return F.when(union > 0, common / F.when(union > 0, union)).when(union.isNotNull(), 0.0)
 
 
-def pair_score(face: Column, body: Column, other_face: Column, other_body: Column, min_face: float = 0.75, min_body: float = 0.8, min_companion: float = 0.5) -> Column:
+def pair_overlaps(face: Column, body: Column, other_face: Column, other_body: Column) -> dict[str, Column]:
+    """What a pair of instances is scored by: the overlaps of their faces and bodies, null where one is missing, and whether neither has a face."""
+    return {"faces": iou(face, other_face), "bodies": iou(body, other_body), "faceless": face.isNull() & other_face.isNull()}
+
+
+def overlap_score(faces: Column | str = "faces", bodies: Column | str = "bodies", faceless: Column | str = "faceless", min_face: float = 0.75, min_body: float = 0.8, min_companion: float = 0.5) -> Column:
     """How well two instances fit: by faces, whose bodies must not contradict, or by bodies where neither has a face; else null."""
-    faces, bodies = iou(face, other_face), iou(body, other_body)
+    faces, bodies, faceless = (F.col(c) if isinstance(c, str) else c for c in (faces, bodies, faceless))
     by_face = (faces >= min_face) & (bodies.isNull() | (bodies >= min_companion))
-    return F.when(face.isNotNull() & other_face.isNotNull(), F.when(by_face, faces)).when(face.isNull() & other_face.isNull(), F.when(bodies >= min_body, bodies))
+    return F.when(faces.isNotNull(), F.when(by_face, faces)).when(faceless, F.when(bodies >= min_body, bodies))
+
+
+def pair_score(face: Column, body: Column, other_face: Column, other_body: Column, **least: float) -> Column:
+    """The score from the boxes. Over many rows, overlaps as columns of their own are made once instead of at each mention."""
+    return overlap_score(**pair_overlaps(face, body, other_face, other_body), **least)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,6 +69,17 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & ~F.isnan(value), value)
 
 
+def cosine_to(a: Column, query: list[float]) -> Column:
+    """cosine() with one known vector, whose length is taken once. Up to MOST_TERMS terms are written out, in the same order, so that they are compiled."""
+    if len(query) > MOST_TERMS:
+        return cosine(a, F.array(*(F.lit(float(x)) for x in query)))
+    own, length = [a[k].cast("double") for k in range(len(query))], sum((float(x) * float(x) for x in query), 0.0) ** 0.5
+    total = lambda terms: reduce(Column.__add__, terms, F.lit(0.0))
+    size = F.sqrt(total(x * x for x in own)) * length
+    value = total(x * float(y) for x, y in zip(own, query, strict=True)) / F.when(size > 0, size)
+    return F.when(F.size(a) == len(query), F.when(~F.isnan(value), value))
+
+
 def unit(a: Column) -> Column:
     """The vector at length 1; null where its length is zero or not finite."""
     size = norm(a)

@@ -106,9 +106,9 @@ def around_selection(rows: DataFrame, place: str, selected: int, reach: int) ->
 
 
 def folder_order_key(name: Column) -> Column:
-    """A key under which names sort without case or marks and digit runs by their value (up to 18 digits)."""
+    """A key under which names sort without case or marks and digit runs by their value: before a run's digits, less leading zeros, stands how many they are."""
     from quarry.operators.search import fold
 
-    folded = fold(name)
-    parts = F.regexp_extract_all(folded, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+(?=.)", ""), 18, "0")).otherwise(p)), "")
+    parts = F.regexp_extract_all(fold(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
+    value = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.concat(F.lpad(F.length(value(p)).cast("string"), 10, "0"), value(p))).otherwise(p)), "")

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import unicodedata
 from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, like_nocase
 
 
-
 def _marked_letters(last: int = 0x2FFF) -> tuple[str, str]:
     """Letters with marks up to a code point and, at the same places, the letters that Unicode's canonical decomposition leaves without them."""
     bare = {chr(k): "".join(x for x in unicodedata.normalize("NFD", chr(k)) if not unicodedata.combining(x)) for k in range(0x80, last + 1)}
@@ -23,8 +23,8 @@ MARKED, PLAIN = _marked_letters()
 
 
 def fold(c: Column) -> Column:
-    """Lower case, without marks: letters that carry one become plain, combining marks go."""
-    return F.regexp_replace(F.lower(F.translate(c, MARKED, PLAIN)), r"\p{M}", "")
+    """Lower case, without marks: letters that carry one become plain, combining marks go. Text of ASCII characters has none."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.regexp_replace(F.lower(F.translate(c, MARKED, PLAIN)), r"\p{M}", ""))
 
 
 def words(c: Column) -> Column:
@@ -32,41 +32,74 @@ def words(c: Column) -> Column:
     return F.filter(F.split(fold(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def index(rows: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, field, at, word): one row per word of each column."""
+def index(rows: DataFrame, key: str | tuple[str, ...], *columns: str) -> DataFrame:
+    """(key, field, at, word): one row per word of each column; a key may be several columns."""
+    keys = (key,) if isinstance(key, str) else key
     fields = F.array(*(F.struct(F.lit(c).alias("field"), words(F.col(c)).alias("words")) for c in columns))
-    exploded = rows.select(F.col(key), F.explode(fields).alias("f"))
-    return exploded.select(key, F.col("f.field").alias("field"), F.posexplode("f.words").alias("at", "word"))
+    exploded = rows.select(*keys, F.explode(fields).alias("f"))
+    return exploded.select(*keys, F.col("f.field").alias("field"), F.posexplode("f.words").alias("at", "word"))
+
+
+class Term(NamedTuple):
+    """A word of a query: the number of its white-space separated term, how many words that has, and its place among them."""
+
+    term: int
+    n: int
+    at: int
+    word: str
+
+    @property
+    def last(self) -> bool:
+        return self.at == self.n - 1
+
 
+def query_terms(query: str) -> list[Term]:
+    """The words of each white-space separated term; a term of several words is a phrase."""
+    out = []
+    for k, text in enumerate(query.split()):
+        folded = "".join(x for x in text.translate(str.maketrans(MARKED, PLAIN)).lower() if unicodedata.category(x)[0] != "M")
+        split = "".join(x if unicodedata.category(x)[0] in "LN" else " " for x in folded).split(" ")
+        found = [w for w in split if w]
+        out += [Term(k, len(found), at, w) for at, w in enumerate(found)]
+    return out
 
-def query_terms(spark: SparkSession, query: str) -> DataFrame:
-    """(term, n, at, word, last): the words of each white-space separated term; a term of several words is a phrase."""
-    terms = [t for t in query.split() if t]
-    rows = spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "term int, text string")
-    split = rows.select("term", words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    return split.select("term", F.size("words").alias("n"), F.posexplode("words").alias("at", "word")).withColumn("last", F.col("at") == F.col("n") - 1)
 
+def fits(word: Column, t: Term) -> Column:
+    """A term's last word is a prefix; words before it must stand whole."""
+    return word.startswith(t.word) if t.last else word == t.word
 
-def match_all(indexed: DataFrame, query: str, key: str) -> DataFrame:
-    """The keys that match every term in some field. A term's last word is a prefix; words before it must stand whole, right before one another.
+
+def match_all(indexed: DataFrame, query: str, *key: str) -> DataFrame:
+    """The keys of an index (key, field, at, word) that match every term in some field. A term's words must stand right before one another.
 
     A query without terms matches nothing; callers list a directory then.
     """
-    terms = query_terms(indexed.sparkSession, query).collect()  # the query's own words
+    terms = query_terms(query)
     if not terms:
-        return indexed.select(key).limit(0)
-    word = F.col("word")
-    fits = [word.startswith(t["word"]) if t["last"] else word == t["word"] for t in terms]
-    told = [F.when(hit, F.struct(F.lit(t["term"]).alias("term"), F.lit(t["n"]).alias("n"), F.lit(t["at"]).alias("t"))) for hit, t in zip(fits, terms, strict=True)]
-    hits = indexed.where(reduce(Column.__or__, fits)).select(key, "field", "at", F.explode(F.array_compact(F.array(*told))).alias("hit"))
-    placed = hits.select(key, "field", (F.col("at") - F.col("hit.t")).alias("start"), "hit.term", "hit.n", "hit.t")
-    phrases = placed.groupBy(key, "field", "start", "term", "n").agg(F.countDistinct("t").alias("found")).where("found = n")
-    return phrases.groupBy(key).agg(F.countDistinct("term").alias("terms")).where(F.col("terms") == len({t["term"] for t in terms})).select(key)
+        return indexed.select(*key).limit(0)
+    hit = [fits(F.col("word"), t) for t in terms]
+    told = [F.when(h, F.struct(F.lit(t.term).alias("term"), F.lit(t.n).alias("n"), F.lit(t.at).alias("t"))) for h, t in zip(hit, terms, strict=True)]
+    hits = indexed.where(reduce(Column.__or__, hit)).select(*key, "field", "at", F.explode(F.array_compact(F.array(*told))).alias("hit"))
+    placed = hits.select(*key, "field", (F.col("at") - F.col("hit.t")).alias("start"), "hit.term", "hit.n", "hit.t")
+    phrases = placed.groupBy(*key, "field", "start", "term", "n").agg(F.countDistinct("t").alias("found")).where("found = n")
+    return phrases.groupBy(*key).agg(F.countDistinct("term").alias("terms")).where(F.col("terms") == len({t.term for t in terms})).select(*key)
+
+
+def candidates(rows: DataFrame, query: str, *columns: str) -> DataFrame:
+    """Rows whose columns hold the letters of each word of the query somewhere; no other row can match, so no other is taken apart."""
+    for word in {t.word for t in query_terms(query)}:
+        rows = rows.where(reduce(Column.__or__, (F.coalesce(F.contains(fold(F.col(c)), F.lit(word)), F.lit(False)) for c in columns)))
+    return rows
+
+
+def match_texts(rows: DataFrame, query: str, key: str, *columns: str) -> DataFrame:
+    """The keys of rows that match the query, without an index."""
+    return match_all(index(candidates(rows, query, *columns), key, *columns), query, key)
 
 
 def match_or_list(rows: DataFrame, query: str, key: str, *columns: str) -> DataFrame:
     """The keys of rows that match the query; a query of white space alone lists all of them."""
-    return match_all(index(rows, key, *columns), query, key) if query.strip() else rows.select(key)
+    return match_texts(rows, query, key, *columns) if query.strip() else rows.select(key)
 
 
 def rank_directories(directories: DataFrame, query: str) -> DataFrame:

@@ -16,10 +16,19 @@ def index_diff(old: DataFrame, new: DataFrame, key: list[str], compared: list[st
     return a.join(b, key, "full").select(*key, change.alias("change"))
 
 
-def next_generation(old: DataFrame, scanned: DataFrame, columns: list[str], root: str, scan_id: int) -> DataFrame:
-    """The index (root_path, columns, scan_id) after a scan of one root: of it, what was not seen is gone and what was seen carries the scan's number; other roots stay."""
+def next_generation(old: DataFrame, scanned: DataFrame, columns: list[str], root: str, scan_id: int, unread: DataFrame | None = None, path: str = "path") -> DataFrame:
+    """The index (root_path, columns, scan_id) after a scan of one root: of it, what was not seen is gone and what was seen carries the scan's number; other roots stay.
+
+    unread (path) are directories that could not be listed: rows of the root at or below one are not gone, but stay as they were where the scan did not see them.
+    """
     own = scanned.select(F.lit(root).alias("root_path"), *columns, F.lit(scan_id).cast("long").alias("scan_id"))
-    return old.where(~F.col("root_path").eqNullSafe(root)).select("root_path", *columns, "scan_id").unionByName(own)
+    out = old.where(~F.col("root_path").eqNullSafe(root)).select("root_path", *columns, "scan_id").unionByName(own)
+    if unread is None:
+        return out
+    before = old.where(F.col("root_path").eqNullSafe(root))
+    blind = snapshot_blocked(before.select(F.col(path).alias("path")), unread).select(F.col("path").alias(path))
+    unseen = before.join(blind, path, "left_semi").join(scanned.select(path), path, "left_anti")
+    return out.unionByName(unseen.select("root_path", *columns, "scan_id"))
 
 
 def snapshot_blocked(directories: DataFrame, tombstones: DataFrame) -> DataFrame:

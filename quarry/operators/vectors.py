@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.geometry import cosine, dot, vector_is_valid
+from quarry.functions.geometry import cosine, cosine_to, dot, vector_is_valid
 from quarry.tables import kept
 
 MARGIN = 0.05
@@ -25,8 +26,7 @@ def search(features: DataFrame, query: list[float], threshold: float, current: D
     rows = features.where(vector_is_valid(F.col("vector"))) if valid_only else features
     if current is not None:
         rows = rows.join(current.select("asset_path", "source_revision"), ["asset_path", "source_revision"], "left_semi")
-    fixed = F.array(*(F.lit(float(x)) for x in query))
-    return rows.withColumn("similarity", cosine(F.col("vector"), fixed)).where(F.col("similarity") >= threshold)
+    return rows.withColumn("similarity", cosine_to(F.col("vector"), query)).where(F.col("similarity") >= threshold)
 
 
 def search_page(found: DataFrame, offset: int, limit: int) -> DataFrame:
@@ -136,11 +136,12 @@ def mutual_best(pairs: DataFrame, margin: float, group: tuple[str, ...] = ()) ->
     return ranked.where("m_place = 1").select(*group, "manual_id", "detected_id", "score", matched.alias("matched"))
 
 
-def align(manual: DataFrame, detected: DataFrame, revision: Column | str, score: Column, margin: float = 0.15, picture: tuple[str, ...] = ()) -> DataFrame:
+def align(manual: DataFrame, detected: DataFrame, revision: Column | str, score: Column, margin: float = 0.15, picture: tuple[str, ...] = (), measures: Mapping[str, Column] | None = None) -> DataFrame:
     """(picture, manual_id, detected_id, score, reason): a match, or the reason there is none, for every manual instance.
 
     manual and detected have id, source_identity_revision, face_box, body_box and the picture's columns (manual also needs_review); revision is the picture's
-    current one, a literal or a column of both; score is a column over m and d. Pictures are aligned each by itself.
+    current one, a literal or a column of both; score is a column over m and d, or over the measures, which are columns over m and d and are made first.
+    Pictures are aligned each by itself.
     """
     revision = F.lit(revision) if isinstance(revision, str) else revision
     reason = (
@@ -150,7 +151,9 @@ def align(manual: DataFrame, detected: DataFrame, revision: Column | str, score:
     ready, current = judged.where("reason IS NULL").alias("m"), detected.where(F.col("source_identity_revision") == revision).alias("d")
     # one picture's instances on either side: a bounded handful, and a join on the picture and the revision they share
     same = [F.col(f"m.{c}") == F.col(f"d.{c}") for c in (*picture, "source_identity_revision")]
-    pairs = ready.join(current, same).select(*(F.col(f"m.{c}") for c in picture), F.col("m.id").alias("manual_id"), F.col("d.id").alias("detected_id"), score.alias("score")).where("score IS NOT NULL")
+    first = {"score": score} if measures is None else measures
+    met = ready.join(current, same).select(*(F.col(f"m.{c}") for c in picture), F.col("m.id").alias("manual_id"), F.col("d.id").alias("detected_id"), *(c.alias(k) for k, c in first.items()))
+    pairs = met.select(*picture, "manual_id", "detected_id", (F.col("score") if measures is None else score).alias("score")).where("score IS NOT NULL")
     best = mutual_best(pairs, margin, picture)
     joined = judged.select(*picture, F.col("id").alias("manual_id"), "reason").join(best, [*picture, "manual_id"], "left")
     why = F.coalesce("reason", F.when(F.col("matched").isNull(), "no_matching_detection").when(~F.col("matched"), "ambiguous_geometry"))

@@ -12,6 +12,8 @@ from quarry.operators import storage as G
 from quarry.plans.registry import Register
 from quarry.plans.views import ASSETS, assets, table
 from quarry.sources import catalog
+from quarry.sources.text_index import TextIndex
+from quarry.tables import new_path
 
 register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
@@ -80,7 +82,42 @@ WITH w AS (
   SELECT doc_id, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL
 ) SELECT doc_id FROM w GROUP BY doc_id HAVING bool_or(starts_with(word, 'cion')) AND bool_or(starts_with(word, 'es')) AND bool_or(starts_with(word, 'ent'))""")
 def prefix_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.match_all(S.index(table(spark, sf_dir, "documents"), "doc_id", "text"), "Ción  ES ent", "doc_id")
+    return S.match_texts(table(spark, sf_dir, "documents"), "Ción  ES ent", "doc_id", "text")
+
+
+@register(r"""
+WITH w AS (
+  SELECT doc_id, unnest(list_filter(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS word FROM documents WHERE text IS NOT NULL
+) SELECT '/docs' AS root_path, doc_id FROM w GROUP BY doc_id HAVING bool_or(starts_with(word, 'cion')) AND bool_or(starts_with(word, 'es')) AND bool_or(starts_with(word, 'ent'))""")
+def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search over a stored index, which is built first."""
+    stored = TextIndex(spark, new_path(spark, "text-index"), "doc_id", ("text",))
+    stored.apply("/docs", table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return stored.search("Ción  ES ent")
+
+
+#: A library in two roots as three scans see it: names change, rows go and come back.
+SCANS = (("/odd", "p_partkey % 2 = 1"), ("/even", "p_partkey % 2 = 0"), ("/odd", "p_partkey % 2 = 1 AND p_partkey % 7 <> 0"))
+
+
+@register(r"""
+WITH rows AS (
+  SELECT '/even' AS root_path, p_partkey, p_name AS name, p_type AS kind, 2 AS scan_id FROM part WHERE p_partkey % 2 = 0
+  UNION ALL SELECT '/odd', p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_name END, p_type, 3 FROM part WHERE p_partkey % 2 = 1 AND p_partkey % 7 <> 0
+), w AS (SELECT *, list_filter(string_split_regex(lower(name), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS words, list_filter(string_split_regex(lower(kind), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS kinds FROM rows)
+SELECT root_path, p_partkey, CAST(scan_id AS BIGINT) AS scan_id, len(list_filter(words || kinds, lambda x: starts_with(x, 'brand'))) > 0 AS renamed FROM w
+WHERE len(list_filter(words || kinds, lambda x: starts_with(x, 'brand') OR starts_with(x, 's'))) > 0""")
+def index_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans follow one another; the index's searches and rows are those of what was seen last."""
+    stored = TextIndex(spark, new_path(spark, "text-index"), "p_partkey", ("name", "kind"))
+    part = table(spark, sf_dir, "part").dropDuplicates(["p_partkey"])
+    for k, (root, seen) in enumerate(SCANS):
+        name = F.when(F.lit(k == 2) & (F.col("p_partkey") % 5 == 0), F.col("p_brand")).otherwise(F.col("p_name"))
+        stored.apply(root, part.where(seen).select("p_partkey", name.alias("name"), F.col("p_type").alias("kind")), scan_id=k + 1)
+    brands = stored.search("brand").withColumn("renamed", F.lit(True))
+    hits = brands.select("root_path", "p_partkey").union(stored.search("s")).distinct()
+    rows = stored.rows().select("root_path", "p_partkey", "scan_id")
+    return rows.join(hits, ["root_path", "p_partkey"]).join(brands, ["root_path", "p_partkey"], "left").select("root_path", "p_partkey", "scan_id", F.coalesce("renamed", F.lit(False)).alias("renamed"))
 
 
 @register(r"""
@@ -92,7 +129,7 @@ SELECT p_partkey FROM w, q WHERE contains(words, ' ' || t) OR contains(kinds, '
 def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     first, second = part.agg(F.lower(F.min("p_name")).alias("n")).first()["n"].split(" ")[:2]
-    return S.match_all(S.index(part, "p_partkey", "p_name", "p_type"), f"{first}-{second[:2]}", "p_partkey")
+    return S.match_texts(part, f"{first}-{second[:2]}", "p_partkey", "p_name", "p_type")
 
 
 @register("""

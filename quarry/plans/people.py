@@ -122,8 +122,8 @@ def align_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
     face = F.when(F.col("l_partkey") % 3 != 0, F.array(x, F.lit(0.1), 0.2 + (F.col("l_partkey") % 5).cast("double") * 0.01, F.lit(0.2)))
     body = F.when(F.col("l_suppkey") % 2 == 0, F.array(x, F.lit(0.05), F.lit(0.4), 0.3 + (F.col("l_suppkey") % 4).cast("double") * 0.05))
     boxes = rows.select("l_orderkey", "id", rev.alias("source_identity_revision"), current.alias("revision"), face.alias("face_box"), body.alias("body_box"), (F.col("l_partkey") % 11 == 0).alias("needs_review"))
-    score = G.pair_score(F.col("m.face_box"), F.col("m.body_box"), F.col("d.face_box"), F.col("d.body_box"))
-    found = V.align(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"), F.col("revision"), score, picture=("l_orderkey",))
+    overlaps = G.pair_overlaps(F.col("m.face_box"), F.col("m.body_box"), F.col("d.face_box"), F.col("d.body_box"))
+    found = V.align(boxes.where("id % 2 = 1"), boxes.where("id % 2 = 0"), F.col("revision"), G.overlap_score(), picture=("l_orderkey",), measures=overlaps)
     return found.withColumn("score", F.round("score", 6))
 
 

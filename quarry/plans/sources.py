@@ -31,7 +31,7 @@ def directory_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tree of partition folders is written, then walked."""
     root = new_path(spark, "walk") + "/tree"
     table(spark, sf_dir, "nation").write.partitionBy("n_regionkey", "n_name").csv(root)
-    found = catalog.listed_directories(catalog.walk(spark, root), root)
+    found = catalog.listed_directories(catalog.walk(spark, root))
     return found.select("name", "has_children", "depth", F.element_at(F.split("parent_path", "/"), -1).alias("parent"))
 
 
@@ -75,12 +75,12 @@ def search_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.match_or_list(table(spark, sf_dir, "part"), " \t ", "p_partkey", "p_name")
 
 
-@register("""SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 1 END, p_size, p_partkey) - 1 AS BIGINT) AS place FROM part""")
+@register("""SELECT p_partkey, CAST(row_number() OVER (ORDER BY CASE p_partkey % 3 WHEN 2 THEN 0 ELSE 1 END, p_size, p_partkey % 2, p_partkey) - 1 AS BIGINT) AS place FROM part""")
 def folder_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names such as 'Été 7-0012', 'ETE 31-8' and 'ätna 5-03': the first two begin alike, and numbers go by their value."""
+    """Names such as 'Été 7-0012', 'ETE 31-9...98' and 'ätna 5-03': the first two begin alike, and numbers go by their value, those of forty digits too."""
     turn = F.col("p_partkey") % 3
     word = F.when(turn == 0, "Été").when(turn == 1, "ETE").otherwise("ätna")
-    name = F.concat(word, F.lit(" "), F.col("p_size").cast("string"), F.lit("-"), F.repeat(F.lit("0"), (F.col("p_partkey") % 4).cast("int")), F.col("p_partkey").cast("string"))
+    name = F.concat(word, F.lit(" "), F.col("p_size").cast("string"), F.lit("-"), F.repeat(F.lit("0"), (F.col("p_partkey") % 4).cast("int")), F.when(F.col("p_partkey") % 2 == 1, "9" * 30).otherwise(""), F.lpad(F.col("p_partkey").cast("string"), 10, "0"))
     return Q.dense_order(table(spark, sf_dir, "part").select("p_partkey", Q.folder_order_key(name).alias("key")), F.col("key")).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
@@ -119,18 +119,6 @@ def display_and_place(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", width.alias("width"), height.alias("height"), F.round(degrees, 8).alias("degrees"), X.quicktime_date(seconds).alias("taken"))
 
 
-STAGES = {"decode": (), "faces": ("decode",), "bodies": ("decode",), "vectors": ("faces",), "people": ("vectors", "bodies"), "labels": ()}
-
-
-@register("""WITH RECURSIVE needs(stage, needed) AS (VALUES ('faces', 'decode'), ('bodies', 'decode'), ('vectors', 'faces'), ('people', 'vectors'), ('people', 'bodies')),
-changed AS (SELECT 'faces' AS stage UNION SELECT n.stage FROM changed c JOIN needs n ON n.needed = c.stage)
-SELECT stage FROM changed""")
-def stages_to_recompute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = L.fingerprints(STAGES, dict.fromkeys(STAGES, "v1"))
-    new = L.fingerprints(STAGES, dict.fromkeys(STAGES, "v1") | {"faces": "v2"})
-    return spark.createDataFrame([(s,) for s in L.to_recompute(STAGES, old, new)], "stage string")
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/events.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, for a plain name must be a folder here

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import ascii_lower, ascii_upper, asset_kind, base_name, extension, parent_path, stable_id, stem_path
+from quarry.operators.query import dense_order
+from quarry.sources.log import Log, deleted
 from quarry.tables import kept, partitions
 
 
@@ -21,46 +24,92 @@ def files(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     return reader.load(root).select("path", F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("modified_at_ms"))
 
 
-ENTRY = "path string, is_directory boolean, size_bytes long, modified_at_ms long"
+ENTRY = "parent_sequence long, name string, path string, is_directory boolean, size_bytes long, modified_at_ms long, error string"
+Listed = tuple[str, str, bool, int, int]
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the directories of a batch hold; one that cannot be listed holds nothing."""
+def listed(uri: str) -> list[Listed]:
+    """(name, path, is_directory, size_bytes, modified_at_ms) of what a directory holds. A local directory's path is its real one, links followed."""
+    system, inside = fs.FileSystem.from_uri(uri)
+    found = system.get_file_info(fs.FileSelector(inside))
+    rows = []
+    for i in found:
+        if i.type in (fs.FileType.File, fs.FileType.Directory):
+            is_directory = i.type == fs.FileType.Directory
+            real = is_directory and isinstance(system, fs.LocalFileSystem)
+            path = "file://" + os.path.realpath(i.path) if real else f"{uri.rstrip('/')}/{i.base_name}"
+            rows.append((i.base_name, path, is_directory, i.size or 0, (i.mtime_ns or 0) // 1_000_000))
+    return rows
+
+
+def _entries(lister: Callable[[str], list[Listed]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What the directories (sequence, path) of a batch hold; one that cannot be listed is a row of its own with the error."""
     names = [f.split(" ")[0] for f in ENTRY.split(", ")]
-    for batch in batches:
-        for root in batch.column(0).to_pylist():
-            try:
-                system, inside = fs.FileSystem.from_uri(root)
-                found = system.get_file_info(fs.FileSelector(inside))
-            except OSError:
-                continue
-            rows = [(f"{root.rstrip('/')}/{i.base_name}", i.type == fs.FileType.Directory, i.size or 0, (i.mtime_ns or 0) // 1_000_000) for i in found if i.type in (fs.FileType.File, fs.FileType.Directory)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=names)
-
-
-def walk(spark: SparkSession, root: str, recursive: bool = True, most_depth: int = 64) -> DataFrame:
-    """(path, is_directory, size_bytes, modified_at_ms) of all that is below a root URI, empty files and directories too, links followed.
-
-    A level's directories are listed by tasks, and are the next level's input; nothing but their being there comes to the driver. A tree of more
-    than most_depth levels, such as a link to a directory above makes, is an error.
+    kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string())
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sequence, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                try:
+                    rows = [(sequence, *entry, None) for entry in lister(path)]
+                except OSError as e:
+                    rows = [(sequence, None, path, True, None, None, f"{type(e).__name__}: {e.strerror or e}")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return task
+
+
+def real_root(root: str) -> str:
+    """A local root's real path; others as they are, without a slash at the end."""
+    system, inside = fs.FileSystem.from_uri(root)
+    return "file://" + os.path.realpath(inside) if isinstance(system, fs.LocalFileSystem) else root.rstrip("/")
+
+
+def walk(spark: SparkSession, root: str, recursive: bool = True, lister: Callable[[str], list[Listed]] = listed) -> DataFrame:
+    """(path, name, is_directory, size_bytes, modified_at_ms, depth, sequence, error) of all that is below a root URI, empty files and directories too.
+
+    Breadth first: a level's directories are listed by tasks and are the next level's input; nothing but their number comes to the driver. Links are followed, and a directory
+    is visited once, by its real path, where it is first reached; links that lead out of the root are left. sequence numbers the directories by depth, their parent's number and
+    their name; files have none. A directory that cannot be listed has an error, and what is below it is unknown: an index keeps its rows. A root that cannot be listed is an error.
     """
-    level, found = spark.createDataFrame([(root,)], "path string"), None
-    for _ in range(most_depth):
-        entries = kept(level.repartition(partitions(spark)).mapInArrow(_entries, ENTRY), "entries")
-        found = entries if found is None else found.unionByName(entries)
-        level = entries.where("is_directory").select("path")
-        if not recursive or level.isEmpty():
-            return found
-    raise ValueError(f"more than {most_depth} levels below {root}")
-
-
-def listed_directories(found: DataFrame, root: str) -> DataFrame:
-    """(path, parent_path, name, has_children, depth) of the directories of a walk."""
-    each = found.where("is_directory").select("path")
+    root = real_root(root)
+    level = spark.createDataFrame([(0, root)], "sequence long, path string")
+    visited = level.select("path")
+    files, directories, errors, before = [], [], [], 1
+    depth = 0
+    while True:
+        depth += 1
+        entries = kept(level.select("sequence", "path").repartition(partitions(spark)).mapInArrow(_entries(lister), ENTRY), "entries")
+        failed = entries.where("error IS NOT NULL").select("path", "error")
+        if depth == 1 and (wrong := failed.first()) is not None:
+            raise OSError(f"{root} cannot be listed: {wrong['error']}")
+        errors.append(failed)
+        files.append(entries.where("NOT is_directory").withColumn("depth", F.lit(depth)))
+        inside = entries.where(F.col("is_directory") & F.col("error").isNull() & F.startswith("path", F.lit(root + "/")))
+        place = F.struct("parent_sequence", ascii_lower(F.col("name")).alias("folded"), "name")
+        fresh = inside.groupBy("path").agg(F.min(place).alias("first"), F.max("modified_at_ms").alias("modified_at_ms")).join(visited, "path", "left_anti")
+        level = kept(dense_order(fresh, F.col("first"), F.col("path")).select((F.col("place") + before).alias("sequence"), "path", F.col("first.name").alias("name"), "modified_at_ms", F.lit(depth).alias("depth")), "directories")
+        number = level.count()
+        if number:
+            directories.append(level)
+            visited = visited.union(level.select("path"))
+            before += number
+        if not number or not recursive:
+            break
+    columns = ["path", "name", "is_directory", "size_bytes", "modified_at_ms", "depth", "sequence", "error"]
+    out = reduce(DataFrame.unionByName, files).withColumn("sequence", F.lit(None).cast("long")).select(*columns)
+    if directories:
+        every = reduce(DataFrame.unionByName, directories).withColumns({"is_directory": F.lit(True), "size_bytes": F.lit(0).cast("long")})
+        out = out.unionByName(every.join(reduce(DataFrame.unionByName, errors), "path", "left").select(*columns))
+    return out
+
+
+def listed_directories(found: DataFrame) -> DataFrame:
+    """(path, parent_path, name, has_children, depth, sequence, error) of the directories of a walk."""
+    each = found.where("is_directory").select("path", "name", "depth", "sequence", "error")
     parents = each.select(parent_path(F.col("path")).alias("path")).distinct().withColumn("has_children", F.lit(True))
-    below = F.substring(F.col("path"), len(root.rstrip("/")) + 2, F.length("path"))
-    return each.join(parents, "path", "left").select("path", parent_path(F.col("path")).alias("parent_path"), base_name(F.col("path")).alias("name"), F.coalesce("has_children", F.lit(False)).alias("has_children"), F.size(F.split(below, "/")).alias("depth"))
+    return each.join(parents, "path", "left").select("path", parent_path(F.col("path")).alias("parent_path"), "name", F.coalesce("has_children", F.lit(False)).alias("has_children"), "depth", "sequence", "error")
 
 
 def assets(listing: DataFrame) -> DataFrame:
@@ -88,35 +137,15 @@ def directory_order() -> list:
 
 
 class Snapshots:
-    """Immutable versions of a relation under one folder. Version n is current where log/n is the newest entry; the two newest versions are kept, older ones removed.
-
-    Publishing is fenced: the entry of a number is created by one writer alone, without overwriting; whoever comes second is refused.
-    """
+    """Immutable versions of a relation under one folder. Version n is current where entry n is the newest of the log; the two newest versions are kept, older ones removed."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-
-    def _path(self, name: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        return path, path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        self.log = Log(spark, f"{self.folder}/log")
 
     def _numbers(self) -> list[tuple[int, str]]:
         """The numbers and versions of the entries, the newest first."""
-        path, system = self._path("log")
-        if not system.exists(path):
-            return []
-        names = [f.getPath().getName() for f in system.listStatus(path)]
-        newest = sorted((int(n) for n in names if n.isdigit()), reverse=True)[:3]
-        versions = {n: self._version(n) for n in newest}
-        return [(n, v) for n, v in versions.items() if v]  # an entry without content is still being written
-
-    def _version(self, number: int) -> str:
-        path, system = self._path(f"log/{number}")
-        source = system.open(path)
-        try:
-            return bytes(self.spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode()
-        finally:
-            source.close()
+        return self.log.newest(3)
 
     def publish(self, df: DataFrame, expected: int | None = None) -> int:
         """Writes a version and makes it current; refused where another number than expected is current, or where another writer takes the number first."""
@@ -126,24 +155,16 @@ class Snapshots:
             raise ValueError(f"version {current} is current, not {expected}")
         version = uuid.uuid4().hex
         df.write.parquet(f"{self.folder}/data/{version}")
-        path, system = self._path(f"log/{current + 1}")
         try:
-            entry = system.create(path, False)
-        except Py4JJavaError as e:
-            self._remove(version)
-            raise ValueError(f"version {current + 1} was published by another writer") from e
-        entry.write(version.encode())
-        entry.close()
+            self.log.append(current + 1, version)
+        except ValueError:
+            deleted(self.spark, f"{self.folder}/data/{version}")
+            raise
         for number, old in self._numbers()[2:]:
-            self._remove(old)
-            path, system = self._path(f"log/{number}")
-            system.delete(path, False)
+            deleted(self.spark, f"{self.folder}/data/{old}")
+            self.log.delete(number)
         return current + 1
 
-    def _remove(self, version: str) -> None:
-        path, system = self._path(f"data/{version}")
-        system.delete(path, True)
-
     def read(self, number: int | None = None) -> DataFrame:
         """The current version, or the one asked for if it is one of the two newest."""
         for n, version in self._numbers()[:2]:

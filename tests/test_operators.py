@@ -197,9 +197,9 @@ def test_page_cursor(spark):
     last = Q.page(rows, Q.AssetQuery(page_size=4, offset=8), "id")
     assert (last.next_cursor, last.items.count()) == (None, 2)
     assert Q.AssetQuery(minimum_rating=0).needs_metadata and not Q.AssetQuery(kind="raw").needs_metadata
-    names = ["b10", "B9", "é1", "a2", "a10"]
+    names = ["b10", "B9", "é1", "a10", "a2", "a1234567890123456789", "a1234567890123456780", "a" + "0" * 40 + "11", "a9" * 20, "x" + "9" * 30, "x1" + "0" * 30]
     keyed = spark.createDataFrame([(n,) for n in names], "n string").orderBy(Q.folder_order_key(F.col("n")))
-    assert [r["n"] for r in keyed.collect()] == ["a2", "a10", "B9", "b10", "é1"]
+    assert [r["n"] for r in keyed.collect()] == ["a2", "a9" * 20, "a10", "a" + "0" * 40 + "11", "a1234567890123456780", "a1234567890123456789", "B9", "b10", "é1", "x" + "9" * 30, "x1" + "0" * 30]
 
 
 def test_phrases_and_marks(spark):

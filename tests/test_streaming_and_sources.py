@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import metadata as M
 from quarry.operators import projection as P
+from quarry.operators import storage as G
 from quarry.sources import catalog, containers
 from quarry.streaming import projections as R
 
@@ -131,14 +132,43 @@ def test_walk(spark, folder):
     listing = found.where("NOT is_directory")
     assert {r["path"].rsplit("/", 1)[1]: r["size_bytes"] for r in listing.collect()} == {n.rsplit("/", 1)[-1]: len(d) for n, d in files().items()}
     assert "empty.png" in {r["name"] for r in catalog.assets(listing).collect()}
-    tree = {r["name"]: (r["has_children"], r["depth"]) for r in catalog.listed_directories(found, root).collect()}
+    tree = {r["name"]: (r["has_children"], r["depth"]) for r in catalog.listed_directories(found).collect()}
     assert tree == {"sub": (True, 1), "deep": (False, 2), "bare": (True, 1), "er": (False, 2)}
     assert catalog.walk(spark, root, recursive=False).where("is_directory").count() == 2
     assert catalog.walk(spark, f"{root}/bare/er").count() == 0
-    (folder / "bare" / "up").symlink_to(folder / "bare")
-    with pytest.raises(ValueError, match="levels"):
-        catalog.walk(spark, f"{root}/bare", most_depth=5)
-    (folder / "bare" / "up").unlink()
+    with pytest.raises(OSError, match="cannot be listed"):
+        catalog.walk(spark, f"{root}/none")
+
+
+def test_walk_visits_each_directory_once(spark, tmp_path):
+    for name in ("top/b/deep", "top/A/one", "top/a", "out"):
+        (tmp_path / name).mkdir(parents=True)
+    for name in ("top/b/deep/x.jpg", "top/a/y.jpg", "out/z.jpg"):
+        (tmp_path / name).write_bytes(b"1")
+    (tmp_path / "top/b/deep/up").symlink_to(tmp_path / "top")  # a loop
+    (tmp_path / "top/A/again").symlink_to(tmp_path / "top/b")  # reached before under its own name
+    (tmp_path / "top/a/away").symlink_to(tmp_path / "out")
+    (tmp_path / "top/c").symlink_to(tmp_path / "top/A/one")  # reached first by the link
+    (tmp_path / "top/none").symlink_to(tmp_path / "missing")
+    (tmp_path / "linked").symlink_to(tmp_path / "top")
+
+    def lister(uri):
+        if uri.endswith("/deep"):
+            raise PermissionError(13, "denied")
+        return catalog.listed(uri)
+
+    base = f"file://{tmp_path}/top"
+    directories = lambda found: [(r["path"][len(base) + 1 :], r["name"], r["depth"], r["sequence"], r["error"]) for r in found.where("is_directory").orderBy("sequence").collect()]
+    whole = [("A", "A", 1, 1, None), ("a", "a", 1, 2, None), ("b", "b", 1, 3, None), ("A/one", "c", 1, 4, None), ("b/deep", "deep", 2, 5, None)]
+    found = catalog.walk(spark, f"file://{tmp_path}/linked")
+    assert directories(found) == whole
+    assert sorted(r["path"][len(base) + 1 :] for r in found.where("NOT is_directory").collect()) == ["a/y.jpg", "b/deep/x.jpg"]
+    denied = catalog.walk(spark, base, lister=lister)
+    assert directories(denied) == [*whole[:-1], ("b/deep", "deep", 2, 5, "PermissionError: denied")]
+    old = found.where("NOT is_directory").select(F.lit(base).alias("root_path"), "path", F.lit(1).cast("long").alias("scan_id")).union(spark.createDataFrame([(base, f"{base}/a/gone.jpg", 1), ("other", f"{base}/b/deep/x.jpg", 1)], "root_path string, path string, scan_id long"))
+    seen, unread = denied.where("NOT is_directory").select("path"), denied.where("error IS NOT NULL").select("path")
+    after = G.next_generation(old, seen, ["path"], base, 2, unread).collect()
+    assert sorted((r["root_path"] == base, r["path"][len(base) + 1 :], r["scan_id"]) for r in after) == [(False, "b/deep/x.jpg", 1), (True, "a/y.jpg", 2), (True, "b/deep/x.jpg", 1)]
 
 
 def test_snapshots(spark, tmp_path):
