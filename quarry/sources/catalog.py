@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import ascii_lower, ascii_upper, asset_kind, base_name, extension, parent_path, stable_id, stem_path
 from quarry.operators.query import dense_order
 from quarry.sources.log import Log, deleted
+from quarry.sources.ranged import located
 from quarry.tables import kept, partitions
 
 
@@ -30,7 +31,7 @@ Listed = tuple[str, str, bool, int, int]
 
 def listed(uri: str) -> list[Listed]:
     """(name, path, is_directory, size_bytes, modified_at_ms) of what a directory holds. A local directory's path is its real one, links followed."""
-    system, inside = fs.FileSystem.from_uri(uri)
+    system, inside = located(uri)
     found = system.get_file_info(fs.FileSelector(inside))
     rows = []
     for i in found:
@@ -62,7 +63,7 @@ def _entries(lister: Callable[[str], list[Listed]]) -> Callable[[Iterator[pa.Rec
 
 def real_root(root: str) -> str:
     """A local root's real path; others as they are, without a slash at the end."""
-    system, inside = fs.FileSystem.from_uri(root)
+    system, inside = located(root)
     return "file://" + os.path.realpath(inside) if isinstance(system, fs.LocalFileSystem) else root.rstrip("/")
 
 

@@ -14,6 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.sources import embedded as E
+from quarry.sources.makernotes import maker_tags, named
+from quarry.sources.ranged import Ranged, located, unpack
+from quarry.tables import partitions
 
 TAG_SCHEMA = "path string, ord int, group string, name string, value string"
 
@@ -25,10 +28,12 @@ NAMES = {
 GPS_NAMES = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude"}
 #: Entry types, as struct codes and sizes.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("s", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
-EXIF_IFD, GPS_IFD = 0x8769, 0x8825
-MOST_ENTRIES = 4096
+EXIF_IFD, GPS_IFD, MAKER_NOTE = 0x8769, 0x8825, 0x927C
+#: Bytes of a maker's entry that can be a text or a few numbers.
+MOST_TEXT = 1 << 10
 
 Tag = tuple[str, str, str]
+Data = bytes | Ranged
 
 
 def _shown(kind: int, raw: bytes, order: str) -> str:
@@ -42,33 +47,61 @@ def _shown(kind: int, raw: bytes, order: str) -> str:
     return " ".join(f"{x:.6f}" if code in "fd" else str(x) for x in numbers)
 
 
-def exif_tags(data: bytes) -> Iterator[Tag]:
-    """The known entries of a TIFF block: the main directory's, then those of the EXIF and GPS directories."""
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or len(data) < 8:
+def entries(data: Data, at: int, order: str, base: int = 0) -> Iterator[tuple[int, int, int, int]]:
+    """(number, type, place, size) of a directory's entries whose values lie in the data; offsets count from base."""
+    if at + 2 > len(data):
         return
-    waiting, seen = [(struct.unpack(order + "I", data[4:8])[0], NAMES, "EXIF")], set()
+    (count,) = unpack(order + "H", data, at)
+    for entry in range(at + 2, min(at + 2 + 12 * count, len(data) - 11), 12):
+        number, kind, n = unpack(order + "HHI", data, entry)
+        if kind not in TYPES:
+            continue
+        size = n * TYPES[kind][1]
+        place = entry + 8 if size <= 4 else base + unpack(order + "I", data, entry + 8)[0]
+        if place + size <= len(data):
+            yield number, kind, place, size
+
+
+def _texts(data: Data, at: int, order: str, base: int) -> Iterator[tuple[int, str]]:
+    """Numbers and texts of a maker's directory; tables of numbers are left out."""
+    for number, kind, place, size in entries(data, at, order, base):
+        if size <= MOST_TEXT:
+            yield number, _shown(kind, data[place : place + size], order)
+
+
+def _order(data: Data) -> str | None:
+    return {b"II": "<", b"MM": ">"}.get(data[:2]) if len(data) >= 8 else None
+
+
+def exif_tags(data: Data, names: dict[int, str] | None = None, group: str = "EXIF") -> Iterator[Tag]:
+    """The known entries of a TIFF block: the main directory's, then those of the EXIF and GPS directories and of the maker's note."""
+    order = _order(data)
+    if order is None:
+        return
+    waiting, seen, make, note = [(unpack(order + "I", data, 4)[0], names or NAMES, group)], set(), "", None
     while waiting:
         at, names, group = waiting.pop(0)
-        if at in seen or at + 2 > len(data):
+        if at in seen:
             continue
         seen.add(at)
-        (count,) = struct.unpack_from(order + "H", data, at)
-        for k in range(min(count, MOST_ENTRIES)):
-            entry = at + 2 + 12 * k
-            if entry + 12 > len(data):
-                break
-            number, kind, n = struct.unpack_from(order + "HHI", data, entry)
-            if kind not in TYPES:
-                continue
-            size = n * TYPES[kind][1]
-            place = entry + 8 if size <= 4 else struct.unpack_from(order + "I", data, entry + 8)[0]
-            if place + size > len(data):
-                continue
+        for number, kind, place, size in entries(data, at, order):
             if number in (EXIF_IFD, GPS_IFD) and size == 4:
-                waiting.append((struct.unpack_from(order + "I", data, place)[0], NAMES if number == EXIF_IFD else GPS_NAMES, "EXIF" if number == EXIF_IFD else "GPS"))
+                waiting.append((unpack(order + "I", data, place)[0], NAMES if number == EXIF_IFD else GPS_NAMES, "EXIF" if number == EXIF_IFD else "GPS"))
+            elif number == MAKER_NOTE and group == "EXIF":
+                note = place, size
             elif number in names:
-                yield group, names[number], _shown(kind, data[place : place + size], order)
+                text = _shown(kind, data[place : place + size], order)
+                make = text if names[number] == "Make" else make
+                yield group, names[number], text
+    if note is not None:
+        yield from maker_tags(data, *note, order, make, _texts)
+
+
+def canon_tags(data: Data) -> Iterator[Tag]:
+    """A maker's directory that is a TIFF block of its own."""
+    order = _order(data)
+    if order is not None:
+        yield from named("Canon", _texts(data, unpack(order + "I", data, 4)[0], order, 0))
 
 
 def xmp_tags(xml: str) -> Iterator[Tag]:
@@ -89,7 +122,7 @@ def xmp_tags(xml: str) -> Iterator[Tag]:
             yield "XMP", name(key), clean(inner)
 
 
-def _jpeg(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _jpeg(data: Data) -> Iterator[tuple[str, bytes]]:
     at = 2
     profile: dict[int, bytes] = {}
     extended: dict[bytes, dict[int, bytes]] = {}
@@ -100,10 +133,10 @@ def _jpeg(data: bytes) -> Iterator[tuple[str, bytes]]:
         yield "xmp", E.joined_profile(parts)
 
 
-def _jpeg_segments(data: bytes, at: int, profile: dict[int, bytes], extended: dict[bytes, dict[int, bytes]]) -> Iterator[tuple[str, bytes]]:
+def _jpeg_segments(data: Data, at: int, profile: dict[int, bytes], extended: dict[bytes, dict[int, bytes]]) -> Iterator[tuple[str, bytes]]:
     """A JPEG's blocks up to its picture; what comes in parts is put into profile (by number) and extended (by packet and place)."""
     while at + 4 <= len(data) and data[at] == 0xFF:
-        marker, (size,) = data[at + 1], struct.unpack_from(">H", data, at + 2)
+        marker, (size,) = data[at + 1], unpack(">H", data, at + 2)
         if marker == 0xDA:
             return
         body = data[at + 4 : at + 2 + size]
@@ -112,7 +145,7 @@ def _jpeg_segments(data: bytes, at: int, profile: dict[int, bytes], extended: di
         elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xap/1.0/\0"):
             yield "xmp", body[29:]
         elif marker == 0xE1 and body.startswith(b"http://ns.adobe.com/xmp/extension/\0") and len(body) > 75:
-            extended.setdefault(body[35:67], {})[struct.unpack_from(">I", body, 71)[0]] = body[75:]
+            extended.setdefault(body[35:67], {})[unpack(">I", body, 71)[0]] = body[75:]
         elif marker == 0xE2 and body.startswith(b"ICC_PROFILE\0") and len(body) > 14:
             profile[body[12]] = body[14:]
         elif marker == 0xED and body.startswith(b"Photoshop 3.0\0"):
@@ -122,11 +155,11 @@ def _jpeg_segments(data: bytes, at: int, profile: dict[int, bytes], extended: di
         at += 2 + size
 
 
-def _png(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _png(data: Data) -> Iterator[tuple[str, bytes]]:
     at = 8
     while at + 12 <= len(data):
-        (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
-        body = data[at + 8 : at + 8 + size]
+        (size,), kind = unpack(">I", data, at), data[at + 4 : at + 8]
+        body = data[at + 8 : at + 8 + size] if kind in (b"eXIf", b"iTXt", b"iCCP", b"IHDR") else b""
         if kind == b"eXIf":
             yield "exif", body
         elif kind == b"iTXt" and body.startswith(b"XML:com.adobe.xmp\0\0\0\0\0"):
@@ -139,11 +172,11 @@ def _png(data: bytes) -> Iterator[tuple[str, bytes]]:
         at += 12 + size
 
 
-def _webp(data: bytes) -> Iterator[tuple[str, bytes]]:
+def _webp(data: Data) -> Iterator[tuple[str, bytes]]:
     at = 12
     while at + 8 <= len(data):
-        kind, (size,) = data[at : at + 4], struct.unpack_from("<I", data, at + 4)
-        body = data[at + 8 : at + 8 + size]
+        kind, (size,) = data[at : at + 4], unpack("<I", data, at + 4)
+        body = data[at + 8 : at + 8 + size] if kind in (b"EXIF", b"XMP ", b"ICCP") else b""
         if kind == b"EXIF":
             yield "exif", body.removeprefix(b"Exif\0\0")
         elif kind == b"XMP ":
@@ -153,7 +186,7 @@ def _webp(data: bytes) -> Iterator[tuple[str, bytes]]:
         at += 8 + size + size % 2
 
 
-def blocks(data: bytes, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
+def blocks(data: Data, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
     """The EXIF, XMP and size blocks of a file, by its first bytes; in a sidecar the packet may stand anywhere outside comments."""
     if data.startswith(b"\xff\xd8"):
         yield from _jpeg(data)
@@ -166,17 +199,17 @@ def blocks(data: bytes, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
     elif data[:4] in (b"II*\0", b"MM\0*"):
         yield "exif", data
     elif data.startswith((b"GIF87a", b"GIF89a")) and len(data) >= 10:
-        width, height = struct.unpack_from("<HH", data, 6)
+        width, height = unpack("<HH", data, 6)
         yield "size", struct.pack(">II", height, width)
     elif data.startswith(b"BM") and len(data) >= 26:
-        width, height = struct.unpack_from("<ii", data, 18)
+        width, height = unpack("<ii", data, 18)
         yield "size", struct.pack(">II", abs(height), abs(width))
     elif sidecar:
-        plain = re.sub(rb"<!--.*?-->", b"", data, flags=re.S)
+        plain = re.sub(rb"<!--.*?-->", b"", data[:], flags=re.S)
         if packet := re.search(rb"<x:xmpmeta|<rdf:RDF", plain):
             yield "xmp", plain[packet.start() :]
     elif b"<x:xmpmeta" in data[:512] or b"<rdf:RDF" in data[:2048]:
-        yield "xmp", data
+        yield "xmp", data[:]
 
 
 def _whole(found: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
@@ -187,13 +220,17 @@ def _whole(found: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
         return
 
 
-def tags_of(data: bytes, sidecar: bool = False) -> Iterator[Tag]:
+def tags_of(data: Data, sidecar: bool = False) -> Iterator[Tag]:
     for kind, body in _whole(blocks(data, sidecar)):
         try:
             if kind == "exif":
                 yield from exif_tags(body)
             elif kind == "xmp":
                 yield from xmp_tags(body.decode("utf-8", "replace"))
+            elif kind == "gps":
+                yield from exif_tags(body, GPS_NAMES, "GPS")
+            elif kind == "canon":
+                yield from canon_tags(body)
             elif kind == "icc":
                 yield from E.icc_tags(body)
             elif kind == "iptc":
@@ -207,18 +244,45 @@ def tags_of(data: bytes, sidecar: bool = False) -> Iterator[Tag]:
             continue
 
 
-def read_tags(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """The tags of all files below a path."""
+def _rows(found: list[tuple[str, int, Tag]]) -> pa.RecordBatch:
+    columns = list(zip(*((p, k, *t) for p, k, t in found), strict=True)) if found else [()] * 5
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ord", "group", "name", "value"])
+
+
+def _numbered(path: str, data: Data) -> list[tuple[str, int, Tag]]:
+    return [(path, k, t) for k, t in enumerate(tags_of(data, path.lower().endswith(".xmp")))]
+
+
+def tags_of_files(listing: DataFrame) -> DataFrame:
+    """The tags of listed files (path): tasks open them where they are and read the ranges that hold tags, of files of any size. A file that cannot be opened has none but File:Error."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    system, inside = located(path)
+                    with system.open_input_file(inside) as source:
+                        rows += _numbered(path, Ranged(source, source.size()))
+                except OSError as e:
+                    rows.append((path, 0, ("File", "Error", f"{type(e).__name__}: {e.strerror or e}")))
+            yield _rows(rows)
+
+    return listing.select("path").mapInArrow(task, TAG_SCHEMA)
+
+
+def read_tags(spark: SparkSession, path: str, pattern: str = "*", ranged: bool = True) -> DataFrame:
+    """The tags of all files below a path whose names fit a pattern. Without `ranged`, for stores that only Spark reads, each file is read whole, which takes files of under 2 GB."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(p.as_py(), k, *t) for p, data in zip(batch.column(0), batch.column(1), strict=True) for k, t in enumerate(tags_of(data.as_py(), p.as_py().lower().endswith(".xmp")))]
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["path", "ord", "group", "name", "value"])
+            yield _rows([row for p, data in zip(batch.column(0), batch.column(1), strict=True) for row in _numbered(p.as_py(), data.as_py())])
 
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
-    return reader.load(path).select("path", "content").mapInArrow(task, TAG_SCHEMA)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    if ranged:
+        return tags_of_files(reader.select("path").repartition(partitions(spark)))  # the names alone, so nothing is read here
+    return reader.select("path", "content").mapInArrow(task, TAG_SCHEMA)
 
 
 def exiftool_tags(lines: DataFrame, column: str = "value") -> DataFrame:

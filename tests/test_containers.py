@@ -6,6 +6,7 @@ import zlib
 import pytest
 
 from quarry.sources import containers
+from quarry.sources.ranged import Ranged, located
 
 XMP = b'<x:xmpmeta><rdf:RDF><rdf:Description xmp:Rating="4"></rdf:Description></rdf:RDF></x:xmpmeta>'
 
@@ -79,3 +80,105 @@ def test_profiles_records_and_long_packets():
     assert got[("ICC_Profile", "ProfileDescription")] == "sRGB ü"
     png = b"\x89PNG\r\n\x1a\n" + (lambda b: struct.pack(">I", len(b)) + b"iCCP" + b + b"\0" * 4)(b"name\0\0" + zlib.compress(icc))
     assert ("ICC_Profile", "ProfileClass", "mntr") in list(containers.tags_of(png))
+
+
+def directory(order: str, entries: list[tuple[int, int, bytes]], at: int) -> bytes:
+    """A directory at a place of its block, values behind it."""
+    sizes = {1: 1, 2: 1, 3: 2, 4: 4, 7: 1}
+    head, values = struct.pack(order + "H", len(entries)), b""
+    behind = at + 2 + 12 * len(entries) + 4
+    for number, kind, raw in entries:
+        n = len(raw) // sizes[kind]
+        place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack(order + "I", behind + len(values))
+        values += raw if len(raw) > 4 else b""
+        head += struct.pack(order + "HHI", number, kind, n) + place
+    return head + b"\0" * 4 + values
+
+
+def block(order: str, entries: list[tuple[int, int, bytes]]) -> bytes:
+    return {"<": b"II*\0", ">": b"MM\0*"}[order] + struct.pack(order + "I", 8) + directory(order, entries, 8)
+
+
+def cr3() -> bytes:
+    parts = [
+        box(b"CMT1", block("<", [(0x010F, 2, b"Canon\0"), (0x0110, 2, b"Canon EOS R5\0")])),
+        box(b"CMT2", block("<", [(0x8827, 3, struct.pack("<H", 800)), (0xA434, 2, b"RF50mm\0")])),
+        box(b"CMT3", block("<", [(0x06, 2, b"Canon image\0"), (0x0C, 4, struct.pack("<I", 77)), (0x4000, 7, b"x" * 5000)])),
+        box(b"CMT4", block("<", [(1, 2, b"N\0")])),
+    ]
+    return box(b"ftyp", b"crx \0\0\0\1") + box(b"moov", box(b"uuid", bytes.fromhex("85c0b687820f11e08111f4ce462b6a48"), *parts)) + box(b"uuid", bytes.fromhex("be7acfcb97a942e89c71999491e3afac"), XMP) + box(b"mdat", b"\0" * 100)
+
+
+CR3_TAGS = [("EXIF", "Make", "Canon"), ("EXIF", "Model", "Canon EOS R5"), ("EXIF", "ISO", "800"), ("EXIF", "LensModel", "RF50mm"), ("MakerNotes", "CanonImageType", "Canon image"), ("MakerNotes", "SerialNumber", "77"), ("GPS", "GPSLatitudeRef", "N"), ("XMP", "Rating", "4")]
+
+
+def test_cr3():
+    data = cr3()
+    assert list(containers.tags_of(data)) == CR3_TAGS
+    for cut in range(0, len(data), 7):
+        list(containers.tags_of(data[:cut]))
+    elsewhere = box(b"ftyp", b"crx ") + box(b"mdat", box(b"uuid", bytes.fromhex("85c0b687820f11e08111f4ce462b6a48"), box(b"CMT1", block("<", [(0x010F, 2, b"Canon\0")]))))
+    assert list(containers.tags_of(elsewhere)) == []
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_maker_notes(order):
+    number = lambda n: struct.pack(order + "H", n)
+
+    def whole(make: bytes, note) -> dict:
+        """An EXIF block whose note is made for its place."""
+        main = [(0x010F, 2, make + b"\0"), (0x8769, 4, struct.pack(order + "I", 100))]
+        head = block(order, main).ljust(100, b"\0")
+        place = 100 + 2 + 12 + 4
+        body = note(place)
+        data = head + struct.pack(order + "H", 1) + struct.pack(order + "HHII", 0x927C, 7, len(body), place) + b"\0" * 4 + body
+        tags = list(containers.tags_of(data))
+        for cut in range(0, len(data), 5):
+            list(containers.tags_of(data[:cut]))
+        return {n: v for g, n, v in tags if g == "MakerNotes"}
+
+    sony = lambda at: b"SONY DSC \0\0\0" + directory(order, [(0x2027, 3, b"".join(map(number, (7008, 4672, 1204, 2277)))), (0xB049, 3, number(5)), (0xB04A, 3, number(3))], at + 12)
+    assert whole(b"SONY", sony) == {"FocusLocation": "7008 4672 1204 2277", "ReleaseMode": "Exposure Bracketing", "SequenceNumber": "3"}
+    single = lambda at: b"SONY DSC \0\0\0" + directory(order, [(0xB049, 3, number(0)), (0xB04A, 3, number(0))], at + 12)
+    assert whole(b"SONY", single) == {"ReleaseMode": "Normal", "SequenceNumber": "Single"}
+    assert whole(b"Canon", lambda at: directory(order, [(0x95, 2, b"EF 24-70mm\0")], at)) == {"LensModel": "EF 24-70mm"}
+    assert whole(b"Other", lambda at: directory(order, [(0x95, 2, b"EF 24-70mm\0")], at)) == {}
+    assert whole(b"NIKON", lambda at: b"Nikon\0\2\x10\0\0" + block(">", [(0x04, 2, b"RAW   \0"), (0xA7, 4, struct.pack(">I", 12345))])) == {"Quality": "RAW", "ShutterCount": "12345"}
+    assert whole(b"FUJIFILM", lambda at: b"FUJIFILM\x0c\0\0\0" + directory("<", [(0x1000, 2, b"NORMAL \0"), (0x1101, 3, struct.pack("<H", 4))], 12)) == {"Quality": "NORMAL", "SequenceNumber": "4"}
+    assert whole(b"Panasonic", lambda at: b"Panasonic\0\0\0" + directory(order, [(0x2B, 4, struct.pack(order + "I", 9))], at + 12)) == {"SequenceNumber": "9"}
+    assert whole(b"Apple", lambda at: b"Apple iOS\0\0\1MM" + directory(">", [(0x0B, 2, b"ABCDEF-01\0")], 14)) == {"BurstUUID": "ABCDEF-01"}
+
+
+def test_large_files_are_read_in_ranges(spark, tmp_path):
+    times = struct.pack(">IIII", 2082844800 + 86400, 0, 600, 600 * 3725)
+    track = box(b"trak", box(b"tkhd", b"\0" * 76, struct.pack(">II", 1920 << 16, 1080 << 16)), box(b"mdia", b"\0" * 3_000_000))
+    with open(tmp_path / "a film é.mov", "wb") as film:  # the picture is a hole of five gigabytes
+        film.write(box(b"ftyp", b"qt  ") + struct.pack(">I4sQ", 1, b"mdat", 16 + 5 * 2**30))
+        film.seek(5 * 2**30, 1)
+        film.write(box(b"moov", box(b"mvhd", b"\0" * 4, times), track))
+    (tmp_path / "b.CR3").write_bytes(cr3())
+    raw = block("<", [(0x010F, 2, b"Maker\0"), (0x0112, 3, struct.pack("<H", 6))])
+    with open(tmp_path / "c.tif", "wb") as big:
+        big.write(raw)
+        big.truncate(3 * 2**30)
+    png = b"\x89PNG\r\n\x1a\n" + b"".join(struct.pack(">I", len(b)) + k + b + b"\0" * 4 for k, b in ((b"IHDR", struct.pack(">II", 7, 5) + b"\0" * 5), (b"IDAT", b"\0" * 9_000_000), (b"eXIf", raw)))
+    (tmp_path / "d.png").write_bytes(png)
+    want = {
+        "a film é.mov": [("QuickTime", "CreateDate", "1970:01:02 00:00:00"), ("QuickTime", "Duration", "1:02:05"), ("File", "ImageSize", "1920x1080")],
+        "b.CR3": CR3_TAGS,
+        "c.tif": [("EXIF", "Make", "Maker"), ("EXIF", "Orientation", "6")],
+        "d.png": [("File", "ImageSize", "7x5"), ("EXIF", "Make", "Maker"), ("EXIF", "Orientation", "6")],
+    }
+    for name, tags in want.items():
+        system, inside = located(f"file:{tmp_path}/{name}")
+        with system.open_input_file(inside) as source:
+            data = Ranged(source, source.size())
+            assert list(containers.tags_of(data)) == tags and data.n_read < 60_000
+    got = {}
+    for r in containers.read_tags(spark, str(tmp_path)).orderBy("ord").collect():
+        got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["group"], r["name"], r["value"]))
+    assert got == want
+    lost = spark.createDataFrame([(f"file:{tmp_path}/none.jpg",)], "path string")
+    assert [(r["group"], r["name"]) for r in containers.tags_of_files(lost).collect()] == [("File", "Error")]
+    whole = containers.read_tags(spark, str(tmp_path), "*.{CR3,png}", ranged=False)
+    assert sorted((r["path"].rsplit("/", 1)[1], r["group"], r["name"], r["value"]) for r in whole.collect()) == sorted((n, *t) for n in ("b.CR3", "d.png") for t in want[n])
