@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
-from quarry.operators import ledger as L
 from quarry.operators import metadata as M
 from quarry.operators import projection as P
 from quarry.operators import query as Q
@@ -18,7 +17,9 @@ from quarry.plans.registry import Register
 from quarry.plans.state import OBSERVATIONS, _observations
 from quarry.plans.views import TAGS, table, tags
 from quarry.sources import catalog, containers
+from quarry.streaming import intents as I
 from quarry.streaming import projections as R
+from quarry.streaming.sink import MergedTable, drain
 from quarry.tables import new_path
 
 register = Register()
@@ -124,30 +125,39 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, for a plain name must be a folder here
 
 
-def _drained(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for the files there are: all rows, or those of the last batch where each batch is the complete result."""
+def _drained(stream: DataFrame, mode: str, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """What a stream gives for the files there are, merged by key."""
     spark = stream.sparkSession
-    path = new_path(spark, "stream")
-    write = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
-    started = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", new_path(spark, "stream-state")).trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    return drain(stream, MergedTable(spark, new_path(spark, "stream"), stream.schema, key, order), mode, new_path(spark, "stream-state"))
 
 
 @register(f"WITH {OBSERVATIONS} SELECT path, projection_kind, valid_at, arrival FROM (SELECT *, row_number() OVER (PARTITION BY path, projection_kind ORDER BY valid_at DESC, arrival DESC) AS k FROM obs) x WHERE k = 1")
 def stream_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    observations = _observations(spark, sf_dir, _events(spark, sf_dir)).withColumn("source_revision", F.lit("r"))
-    return P.latest(_drained(R.accepted_observations(observations), "update")).select("path", "projection_kind", "valid_at", "arrival")
+    observations = _observations(spark, sf_dir, _events(spark, sf_dir)).withColumns({"source_revision": F.lit("r"), "at": F.timestamp_millis(F.col("arrival"))})
+    accepted = R.accepted_observations(observations, keep_ms=86_400_000)
+    return _drained(accepted, "update", P.KEY, ("valid_at", "arrival")).select("path", "projection_kind", "valid_at", "arrival")
 
 
 @register("SELECT DISTINCT event_type || ':' || (user_id % 7) AS request_id FROM events")
 def stream_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repeat that comes after the delay, when the request is forgotten, is merged in the table."""
     request = F.concat_ws(":", "event_type", (F.col("user_id") % 7).cast("string"))
     events = _events(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("at"), request.alias("request_id"))
-    return _drained(R.audit_log(events, "36500 days"), "append").select("request_id")
+    return _drained(R.audit_log(events, "1 hour"), "append", ("request_id",), ("at",)).select("request_id")
+
+
+@register("""
+WITH i AS (SELECT 's' || (event_id % 7) AS scope, event_id // 500 AS epoch, user_id AS key, CAST(floor(value) AS BIGINT) % 3 AS tier, event_id % 11 AS rank FROM events),
+n AS (SELECT scope, max(epoch) AS epoch FROM i GROUP BY scope), c AS (SELECT i.* FROM i JOIN n ON n.scope = i.scope AND n.epoch = i.epoch)
+SELECT CAST(key AS VARCHAR) AS key, tier, rank FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY tier, rank) AS k FROM c) x WHERE k = 1""")
+def stream_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    scope, epoch = F.concat(F.lit("s"), (F.col("event_id") % 7).cast("string")), F.floor(F.col("event_id") / 500)
+    intents = e.select(scope.alias("scope"), epoch.alias("epoch"), F.col("user_id").cast("string").alias("key"), (F.floor("value").cast("long") % 3).alias("tier"), (F.col("event_id") % 11).alias("rank"), F.col("ts").cast("timestamp").alias("at"))
+    return I.effective(_drained(I.intent_changes(intents), "update", ("scope", "key"), ("version",)))
 
 
 @register("SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start, event_type, count(*) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
 def stream_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return _drained(R.activity(events), "complete").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
+    return _drained(R.activity(events), "complete", ("start", "event_type"), ("n",)).select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))
