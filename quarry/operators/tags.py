@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from quarry.functions.text import normalized_tag_name
 from quarry.tables import kept
 
+#: Added to numbers in sort keys, so that negative ones stand before others.
+SHIFT = 10**15
+
 
 def closure(tags: DataFrame, most_rounds: int = 12) -> DataFrame:
     """(ancestor, tag, depth) for every pair, a tag itself at depth 0. A cycle, or more than 2 ** most_rounds levels, is an error."""
@@ -71,7 +74,7 @@ def paths(tags: DataFrame, closed: DataFrame) -> DataFrame:
 def tree_order(tags: DataFrame, closed: DataFrame) -> DataFrame:
     """(id, depth, sort_path): ordering by sort_path walks the tree depth first, children by sort_order then id."""
     named = closed.join(tags.select(F.col("id").alias("ancestor"), "sort_order"), "ancestor")
-    step = F.struct("depth", F.format_string("%012d.%012d", F.coalesce("sort_order", F.lit(0)), F.col("ancestor")).alias("key"))
+    step = F.struct("depth", F.format_string("%016d.%016d", F.coalesce("sort_order", F.lit(0)) + SHIFT, F.col("ancestor") + SHIFT).alias("key"))
     up = named.groupBy(F.col("tag").alias("id")).agg(F.sort_array(F.collect_list(step), asc=False).alias("up"))
     return up.select("id", (F.size("up") - 1).alias("depth"), F.array_join(F.transform("up", lambda x: x["key"]), "/").alias("sort_path"))
 

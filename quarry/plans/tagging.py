@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as X
+from quarry.operators import intervals as N
 from quarry.operators import tags as T
 from quarry.plans.registry import Register
 from quarry.plans.views import ASSIGNED, SOURCES, TAGS, assigned, sources, table, tags
+from quarry.tables import kept
 
 register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
@@ -65,6 +67,28 @@ def tag_tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tree_order(own, T.closure(own)).select("id", "depth", F.row_number().over(Window.orderBy("sort_path")).alias("place"))
 
 
+@register(f"""WITH RECURSIVE {TAGS}, keyed AS (SELECT c.tag AS id, string_agg(printf('%012d.%012d', t.sort_order, t.id), '/' ORDER BY c.depth DESC) AS sort_path, CAST(max(c.depth) AS INTEGER) AS depth FROM closed c JOIN tags t ON t.id = c.ancestor GROUP BY c.tag),
+sizes AS (SELECT ancestor AS id, count(*) AS tags FROM closed GROUP BY ancestor)
+SELECT keyed.id, depth, CAST(tags AS BIGINT) AS tags, CAST(row_number() OVER (ORDER BY sort_path) - 1 AS BIGINT) AS place FROM keyed JOIN sizes ON sizes.id = keyed.id""")
+def tag_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of the tree and the subtrees' sizes from the intervals alone: what is entered before a tag stands before it."""
+    numbered = kept(N.intervals(tags(spark, sf_dir)), "intervals")
+    place = (F.col("low") + F.col("depth")) / 2  # of the numbers below low, those left are low - depth over two, those open depth
+    return numbered.join(N.subtree_sizes(numbered), "id").select("id", "depth", "tags", place.cast("long").alias("place"))
+
+
+@register(f"WITH RECURSIVE {TAGS} SELECT a.id AS root, b.id AS tag, EXISTS (SELECT 1 FROM closed c WHERE c.ancestor = a.id AND c.tag = b.id) AS contained FROM tags a, tags b WHERE a.id < 1000")
+def tag_interval_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = tags(spark, sf_dir)
+    asked = own.where("id < 1000").select(F.col("id").alias("root")).join(own.select(F.col("id").alias("tag")))  # a handful of regions with the vocabulary
+    return N.subtree_tests(N.intervals(own), asked)
+
+
+@register(f"""WITH RECURSIVE {TAGS}, {ASSIGNED} SELECT asset_path FROM assigned JOIN closed ON closed.tag = tag_id WHERE ancestor IN (1, 101, 5009) GROUP BY asset_path HAVING count(DISTINCT ancestor) = 3""")
+def tag_interval_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.match_assets(kept(N.intervals(tags(spark, sf_dir)), "intervals"), assigned(spark, sf_dir), [1, 101, 5009, 101], match_all=True)
+
+
 @register(f"WITH RECURSIVE {TAGS} SELECT DISTINCT c.ancestor AS id FROM closed c JOIN tags t ON t.id = c.tag WHERE contains(lower(t.name), 'ion_1')")
 def tag_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = tags(spark, sf_dir)
