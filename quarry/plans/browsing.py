@@ -12,6 +12,7 @@ from quarry.operators import storage as G
 from quarry.plans.registry import Register
 from quarry.plans.views import ASSETS, assets, table
 from quarry.sources import catalog
+from quarry.sources.sorted_pages import SortedPages
 from quarry.sources.text_index import TextIndex
 from quarry.tables import new_path
 
@@ -61,6 +62,20 @@ def name_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").where(X.contains_folded(F.col("c_name"), "R#00000012")).select("c_custkey")
 
 
+@register(f"""WITH {ASSETS}, a AS (SELECT *, row_number() OVER (ORDER BY {NAME_KEY} DESC, name DESC, id DESC) AS k FROM assets WHERE coalesce(rating, 0) >= 2)
+SELECT 'filtered' AS page, id, (SELECT count(*) FROM a) AS total FROM a WHERE k BETWEEN 101 AND 400
+UNION ALL SELECT 'deep', id, (SELECT count(*) FROM assets) FROM (SELECT *, row_number() OVER (ORDER BY size_bytes, name, id) AS k, count(*) OVER () AS n FROM assets) x WHERE k > n // 2 AND k <= n // 2 + 250""")
+def asset_page_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page from the middle, and a filtered one from the end, of a snapshot in the orders of names and sizes."""
+    rows = assets(spark, sf_dir)
+    pages = SortedPages(spark, new_path(spark, "pages"))
+    pages.build(rows, "id", sorts=("name", "size"))
+    filtered = pages.page(Q.AssetQuery(minimum_rating=2, descending=True, offset=100, page_size=300))
+    deep = pages.page(Q.AssetQuery(sort="size", offset=pages.page(Q.AssetQuery(sort="size")).total // 2))
+    told = [p.items.select(F.lit(name).alias("page"), "id", F.lit(p.total).cast("long").alias("total")) for name, p in (("filtered", filtered), ("deep", deep))]
+    return told[0].unionByName(told[1])
+
+
 @register(f"SELECT p_partkey FROM part WHERE {LOW.format('p_name')} LIKE '%' || {LOW.format(repr('A_%E'))} || '%'")
 def like_nocase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").where(X.like_nocase(F.col("p_name"), "A_%E")).select("p_partkey")
