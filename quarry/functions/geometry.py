@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,8 +11,6 @@ from pyspark.sql import functions as F
 EDGE = 1 + 8 * sys.float_info.epsilon
 #: The longest vector a feature may have.
 MOST_DIMENSIONS = 4096
-#: Terms that are written out in one expression; compiled methods must stay small.
-MOST_TERMS = 128
 
 
 def finite(c: Column) -> Column:
@@ -70,14 +67,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def cosine_to(a: Column, query: list[float]) -> Column:
-    """cosine() with one known vector, whose length is taken once. Up to MOST_TERMS terms are written out, in the same order, so that they are compiled."""
-    if len(query) > MOST_TERMS:
-        return cosine(a, F.array(*(F.lit(float(x)) for x in query)))
-    own, length = [a[k].cast("double") for k in range(len(query))], sum((float(x) * float(x) for x in query), 0.0) ** 0.5
-    total = lambda terms: reduce(Column.__add__, terms, F.lit(0.0))
-    size = F.sqrt(total(x * x for x in own)) * length
-    value = total(x * float(y) for x, y in zip(own, query, strict=True)) / F.when(size > 0, size)
-    return F.when(F.size(a) == len(query), F.when(~F.isnan(value), value))
+    """cosine() with one known vector, whose length is taken once."""
+    length = sum((float(x) * float(x) for x in query), 0.0) ** 0.5
+    size = norm(a) * length
+    value = dot(a, F.array(*(F.lit(float(x)) for x in query))) / F.when(size > 0, size)
+    return F.when((F.size(a) == len(query)) & ~F.isnan(value), value)
 
 
 def unit(a: Column) -> Column:

@@ -41,6 +41,56 @@ def group_bursts(frames: DataFrame, folder: str = "folder") -> DataFrame:
     return found.groupBy(folder, "run").agg(members.alias("m")).select(folder, "run", F.col("m")[0]["path"].alias("representative"), F.col("m")[0]["release_mode"].alias("release_mode"), F.transform("m", lambda x: x["path"]).alias("members"))
 
 
+FRAME = ("folder", "position", "number", "apart", "seconds")
+
+
+def frames_of(rows: DataFrame, folder: str, position: str, number: str, apart: Column, seconds: Column) -> DataFrame:
+    """Rows as frames (folder, position, number, apart, seconds) for stretches() and regroup(); a position is one frame's."""
+    alone = apart | F.col(number).isNull()
+    return rows.select(F.col(folder).alias("folder"), F.col(position).alias("position"), F.col(number).alias("number"), F.coalesce(alone, F.lit(True)).alias("apart"), seconds.alias("seconds"))
+
+
+def stretches(frames: DataFrame, most_gap: int = MOST_GAP, group: tuple[str, ...] = ("folder",)) -> DataFrame:
+    """Frames with stretch and skipped: every frame is in one stretch, a run with its skipped repeats or a frame apart, named by its first position."""
+    order = Window.partitionBy(*group).orderBy("position")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    near, last = F.lag(F.struct("apart", "number")).over(order), F.last(F.when(~F.col("apart") & ~F.col("skipped"), F.struct("number", "seconds")), ignorenulls=True).over(before)
+    marked = frames.withColumn("_near", near).withColumn("skipped", F.coalesce(~F.col("apart") & ~F.col("_near.apart") & (F.col("_near.number") == F.col("number")), F.lit(False)))
+    gap = F.coalesce(F.abs(F.col("seconds") - F.col("_last.seconds")) <= most_gap, F.lit(True))
+    goes_on = F.col("skipped") | (~F.col("apart") & ~F.col("_near.apart") & (F.col("number") == F.col("_last.number") + 1) & gap)
+    begun = F.when(F.coalesce(goes_on, F.lit(False)), None).otherwise(F.struct("position"))
+    return marked.withColumn("_last", last).withColumn("stretch", F.last(begun, ignorenulls=True).over(order)["position"]).drop("_near", "_last")
+
+
+def regroup(state: DataFrame, changes: DataFrame, most_gap: int = MOST_GAP) -> DataFrame:
+    """The state after changes, frames with gone: a frame that is gone is taken out, another put in place of what its position held. state is what stretches() or regroup() gave.
+
+    A change can join or split only the stretch it falls in, or behind, the one before and the two after: where the next one is repeats of one number, a new frame of that number takes
+    the place of its kept one, and with it what the stretch after that follows on. No other frame is looked at again.
+    """
+    touched = changes.select("folder").distinct()
+    known = state.join(touched, "folder", "left_semi").groupBy("folder", "stretch").agg(F.lit(True).alias("known"))
+    marks = known.select("folder", F.col("stretch").alias("at"), "known", F.lit(False).alias("change"))
+    marks = marks.unionByName(changes.select("folder", F.col("position").alias("at"), F.lit(False).alias("known"), F.lit(True).alias("change")))
+    line = Window.partitionBy("folder").orderBy("at", F.col("known").desc())
+    # a change lies in the stretch number `place` of its folder, or behind it; those from place - 1 to place + 2 are worked on
+    placed = marks.withColumn("place", F.sum(F.col("known").cast("int")).over(line))
+    near = placed.where("change").select("folder", F.explode(F.sequence(F.col("place") - 1, F.col("place") + 2)).alias("place")).distinct()
+    # neighbours that are worked on are one region; the stretches between regions stay as borders
+    region = near.withColumn("region", F.col("place") - F.row_number().over(Window.partitionBy("folder").orderBy("place")))
+    worked = placed.where("known").select("folder", F.col("at").alias("stretch"), "place").join(region, ["folder", "place"]).select("folder", "stretch", "region")
+    own = placed.where("change").select("folder", F.col("at").alias("position"), "place").join(region, ["folder", "place"]).select("folder", "position", "region")
+    old = state.join(worked, ["folder", "stretch"]).join(changes.select("folder", "position"), ["folder", "position"], "left_anti").select(*FRAME, "region")
+    new = changes.where("NOT gone").join(own, ["folder", "position"]).select(*FRAME, "region")
+    again = stretches(old.unionByName(new), most_gap, ("folder", "region")).drop("region")
+    return state.join(worked, ["folder", "stretch"], "left_anti").select(*FRAME, "skipped", "stretch").unionByName(again.select(*FRAME, "skipped", "stretch"))
+
+
+def bursts_of(state: DataFrame) -> DataFrame:
+    """(folder, stretch, positions): the stretches that are bursts, of two frames or more, skipped ones left out."""
+    return state.where("NOT apart AND NOT skipped").groupBy("folder", "stretch").agg(F.array_sort(F.collect_list("position")).alias("positions")).where("size(positions) >= 2")
+
+
 def unparsed(listing: DataFrame, parsed: DataFrame) -> DataFrame:
     """What of a listing must still be parsed: paths that the cache does not have at that revision."""
     return listing.join(parsed.select("path", "source_revision"), ["path", "source_revision"], "left_anti")

@@ -10,6 +10,8 @@ from quarry.operators import people as P
 from quarry.operators import vectors as V
 from quarry.plans.registry import Register
 from quarry.plans.views import table
+from quarry.sources.vector_blocks import VectorBlocks
+from quarry.tables import new_path
 
 register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
@@ -36,6 +38,14 @@ def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("feature_row_id", F.round("similarity", 6).alias("similarity"))
 
 
+@register(f"WITH {FEATURES} SELECT feature_row_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3")
+def vector_search_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From stored blocks, which are built first; those that cannot hold a match are not read."""
+    stored = VectorBlocks(spark, new_path(spark, "vector-blocks"))
+    stored.build(_features(spark, sf_dir))
+    return stored.search(_first(spark, sf_dir), 0.3, valid_only=False).select("feature_row_id", F.round("similarity", 6).alias("similarity"))
+
+
 @register(f"WITH {FEATURES} SELECT feature_row_id, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.0 AND source_revision <> '1' ORDER BY s.similarity DESC, asset_path, instance_id, feature_row_id LIMIT 20 OFFSET 5")
 def vector_search_paged(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _features(spark, sf_dir)

@@ -12,6 +12,8 @@ from quarry.operators import projection as P
 from quarry.operators import sequence as B
 from quarry.plans.registry import Register
 from quarry.plans.views import TASKS, table, tasks
+from quarry.sources import sidecars as C
+from quarry.tables import kept, new_path
 
 register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
@@ -94,14 +96,17 @@ def projection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.newest_events(_observations(spark, sf_dir)).select("path", "state_revision", "arrival")
 
 
-@register("""
+BURSTS = """
 WITH f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS rn, l_returnflag = 'R' AS apart FROM lineitem),
 s AS (SELECT *, sum(CASE WHEN apart THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY rn) AS segment FROM f),
 d AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey, segment ORDER BY rn) AS before FROM s WHERE NOT apart),
 k AS (SELECT *, lag(l_linenumber) OVER (PARTITION BY l_orderkey, segment ORDER BY rn) AS last, lag(l_shipdate) OVER (PARTITION BY l_orderkey, segment ORDER BY rn) AS shipped FROM d WHERE before IS NULL OR before <> l_linenumber),
 b AS (SELECT *, sum(CASE WHEN l_linenumber = last + 1 AND abs(date_diff('second', shipped, l_shipdate)) <= 400 * 86400 THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY rn) AS run FROM k),
 n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, run) AS size FROM b)
-SELECT l_orderkey, CAST(rn AS BIGINT) AS rn, CAST(size AS BIGINT) AS size, CAST(row_number() OVER (PARTITION BY l_orderkey, run ORDER BY rn) - 1 AS BIGINT) AS place FROM n WHERE size >= 2""")
+SELECT l_orderkey, CAST(rn AS BIGINT) AS rn, CAST(size AS BIGINT) AS size, CAST(row_number() OVER (PARTITION BY l_orderkey, run ORDER BY rn) - 1 AS BIGINT) AS place FROM n WHERE size >= 2"""
+
+
+@register(BURSTS)
 def burst_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
@@ -111,6 +116,22 @@ def burst_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("l_orderkey", "rn", "size", F.col("place").cast("long").alias("place"))
 
 
+@register(BURSTS)
+def burst_regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bursts when frames come in three batches and every eleventh is wrong at first."""
+    from pyspark.sql import Window
+
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows = table(spark, sf_dir, "lineitem").withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("long"))
+    frames = kept(B.frames_of(rows, "l_orderkey", "rn", "l_linenumber", F.col("l_returnflag") == "R", F.unix_seconds(F.col("l_shipdate").cast("timestamp"))), "frames")
+    turn = (F.xxhash64("folder", "position") % 11 + 11) % 11
+    wrong = frames.withColumn("number", F.when(turn == 10, F.col("number") + 1).otherwise(F.col("number")))
+    state = kept(B.stretches(wrong.where(turn % 3 != 1), 400 * 86400), "stretches")
+    for batch in (wrong.where(turn % 3 == 1).withColumn("gone", F.lit(False)), frames.where(turn == 10).withColumn("gone", F.lit(False))):
+        state = kept(B.regroup(state, batch, 400 * 86400), "stretches")
+    return B.bursts_of(state).select(F.col("folder").alias("l_orderkey"), F.size("positions").cast("long").alias("size"), F.posexplode("positions").alias("place", "rn")).select("l_orderkey", "rn", "size", F.col("place").cast("long").alias("place"))
+
+
 @register("SELECT o_custkey, CAST(greatest(count(*) FILTER (WHERE o_orderstatus = 'F'), 10 - (count(*) - count(*) FILTER (WHERE o_orderstatus = 'F'))) AS BIGINT) AS total FROM orders GROUP BY o_custkey")
 def burst_adjusted_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("loaded"), F.count_if(F.col("o_orderstatus") == "F").alias("visible"))
@@ -280,6 +301,25 @@ def metadata_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(X.xmp_gps_degrees(text), 6).alias("degrees"), ratio.alias("ratio"), X.duration_text(F.col("p_partkey").cast("double")).alias("duration"))
 
 
+@register("""SELECT s_suppkey, CAST(s_suppkey % 6 AS INTEGER) AS rating, CASE WHEN s_suppkey % 2 = 0 THEN 'Red' END AS color_label, CASE WHEN s_suppkey % 3 = 0 THEN [] ELSE [s_name, '<' || s_nationkey || ' & co>'] END AS keywords,
+  ['n|' || s_nationkey] AS hierarchical_keywords FROM supplier""")
+def sidecar_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other supplier has a sidecar; all get new ratings and keywords, and the files are read back."""
+    root = new_path(spark, "sidecars")
+    path = F.concat(F.lit(f"{root}/"), F.col("s_suppkey").cast("string"), F.lit(".xmp"))
+    s = table(spark, sf_dir, "supplier").withColumn("path", path)
+    first = '<rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:xmp="x" xmp:Rating="1" xmp:Label="red"><dc:subject xmlns:dc="d"><rdf:Bag><rdf:li>old</rdf:li></rdf:Bag></dc:subject></rdf:Description></rdf:RDF>'
+    before = s.where("s_suppkey % 2 = 0").select("path", F.lit(first).alias("xml"))
+    C.write_sidecars(before, root)
+    change = lambda name, bag, *values: F.struct(F.lit(name).alias("name"), F.lit(bag).alias("bag"), F.array(*values).cast("array<string>").alias("values"))
+    words = change("dc:subject", True, F.col("s_name"), F.concat(F.lit("<"), F.col("s_nationkey").cast("string"), F.lit(" & co>")))
+    listed = F.array(change("xmp:Rating", False, F.col("s_suppkey") % 6), F.when(F.col("s_suppkey") % 3 != 0, words).otherwise(change("dc:subject", True)), change("lr:hierarchicalSubject", True, F.concat(F.lit("n|"), F.col("s_nationkey").cast("string"))))
+    changes = s.select("path", F.explode(listed).alias("c")).select("path", "c.*")
+    C.write_sidecars(C.merged(before, changes), root)
+    read = M.xmp_fields(C.read_sidecars(spark, root)).withColumn("s_suppkey", F.regexp_extract("path", r"([0-9]+)\.xmp$", 1).cast("long"))
+    return read.select("s_suppkey", "rating", "color_label", "keywords", "hierarchical_keywords")
+
+
 @register("""SELECT CAST(c_custkey AS VARCHAR) AS path, CASE WHEN c_custkey % 7 <= 5 THEN CAST(c_custkey % 7 AS INTEGER) END AS rating, CASE c_custkey % 4 WHEN 0 THEN 'Red' WHEN 1 THEN c_mktsegment || ' & co' END AS color_label,
   list_filter([c_name, '<' || c_mktsegment || '>', ''], lambda x: x <> '') AS keywords FROM customer""")
 def xmp_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
