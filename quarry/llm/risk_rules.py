@@ -117,17 +117,19 @@ def choose_cutoffs(measured: DataFrame, labels: DataFrame, rules: tuple[Rule, ..
     """
     judged = labels.where(F.col(good).isNotNull()).groupBy(F.col(f"`{id_column}`").alias("id")).agg((F.min(good).eqNullSafe(1) & F.max(good).eqNullSafe(1)).alias("sound"))
     held = measured.join(judged, "id")
-    tried = [(p, path, step) for p, path in enumerate(paths(rules)) for step in range(max(len(r.cutoffs) for r in path))]
-    by = {r.name: r for r in rules}
-    rejects = lambda path, step: F.expr(" OR ".join(f"{by[n].measure} > {c!r}D" for n, c in setting(path, step).items()))
-    counts = held.groupBy("stratum").agg(
-        F.count_if("sound").alias("n"),
-        *(F.count_if(F.col("sound") & rejects(path, step)).alias(f"k{p}_{step}") for p, path, step in tried),
-        *(F.count_if(~F.col("sound") & rejects(path, step)).alias(f"b{p}_{step}") for p, path, step in tried),
-    )
+    # cutoffs tighten along a path, so what a row adds to all of a path's settings is the first step that rejects it
+    places = {r.name: F.expr(f"size(filter(array({', '.join(f'{c!r}D' for c in r.cutoffs)}), c -> NOT {r.measure} > c))") for r in rules}
+    none = max(len(r.cutoffs) for r in rules)
+    step_of = {r.name: F.when(F.col(f"_at_{r.name}") < len(r.cutoffs), F.col(f"_at_{r.name}")).otherwise(none) for r in rules}
+    placed = held.select("stratum", "sound", *(c.alias(f"_at_{n}") for n, c in places.items()))
+    firsts = F.array(*(F.least(*(step_of[r.name] for r in path), F.lit(none)) for path in paths(rules)))
+    rejected = placed.select("stratum", "sound", F.posexplode(firsts).alias("path", "first")).groupBy("stratum", "path", "first").agg(F.count_if("sound").alias("k"), F.count_if(~F.col("sound")).alias("b"))
     as_map = lambda path, step: "map(" + ", ".join(f"'{n}', {c!r}D" for n, c in setting(path, step).items()) + ")"
-    rows = ", ".join(f"{p}, {step}, k{p}_{step}, b{p}_{step}, {as_map(path, step)}" for p, path, step in tried)
-    table = kept(counts.select("stratum", "n", F.expr(f"stack({len(tried)}, {rows}) AS (path, step, k, b, cutoffs)")), "settings")
+    tried = [f"{p}, {step}, {as_map(path, step)}" for p, path in enumerate(paths(rules)) for step in range(max(len(r.cutoffs) for r in path))]
+    settings = F.broadcast(measured.sparkSession.range(1).select(F.expr(f"stack({len(tried)}, {', '.join(tried)}) AS (path, step, cutoffs)")))  # a row a setting
+    so_far = lambda c: F.coalesce(F.sum(F.when(F.col("first") <= F.col("step"), F.col(c))), F.lit(0)).alias(c)
+    counts = rejected.join(settings.select("path", "step"), "path").groupBy("stratum", "path", "step").agg(F.sum("k").alias("n"), so_far("k"), so_far("b"))
+    table = kept(counts.join(settings, ["path", "step"]), "settings")
     tests = len(paths(rules)) * max(1, table.select("stratum").distinct().count())
     tail = F.expr(f"CASE WHEN k > n * {alpha!r}D THEN 1D ELSE {binomial_tail_sql('k', 'n', alpha)} END")
     # a path ends before its first setting that is not shown to be safe
