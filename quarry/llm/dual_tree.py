@@ -23,6 +23,8 @@ from quarry.llm._tables import kept, removed
 MOST_COMPONENT = 1 << 27
 #: What bounds may be off by rounding, as a share of the distances they are made from.
 SLACK = 1e-9
+#: What distances made from products may be off by, as a share of the longest vector.
+BLUR = 1e-7
 
 
 @dataclass
@@ -82,53 +84,59 @@ def _spread(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.n
     return np.repeat(values, sizes), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(low, sizes)
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The distances of all rows of a from all rows of b, off by at most BLUR of the longest row."""
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T), 0))
+
+
 def nearest(points: np.ndarray, tree: Tree, centroids: np.ndarray, over: Tree) -> tuple[np.ndarray, int]:
-    """For each point the number of its nearest centroid, the smaller of equally near ones, and how many point and centroid pairs were compared.
+    """For each point the number of its nearest centroid, the smaller of equally near ones, and how many point and centroid pairs were compared at the leaves.
 
-    over is a tree of the centroids whose leaves hold one centroid or equal ones."""
+    over is a tree of the centroids whose leaves hold one centroid or equal ones. Both trees are gone down together, siblings of one side with the candidates of their parent at once:
+    of a vector node and an open centroid node the wider is opened.
+    """
     best = np.full(len(points), -1, np.int64)
-    bound = np.full(len(tree.centre), np.inf)  # no point of the node is further from its nearest centroid
-    leaf_v, leaf_c = tree.child_low == tree.child_high, over.child_low == over.child_high
-    v, c = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    compared = 0
-    while len(v):
-        away = lengths(points[tree.centre[v]] - centroids[over.centre[c]])
-        reach = tree.radius[v] + over.radius[c]
-        np.minimum.at(bound, v, away + reach)
-        near = away - reach <= bound[v] + SLACK * (away + reach) + SLACK
-        v, c = v[near], c[near]
-        open_c = ~leaf_c[c]
-        widest = np.full(len(tree.centre), -1.0)  # of the node's open centroid nodes
-        np.maximum.at(widest, v[open_c], over.radius[c[open_c]])
-        ready = widest[v] < 0
-        left = np.bincount(v, minlength=len(tree.centre))
-
-        done = ready & ((left[v] == 1) | leaf_v[v])
-        node, first = _spread(v[done], over.low[c[done]], over.high[c[done]])
-        number = over.order[first]
-        alone = np.bincount(node, minlength=len(tree.centre))[node] == 1
-        one, at = _spread(number[alone], tree.low[node[alone]], tree.high[node[alone]])
-        best[tree.order[at]] = one
-        number, at = _spread(number[~alone], tree.low[node[~alone]], tree.high[node[~alone]])
-        if len(at):
-            row = tree.order[at]
-            gap = points[row].astype(np.int64) - centroids[number]
-            square = np.einsum("ij,ij->i", gap, gap)
-            compared += len(row)
-            ranked = np.lexsort((number, square, row))
-            lead = np.ones(len(ranked), bool)
-            lead[1:] = row[ranked][1:] != row[ranked][:-1]
-            best[row[ranked][lead]] = number[ranked][lead]
-
-        v, c = v[~done], c[~done]
-        down = ~leaf_v[v] & (tree.radius[v] > widest[v])
-        wide = ~down & ~leaf_c[c]
-        stay = ~down & ~wide
-        c_new, v_new = _spread(c[down], tree.child_low[v[down]], tree.child_high[v[down]])
-        bound[v_new] = np.repeat(bound[v[down]], (tree.child_high - tree.child_low)[v[down]])
-        v_of, c_of = _spread(v[wide], over.child_low[c[wide]], over.child_high[c[wide]])
-        v, c = np.concatenate([v_new, v_of, v[stay]]), np.concatenate([c_new, c_of, c[stay]])
-    return best, compared
+    centres, heads = points[tree.centre].astype(np.float64), centroids[over.centre].astype(np.float64)
+    blur = BLUR * float(np.sqrt(max((centres * centres).sum(1).max(), (heads * heads).sum(1).max()))) + SLACK
+    leaf, closed = tree.child_low == tree.child_high, over.child_low == over.child_high
+    waiting = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, np.inf))]  # vector nodes, their candidates, within what distance each of a node's points has a centroid
+    nodes, numbers = [], []
+    while waiting:
+        v, c, bound = waiting.pop()
+        away = _apart(centres[v], heads[c])
+        reach = tree.radius[v][:, None] + over.radius[c]
+        bound = np.minimum(bound, (away + reach).min(1))
+        near = away - reach <= (bound + SLACK * bound + 2 * blur)[:, None]
+        widest = np.where(near & ~closed[c], over.radius[c], -1.0).max(1)
+        done = (widest < 0) & ((near.sum(1) == 1) | leaf[v])
+        if done.any():
+            row, column = np.nonzero(near[done])
+            node, first = _spread(v[done][row], over.low[c[column]], over.high[c[column]])
+            nodes.append(node)
+            numbers.append(over.order[first])
+        wide = ~done & (widest >= 0) & (leaf[v] | (tree.radius[v] <= widest))
+        if wide.any():
+            some = c[near[wide].any(0)]
+            _, inner = _spread(some[~closed[some]], over.child_low[some[~closed[some]]], over.child_high[some[~closed[some]]])
+            waiting.append((v[wide], np.concatenate([some[closed[some]], inner]), bound[wide]))
+        for k in np.flatnonzero(~done & ~wide):
+            children = np.arange(tree.child_low[v[k]], tree.child_high[v[k]])
+            waiting.append((children, c[near[k]], np.full(len(children), bound[k])))
+
+    node, number = np.concatenate(nodes), np.concatenate(numbers)
+    alone = np.bincount(node, minlength=len(tree.centre))[node] == 1
+    one, at = _spread(number[alone], tree.low[node[alone]], tree.high[node[alone]])
+    best[tree.order[at]] = one
+    number, at = _spread(number[~alone], tree.low[node[~alone]], tree.high[node[~alone]])
+    if len(at):
+        row = tree.order[at]
+        gap = points[row].astype(np.int64) - centroids[number]
+        square = np.einsum("ij,ij->i", gap, gap)
+        ranked = np.lexsort((number, square, row))
+        lead = np.ones(len(ranked), bool)
+        lead[1:] = row[ranked][1:] != row[ranked][:-1]
+        best[row[ranked][lead]] = number[ranked][lead]
+    return best, len(at)
 
 
 def usable(embedding: Column, dimensions: int) -> Column:
