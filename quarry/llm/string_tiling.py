@@ -105,12 +105,16 @@ def deciding_seeds(seeds: np.ndarray, items_with: np.ndarray, n_words: int, widt
     distinct, inverse = np.unique(seeds, return_inverse=True)
     times = np.zeros(len(distinct), np.int64)
     times[inverse] = items_with
-    covered = np.zeros(n_words + width, np.int64)
+    ends = np.cumsum(np.bincount(inverse, minlength=len(distinct)))
+    places = np.split(np.argsort(inverse, kind="stable"), ends[:-1]) if len(distinct) else []
+    covered, total = np.zeros(n_words + width, bool), 0
     order = np.argsort(-times, kind="stable")
     for place, k in enumerate(order):
-        for at in np.flatnonzero(inverse == k):
-            covered[at : at + width] = 1
-        if covered.sum() >= coverage * n_words:
+        for at in places[k]:
+            window = covered[at : at + width]
+            total += width - int(window.sum())
+            window[:] = True
+        if total >= coverage * n_words:
             return distinct[order[place:]]
     return distinct[:0]
 

@@ -3,11 +3,13 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 
 import corpus_pipeline
 from quarry.llm._tables import new_path
+from quarry.llm.string_tiling import tile
 
 SF = "/root/testdata/sf0.01"
 
@@ -79,11 +81,23 @@ def test_near_stage(outputs):
 
 
 def test_decontamination_stage(outputs):
-    items = [set(shingles(t)) for t in pd.read_parquet(f"{SF}/benchmark.parquet").text]
+    """Whoever shares five words with an item is tiled with it; the tiles decide. (test_text_filters.py holds tile() against brute force.)"""
+    words = lambda t: (t or "").encode().lower().split()
+    numbers = defaultdict(lambda: len(numbers))
+    coded = lambda t: np.array([numbers[w] for w in words(t)], np.uint64)
+    items = [coded(t) for t in pd.read_parquet(f"{SF}/benchmark.parquet").text]
+    holders = defaultdict(set)
+    for k, item in enumerate(items):
+        for at in range(len(item) - 4):
+            holders[item[at : at + 5].tobytes()].add(k)
     before, after = outputs[3], set(outputs[4].doc_id)
+    shares = {}
     for d, text in zip(before.doc_id, before.text, strict=True):
-        share = max(len(i & shingles(text)) / len(i) for i in items)
-        assert (d in after) == (share < 0.6) or 0.3 < share < 0.6
+        document = coded(text)
+        met = set().union(*(holders.get(document[at : at + 5].tobytes(), ()) for at in range(len(document) - 4)))
+        shares[d] = max((sum(n for *_, n in tile(items[k], document, 5)) / len(items[k]) for k in met), default=0.0)
+    assert {d for d, share in shares.items() if share < 0.5} == after
+    assert sum(share >= 0.5 for share in shares.values()) > 5
 
 
 def test_packing_stage(outputs):
