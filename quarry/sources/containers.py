@@ -29,6 +29,8 @@ GPS_NAMES = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GP
 #: Entry types, as struct codes and sizes.
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("s", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8)}
 EXIF_IFD, GPS_IFD, MAKER_NOTE = 0x8769, 0x8825, 0x927C
+#: How TIFF files, and raw files that are TIFF but for their third and fourth byte, begin.
+TIFF_LIKE = (b"II*\0", b"MM\0*", b"IIRO", b"IIRS", b"MMOR", b"IIU\0")
 #: Bytes of a maker's entry that can be a text or a few numbers.
 MOST_TEXT = 1 << 10
 
@@ -122,8 +124,8 @@ def xmp_tags(xml: str) -> Iterator[Tag]:
             yield "XMP", name(key), clean(inner)
 
 
-def _jpeg(data: Data) -> Iterator[tuple[str, bytes]]:
-    at = 2
+def _jpeg(data: Data, start: int = 0) -> Iterator[tuple[str, bytes]]:
+    at = start + 2
     profile: dict[int, bytes] = {}
     extended: dict[bytes, dict[int, bytes]] = {}
     yield from _jpeg_segments(data, at, profile, extended)
@@ -174,16 +176,36 @@ def _png(data: Data) -> Iterator[tuple[str, bytes]]:
 
 def _webp(data: Data) -> Iterator[tuple[str, bytes]]:
     at = 12
+    sizes: list[tuple[int, int]] = []
     while at + 8 <= len(data):
         kind, (size,) = data[at : at + 4], unpack("<I", data, at + 4)
-        body = data[at + 8 : at + 8 + size] if kind in (b"EXIF", b"XMP ", b"ICCP") else b""
+        body = data[at + 8 : at + 8 + size] if kind in (b"EXIF", b"XMP ", b"ICCP") else data[at + 8 : at + 8 + min(size, 10)]
         if kind == b"EXIF":
             yield "exif", body.removeprefix(b"Exif\0\0")
         elif kind == b"XMP ":
             yield "xmp", body
         elif kind == b"ICCP":
             yield "icc", body
+        elif size_at := _webp_size(kind, body):
+            sizes.append(size_at)
         at += 8 + size + size % 2
+    if sizes:  # the canvas, which comes first, or else the picture
+        yield "size", struct.pack(">II", *sizes[0])
+
+
+def _webp_size(kind: bytes, body: bytes) -> tuple[int, int] | None:
+    """Height and width that a chunk gives: of the canvas, of a lossy or of a lossless picture."""
+    if len(body) < 10:
+        return None
+    if kind == b"VP8X":
+        return int.from_bytes(body[7:10], "little") + 1, int.from_bytes(body[4:7], "little") + 1
+    if kind == b"VP8 " and body[3:6] == b"\x9d\x01\x2a":
+        width, height = unpack("<HH", body, 6)
+        return height & 0x3FFF, width & 0x3FFF
+    if kind == b"VP8L" and body[0] == 0x2F:
+        bits = int.from_bytes(body[1:5], "little")
+        return (bits >> 14 & 0x3FFF) + 1, (bits & 0x3FFF) + 1
+    return None
 
 
 def blocks(data: Data, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
@@ -196,8 +218,12 @@ def blocks(data: Data, sidecar: bool = False) -> Iterator[tuple[str, bytes]]:
         yield from _webp(data)
     elif data[4:8] in (b"ftyp", b"moov", b"mdat", b"wide", b"free"):
         yield from E.iso_blocks(data)
-    elif data[:4] in (b"II*\0", b"MM\0*"):
+    elif data[:4] in TIFF_LIKE:
         yield "exif", data
+    elif data.startswith(b"FUJIFILMCCD-RAW"):
+        start, size = unpack(">II", data, 0x54)  # of the picture inside
+        if start and size and data[start : start + 2] == b"\xff\xd8":
+            yield from _jpeg(data, start)
     elif data.startswith((b"GIF87a", b"GIF89a")) and len(data) >= 10:
         width, height = unpack("<HH", data, 6)
         yield "size", struct.pack(">II", height, width)

@@ -121,6 +121,23 @@ def test_cr3():
     assert list(containers.tags_of(elsewhere)) == []
 
 
+def test_raw_kinds_and_webp_sizes():
+    raw = block("<", [(0x010F, 2, b"Maker\0")])
+    for start in (b"IIRO", b"IIRS", b"IIU\0"):
+        assert list(containers.tags_of(start + raw[4:])) == [("EXIF", "Make", "Maker")]
+    segment = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
+    jpeg = b"\xff\xd8" + segment(0xE1, b"Exif\0\0" + raw) + segment(0xC0, b"\x08" + struct.pack(">HH", 30, 40) + b"\0" * 4) + b"\xff\xda\0\2"
+    raf = b"FUJIFILMCCD-RAW ".ljust(0x54, b"0") + struct.pack(">II", 200, len(jpeg)) + b"\0" * (200 - 0x5C) + jpeg + b"\0" * 500
+    assert list(containers.tags_of(raf)) == [("EXIF", "Make", "Maker"), ("File", "ImageSize", "40x30")]
+    for cut in range(0, len(raf), 9):
+        list(containers.tags_of(raf[:cut]))
+    riff = lambda *chunks: b"RIFF\0\0\0\0WEBP" + b"".join(k + struct.pack("<I", len(b)) + b + b"\0" * (len(b) % 2) for k, b in chunks)
+    canvas, lossy = b"\0" * 4 + (7999).to_bytes(3, "little") + (5999).to_bytes(3, "little"), b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640, 480) + b"\0" * 90
+    lossless = b"\x2f" + (319 | 199 << 14).to_bytes(4, "little") + b"\0" * 20
+    for chunks, size in (((((b"VP8X"), canvas), (b"VP8 ", lossy))), "8000x6000"), (((b"VP8 ", lossy),), "640x480"), (((b"VP8L", lossless),), "320x200"):
+        assert list(containers.tags_of(riff(*chunks))) == [("File", "ImageSize", size)]
+
+
 @pytest.mark.parametrize("order", ["<", ">"])
 def test_maker_notes(order):
     number = lambda n: struct.pack(order + "H", n)
