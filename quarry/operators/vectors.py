@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.geometry import cosine, cosine_to, dot, vector_is_valid
+from quarry.functions.geometry import cosine_to, dot, vector_is_valid
 from quarry.tables import kept
 
 MARGIN = 0.05

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quarry.operators.search import Term, fits, index, match_all, query_terms
+from quarry.operators.storage import snapshot_blocked
 from quarry.sources.log import Log, deleted
 from quarry.tables import partitions
 
@@ -79,7 +80,7 @@ class TextIndex:
             raise LookupError("nothing is indexed")
         scans = self.spark.createDataFrame(list(state["scans"].items()), f"{ROOT} string, scan_id long")  # one row per root
         live = self._newest(self._all(state, "rows", state["segments"]), state).where(~F.col(GONE))
-        return live.join(F.broadcast(scans), ROOT).drop(GENERATION, GONE, "print1", "print2")
+        return live.join(scans, ROOT).drop(GENERATION, GONE, "print1", "print2")
 
     def _put(self, name: str, rows: DataFrame) -> dict | None:
         """Writes a segment's tables; none where there are no rows."""
@@ -101,10 +102,11 @@ class TextIndex:
         bounds = written.groupBy("file").agg(F.min("word").alias("low"), F.max("word").alias("high"), F.count("*").alias("n_postings"))
         bounds.coalesce(1).write.parquet(f"{path}/files")
 
-    def apply(self, root: str, scanned: DataFrame, scan_id: int | None = None, expected: int | None = None) -> int:
+    def apply(self, root: str, scanned: DataFrame, scan_id: int | None = None, expected: int | None = None, unread: DataFrame | None = None) -> int:
         """Makes the index hold, of this root, just the scanned rows (key and columns); other roots stay. Returns the new version's number.
 
         A key is one row's; scanned rows with the same key are an error. Refused where another version than expected is current, or another writer is first.
+        unread (path) are directories that a walk could not list: where keys are paths, rows at or below one stay though the scan did not see them.
         """
         clash = [c for c in scanned.columns if c in RESERVED]
         if clash:
@@ -129,6 +131,9 @@ class TextIndex:
             same = new[self.key].eqNullSafe(F.col("_key"))
             unchanged = same & (F.col("print1") == F.col("_p1")) & (F.col("print2") == F.col("_p2"))
             ended = old.join(new.select(self.key), same, "left_anti").select(F.lit(root).alias(ROOT), F.col("_key").alias(self.key), F.lit(True).alias(GONE))
+            if unread is not None:
+                blind = snapshot_blocked(ended.select(F.col(self.key).alias("path")), unread).select(F.col("path").alias(self.key))
+                ended = ended.join(blind, self.key, "left_anti")
             changes = new.join(old, unchanged, "left_anti").unionByName(ended, allowMissingColumns=True)
         name = uuid.uuid4().hex
         segment = self._put(name, changes)

@@ -92,3 +92,13 @@ def test_refusals(spark, tmp_path):
     with pytest.raises(ValueError, match="another writer"):
         late.apply("/r", rows)
     assert found.search("x").count() == 1 and len(list((tmp_path / "index" / "segments").iterdir())) == 1
+
+
+def test_unread_directories_keep_their_rows(spark, tmp_path):
+    found = TextIndex(spark, f"file://{tmp_path}/index", "path", ("name",))
+    rows = [(f"/r/{p}", f"pic {p}") for p in ("a/1", "a/2", "ab/3", "c/d/4", "c/5")]
+    found.apply("/r", spark.createDataFrame(rows, "path string, name string"))
+    unread = spark.createDataFrame([("/r/a",), ("/r/c/d",)], "path string")
+    found.apply("/r", spark.createDataFrame([("/r/a/2", "new name")], "path string, name string"), unread=unread)
+    assert sorted(r["path"] for r in found.rows().collect()) == ["/r/a/1", "/r/a/2", "/r/c/d/4"]
+    assert sorted(r["path"] for r in found.search("pic").collect()) == ["/r/a/1", "/r/c/d/4"] and found.search("new").count() == 1
