@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +21,11 @@ from quarry.plans.registry import Register
 from quarry.plans.state import OBSERVATIONS, _observations
 from quarry.plans.views import TAGS, table, tags
 from quarry.sources import catalog, containers
+from quarry.sources.ranged import located
 from quarry.streaming import intents as I
 from quarry.streaming import projections as R
 from quarry.streaming.sink import MergedTable, drain
-from quarry.tables import new_path
+from quarry.tables import kept, new_path, partitions
 
 register = Register()
 QUERIES, ORACLE = register.queries, register.oracle
@@ -64,6 +69,35 @@ def exiftool_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers.exiftool_tags(lines).select("path", "group", "name", "value")
 
 
+def _picture(make: str, iso: int, rating: int) -> bytes:
+    """A JPEG of an EXIF block (maker and ISO), an XMP packet (rating) and no picture."""
+    maker = make.encode() + b"\0"
+    exif = b"Exif\0\0II*\0" + struct.pack("<IH", 8, 2) + struct.pack("<HHII", 0x010F, 2, len(maker), 38) + struct.pack("<HHIHH", 0x8827, 3, 1, iso, 0) + b"\0" * 4 + maker
+    xmp = b"http://ns.adobe.com/xap/1.0/\0" + f'<x:xmpmeta><rdf:RDF><rdf:Description xmp:Rating="{rating}"/></rdf:RDF></x:xmpmeta>'.encode()
+    return b"\xff\xd8" + b"".join(b"\xff\xe1" + struct.pack(">H", len(x) + 2) + x for x in (exif, xmp)) + b"\xff\xda\0\2"
+
+
+@register("""SELECT s_suppkey, 'EXIF' AS "group", 'Make' AS name, s_name AS value FROM supplier UNION ALL SELECT s_suppkey, 'EXIF', 'ISO', CAST(s_suppkey % 60000 AS VARCHAR) FROM supplier
+UNION ALL SELECT s_suppkey, 'XMP', 'Rating', CAST(s_suppkey % 6 AS VARCHAR) FROM supplier""")
+def picture_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks write a picture a supplier; tasks read the pictures' tags in ranges."""
+    root = new_path(spark, "pictures")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inside = located(root)
+        system.create_dir(inside)
+        for batch in batches:
+            keys, makers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for key, make in zip(keys, makers, strict=True):
+                with system.open_output_stream(f"{inside}/{key}.jpg") as out:
+                    out.write(_picture(make, key % 60000, key % 6))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{root}/{key}.jpg" for key in keys], pa.string())], names=["path"])
+
+    written = kept(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long"), "s_name").mapInArrow(write, "path string"), "picture-paths")
+    tags = containers.tags_of_files(written.repartition(partitions(spark)))
+    return tags.select(F.regexp_extract("path", r"([0-9]+)\.jpg$", 1).cast("long").alias("s_suppkey"), "group", "name", "value")
+
+
 @register("""SELECT p_partkey, '<rdf:Description' || CASE p_partkey % 3 WHEN 0 THEN ' xmp:Label="old"' WHEN 1 THEN ' xmp:Label="$&lt;' || p_size || '\\"' ELSE '' END || ' a="b"/>' AS xml FROM part""".replace("\\\\", "\\"))
 def xmp_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = F.col("p_partkey") % 3
