@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-scale jobs and the queries that apply them.
+"""Training-data operators: thirteen jobs over documents, pages, vectors and conversations and the queries that apply them.
 
 Nothing outside this subpackage imports it.
 """
