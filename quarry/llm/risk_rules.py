@@ -41,10 +41,11 @@ def repeat_words_sql(words: str, few: int = 16) -> str:
     Windows are hashed and sorted; neighbours that are equal give the repeated hashes. Few of them are looked up one by one; many
     are found by sorting the windows with their places. Both ways are exact.
     """
-    hashes = f"transform(slice(arrays_zip({words}, slice({words}, 2, size({words})), slice({words}, 3, size({words}))), 1, greatest(size({words}) - 2, 0)), x -> xxhash64(x))"
-    twice = let("array_sort(h)", "s", "array_distinct(filter(s, (x, i) -> i > 0 AND x = s[greatest(i - 1, 0)]))")
+    hashes = f"CASE WHEN size({words}) > 2 THEN transform(sequence(0, size({words}) - 3), i -> xxhash64({words}[i], {words}[i + 1], {words}[i + 2])) ELSE array() END"
+    # sort_array compares values, where array_sort would evaluate an expression a comparison
+    twice = let("sort_array(h)", "s", "array_distinct(filter(s, (x, i) -> i > 0 AND x = s[greatest(i - 1, 0)]))")
     looked_up = "filter(sequence(0, size(h) - 1), i -> array_contains(d, h[i]))"
-    placed = "array_sort(transform(h, (x, i) -> struct(x AS x, i AS i)))"
+    placed = "sort_array(transform(h, (x, i) -> struct(x AS x, i AS i)))"
     paired = let(placed, "p", "transform(filter(p, (y, j) -> (j > 0 AND p[greatest(j - 1, 0)].x = y.x) OR (j < size(p) - 1 AND p[least(j + 1, size(p) - 1)].x = y.x)), y -> y.i)")
     covered = "size(array_distinct(flatten(transform({0}, i -> array(i, i + 1, i + 2)))))"
     some = let(twice, "d", f"CASE WHEN size(d) = 0 THEN 0 WHEN size(d) <= {few} THEN {covered.format(looked_up)} ELSE {covered.format(paired)} END")
