@@ -85,10 +85,29 @@ def match_all(indexed: DataFrame, query: str, *key: str) -> DataFrame:
     return phrases.groupBy(*key).agg(F.countDistinct("term").alias("terms")).where(F.col("terms") == len({t.term for t in terms})).select(*key)
 
 
+def spellings(last: int = 0x2FFF) -> dict[str, str]:
+    """For each letter or digit of folded text, the characters up to a code point that may fold to it."""
+    plain, out = str.maketrans(MARKED, PLAIN), {}
+    for c in map(chr, range(0x21, last + 1)):
+        for x in {c.translate(plain).lower()[:1], c.lower()[:1], c}:
+            out[x] = out.get(x, "") + c
+    return out
+
+
+SPELLINGS = spellings()
+
+
+def beginning(word: str) -> str:
+    """A pattern that finds a folded word, or what goes on from it, where a word of the text as it is begins; it may find more."""
+    sigma = {x: "Σσς" for x in "σς"}  # which of the small ones a capital becomes is decided by its place
+    letter = lambda x: "[" + "".join(sorted({*SPELLINGS.get(x, x), *sigma.get(x, x), *(x.upper() if len(x.upper()) == 1 else x)})) + "]"
+    return r"(?<![\p{L}\p{N}])" + "".join(letter(x) + r"\p{M}*" for x in word)
+
+
 def candidates(rows: DataFrame, query: str, *columns: str) -> DataFrame:
-    """Rows whose columns hold the letters of each word of the query somewhere; no other row can match, so no other is taken apart."""
-    for word in {t.word for t in query_terms(query)}:
-        rows = rows.where(reduce(Column.__or__, (F.coalesce(F.contains(fold(F.col(c)), F.lit(word)), F.lit(False)) for c in columns)))
+    """Rows whose columns have a beginning of each word of the query; no other row can match, so no other is folded and taken apart."""
+    for word in sorted({t.word for t in query_terms(query)}, key=lambda w: (-len(w), w)):  # the rarest first, as a rule
+        rows = rows.where(reduce(Column.__or__, (F.coalesce(F.col(c).rlike(beginning(word)), F.lit(False)) for c in columns)))
     return rows
 
 

@@ -202,6 +202,16 @@ def test_page_cursor(spark):
     assert [r["n"] for r in keyed.collect()] == ["a2", "a9" * 20, "a10", "a" + "0" * 40 + "11", "a1234567890123456780", "a1234567890123456789", "B9", "b10", "é1", "x" + "9" * 30, "x1" + "0" * 30]
 
 
+def test_candidates_hold_every_match(spark):
+    rng = random.Random(3)
+    letters = "aàÁbßéÉnñÑσΣς IİıK0٣-_.́̀ǅǆÅ京ſ"
+    rows = [(k, "".join(rng.choice(letters) for _ in range(rng.randint(0, 12)))) for k in range(1500)] + [(9000, None), (9001, "ΟΔΟΣ οδος"), (9002, "Ción\u0301 x")]
+    df = spark.createDataFrame(rows, "id long, name string")
+    indexed = S.index(df, "id", "name").cache()
+    for query in ("a", "É", "ñ-a", "σ", "οδος", "cion", "k", "i", "ß", "0 a", "åa", "ǆ", "s", "京", "n.e b"):
+        assert sorted(r["id"] for r in S.match_texts(df, query, "id", "name").collect()) == sorted(r["id"] for r in S.match_all(indexed, query, "id").collect())
+
+
 def test_phrases_and_marks(spark):
     rows = spark.createDataFrame([(1, "Café-Noir 12", "/x"), (2, "noir cafe", "/café"), (3, "cafe nothing", "/y")], "id long, name string, directory string")
     indexed = S.index(rows, "id", "name", "directory")
