@@ -8,7 +8,8 @@ too differ by one bit at most.
 
 The equality join is an aggregation: the two or three members of a variant come out of its least, its
 greatest and the exclusive or of all, and are verified where they were added up. A variant with more
-members would make all pairs of them. Those are first verified against one of them and the links closed
+members would make all pairs of them. Variants of the very same members (a segment's, where all agree in
+it) have the same pairs, so one of them stands for all. Its members are first verified against one of them and the links closed
 to components; what is still in several components is indexed again by longer signatures, and in the end
 what lies outside a variant's largest component is compared with the rest. No link is lost on any way.
 """
@@ -126,6 +127,15 @@ def mixed(rows: DataFrame) -> DataFrame:
     return kept(rows.join(keys, "key", "left_semi"), "mixed-rows")
 
 
+def _distinct_groups(rows: DataFrame) -> DataFrame:
+    """The rows (key, f) of one key of each set of members, with its hubs: two members that are others for each key."""
+    turned = F.col("f").bitwiseXOR(F.col("key"))
+    hubs = F.array(F.min(turned).bitwiseXOR(F.col("key")), F.max(turned).bitwiseXOR(F.col("key"))).alias("hubs")
+    members = [F.count("*").alias("members"), F.bit_xor(F.xxhash64("f")).alias("d0"), F.bit_xor(F.xxhash64(F.lit(1), "f")).alias("d1")]
+    groups = rows.groupBy("key").agg(hubs, *members).groupBy("members", "d0", "d1").agg(F.min(F.struct("key", "hubs")).alias("one"))
+    return kept(rows.join(kept(groups.select("one.key", "one.hubs"), "hubs"), "key"), "distinct-groups")
+
+
 def _star_links(rows: DataFrame, hubs: Column, most_bits: int) -> DataFrame:
     """(a, b) of rows (f, ...) and those of their hubs that are close."""
     near = F.filter(hubs, lambda h: _close(h, F.col("f"), most_bits))
@@ -139,7 +149,7 @@ def _remaining_links(crowd: DataFrame, major: DataFrame, most_bits: int, per_blo
     """
     blocks = F.ceil((F.col("all") - F.col("most")) * F.col("all") / per_block)
     cut = kept(major.select("key", "major", blocks.cast("int").alias("blocks")), "blocks")
-    both = crowd.join(cut, "key")
+    both = kept(crowd.join(cut, "key"), "crowd-in-blocks")
     x = both.where("component != major").withColumn("block", F.pmod(F.xxhash64("f"), F.col("blocks")).cast("int")).alias("x")
     y = both.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.component") != F.col("y.component"))
@@ -173,9 +183,8 @@ def link(prints: DataFrame, most_bits: int) -> DataFrame:
         groups = kept(groups.withColumn("near", _near_pairs(most_bits)).where("size > 3 OR size(near) > 0"), "variant-groups")
         keys = kept(groups.where("size > 3").select("key"), "crowded-keys")
         rows = kept(signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key", "left_semi"), "crowded-variants")
-        turned = F.col("f").bitwiseXOR(F.col("key"))  # the least and greatest of these are other members for each key
-        hubs = rows.groupBy("key").agg(F.array(F.min(turned).bitwiseXOR(F.col("key")), F.max(turned).bitwiseXOR(F.col("key"))).alias("hubs"))
-        stars = _star_links(rows.join(kept(hubs, "hubs"), "key"), F.col("hubs"), most_bits)
+        rows = _distinct_groups(rows)
+        stars = _star_links(rows, F.col("hubs"), most_bits)
         found = groups.select(F.inline("near")).unionByName(stars).distinct()
         links = kept(found if links is None else links.unionByName(found).distinct(), "links")
         labels, crowd = _with_components(rows, links)

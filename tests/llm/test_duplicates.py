@@ -9,6 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from quarry.llm import simhash
 from quarry.llm.components import components
 from quarry.llm.recompression import remove_repeats
 from quarry.llm.simhash import PLANS, link, masks, near_duplicates, suits
@@ -140,6 +141,18 @@ def test_links_of_fingerprints(spark, monkeypatch, by_chance, comparisons, broad
     assert linked(spark, [*two, 5 ^ 0xFFFF << 21, 5 ^ 0xFFF0 << 30])[:2] == [0, 0]
 
 
+def test_variants_of_the_same_members_are_joined_once(spark, monkeypatch):
+    """Sixty fingerprints that agree in one segment share all its 22 variants."""
+    joined = []
+    stars = simhash._star_links
+    monkeypatch.setattr(simhash, "_star_links", lambda rows, *more: joined.append(rows.count()) or stars(rows, *more))
+    rng = random.Random(4)
+    prints = [0x2AAAAA << 42 | rng.getrandbits(42) for _ in range(50)]
+    prints += [p ^ 0b1111 << 8 * k for k, p in enumerate(prints[:5])] + [p ^ 1 << 41 for p in prints[:5]]
+    assert linked(spark, prints) == brute_components(prints, 4)
+    assert joined == [60]
+
+
 @pytest.mark.parametrize("bits", [2, 3, 4])
 def test_plans(bits):
     rng = random.Random(bits)
