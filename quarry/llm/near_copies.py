@@ -1,12 +1,18 @@
-"""Near-duplicates at an exact similarity: bands of least shingle hashes find the candidates, the whole shingle sets decide.
+"""Near-duplicates at an exact similarity: SimHash deletion variants find the candidates, the whole shingle sets decide.
 
-The similarity of two texts is that of their sets of distinct shingles (Jaccard). A text has one key per band, made of DEPTH least
-hashes; texts of similarity s share a given band with probability s ** DEPTH, so at 0.8 all BANDS miss a pair once in 14,000 times.
-Every link is verified on the sets themselves; nothing below the similarity is ever linked.
+The similarity of two texts is that of their sets of distinct shingles (Jaccard). Sets are signed as in simhash.py: a fingerprint is
+cut into segments, and each is indexed once per bit with that bit deleted, so sets meet that differ by one bit at most in a segment.
+At a similarity of 0.8 bits differ with probability 0.15; there are so many segments that all of them miss such a pair once in
+MOST_MISSED times. They are the longer, and the more, the more sets there are, which keeps chance meetings rare. Every link is
+verified on the sets themselves; nothing below the similarity is ever linked.
 
-A band shared by many texts would make all pairs of them. Instead each is first verified against one text of its band (then, where
-very many are left, a few more) and those links are closed to components. Then only pairs of different components are left, and all of them
-are verified: a band's sets are cut into blocks, any two blocks meet in one task, and what leaves it are links, not pairs.
+Only sets that can have a partner are signed: partners of 0.8 share that part of their SAMPLE least hashes too, give or take chance,
+so a set of which less than half that part stands in any other set's sample has none (a partner is lost so once in ten million times).
+
+Variants of two or three sets give their pairs where they are aggregated. One shared by many texts would make all pairs of them. Instead each
+is first verified against two texts of its variant (then, where very many are left, a few more) and those links are closed to components.
+Then only pairs of different components are left, and all of them are verified: a variant's sets are cut into blocks, any two blocks meet
+in one task, and what leaves it are links, not pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +25,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._bytes import mix
 from quarry.llm._tables import kept
 from quarry.llm.components import components
-from quarry.llm.simhash import mixed, shingle_hashes
-
-BANDS, DEPTH = 24, 5
+from quarry.llm.simhash import deletion_keys, distinct_groups, mixed, plane_bits, segments_needed, shingle_hashes
+
+#: The part of the pairs at the very similarity that no segment brings together.
+MOST_MISSED = 1e-4
+#: Segments are so long that chance alone puts no more than so many sets into a variant.
+MOST_BY_CHANCE = 0.1
+#: So many least hashes of a set tell whether it can have a partner.
+SAMPLE = 32
+#: A candidate's first so many bits are compared before its set: pairs at the similarity differ by the limit (eight deviations) practically never.
+CHECKED_BITS = 256
 #: Two hashes stand for a row's id and text.
 KEY = ["k1", "k2"]
 #: Up to so many keys of rows to drop or to compare, 16 or 24 bytes each, are broadcast; beyond, the rows are dealt out by key.
@@ -34,39 +46,25 @@ MOST_PAIRS = 50_000_000
 MOST_ROUNDS = 4
 #: What a block holds on average at most: texts, and hashes of all their sets.
 MOST_MEMBERS, MOST_HASHES = 2048, 1 << 20
-_FACTORS = np.random.default_rng(31).integers(0, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(hashes: np.ndarray, block: int = 1024) -> np.ndarray:
-    """One signed key per band; none for no hashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_FACTORS), np.uint64(2**64 - 1))
-    for k in range(0, len(hashes), block):
-        least = np.minimum(least, (_FACTORS[:, None] * hashes[k : k + block]).min(axis=1))
-    keys = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
-    for column in least.reshape(BANDS, DEPTH).T:
-        keys = mix(keys + mix(column))
-    return keys.view(np.int64)
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """For docs (id, k1, k2, text): id, k1, k2, d0 and d1 (a digest of the shingle set), n (its size) and bands."""
+    """For docs (id, k1, k2, text): id, k1, k2, d0 and d1 (a digest of the shingle set), n (its size) and its least hashes."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            digests, sizes, bands = [], [], []
+            digests, sizes, least = [], [], []
             for text in batch.column(3):
                 hashes = np.unique(shingle_hashes(text.as_py(), words))
                 digests.append(np.frombuffer(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest(), np.int64))
                 sizes.append(len(hashes))
-                bands.append(band_keys(hashes))
+                least.append(hashes[:SAMPLE].view(np.int64))
             d = np.array(digests, np.int64).reshape(-1, 2)
-            columns = [*batch.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "d0", "d1", "n", "bands"])
+            columns = [*batch.columns[:3], pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "k1", "k2", "d0", "d1", "n", "least"])
 
     docs = docs.select("id", "k1", "k2", "text")
-    return docs.mapInArrow(task, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, d0 long, d1 long, n long, bands array<long>")
+    return docs.mapInArrow(task, f"id {docs.schema['id'].dataType.simpleString()}, k1 long, k2 long, d0 long, d1 long, n long, least array<long>")
 
 
 def shingle_sets(docs: DataFrame, words: int, block: int = 256) -> DataFrame:
@@ -131,34 +129,83 @@ def _joined(docs: DataFrame, few: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(few) if few.count() <= MOST_BROADCAST else few.hint("shuffle_hash"), KEY, how)
 
 
+def with_possible_partner(classes: DataFrame, similarity: float) -> DataFrame:
+    """The rows (node, n, k1, k2) of classes that share half the similarity's part of their least hashes with others."""
+    rows = classes.select("node", F.explode("least").alias("hash"))
+    common = rows.groupBy("hash").agg(F.count("*").alias("sets")).where("sets > 1").select("hash")
+    shared = rows.join(common, "hash", "left_semi").groupBy("node").agg(F.count("*").alias("shared"))
+    return classes.join(shared, "node").where(F.col("shared") >= F.least("n", F.lit(SAMPLE)) * similarity / 2).select("node", "n", *KEY)
+
+
+def fingerprints_of_sets(sets: DataFrame, bits: int) -> DataFrame:
+    """For sets (node, hashes): node, n and f, the fingerprint's bits as longs."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [batch.column(1)[k].values.to_numpy() for k in range(batch.num_rows)]
+            words = [np.packbits(plane_bits(h.view(np.uint64), bits), bitorder="little").view(np.int64) for h in own]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in own], pa.int64()), pa.array(words, pa.list_(pa.int64()))], names=["node", "n", "f"])
+
+    return sets.select("node", "hashes").mapInArrow(task, "node long, n long, f array<long>")
+
+
+def variants(prints: DataFrame, width: int, segments: int, block: int = 64) -> DataFrame:
+    """(key, node): a row for each bit of a fingerprint's segments, that bit deleted."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, block):
+                part = batch.slice(k, block)
+                words = np.array(part.column(1).to_pylist(), np.int64).reshape(part.num_rows, -1)
+                bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : width * segments]
+                keys = deletion_keys(bits.astype(bool), width)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+
+    return prints.select("node", "f").mapInArrow(task, "key long, node long")
+
+
 def link_sets(classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Components (node, component) of classes (node, k1, k2, n, bands) linked at the similarity or more; docs (k1, k2, text) hold their texts."""
+    """Components (node, component) of classes (node, k1, k2, n, least) linked at the similarity or more; docs (k1, k2, text) hold their texts."""
 
     def fits(x: Column, y: Column) -> Column:
         return F.least(x, y) / F.greatest(x, y) >= similarity  # the similarity is this at most
 
-    rows = classes.select("node", "n", F.explode("bands").alias("key"))
-    one = rows.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub"), F.min_by("n", "node").alias("hub_n")).where("size > 1")
-    met = rows.join(one, "key").where((F.col("size") > 2) | ((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))))
-    shared = kept(met, "shared-bands")
-    nodes = shared.select("node").unionByName(shared.select(F.col("hub").alias("node"))).distinct()
-    wanted = kept(classes.select("node", *KEY).join(nodes, "node", "left_semi"), "compared-classes")
-    sets = kept(shingle_sets(_joined(docs, wanted, "inner"), words), "shingle-sets")
-    if sets.count() > wanted.count():  # rows equal in id and text
+    wanted = kept(with_possible_partner(classes, similarity), "compared-classes")
+    sets = kept(shingle_sets(_joined(docs, wanted.select("node", *KEY), "inner"), words), "shingle-sets")
+    number = wanted.count()
+    if sets.count() > number:  # rows equal in id and text
         sets = kept(sets.dropDuplicates(["node"]), "shingle-sets")
+    width = 1 + max(10, int(np.ceil(np.log2(max(number, 1) / MOST_BY_CHANCE))))
+    segments = segments_needed(width, similarity, MOST_MISSED)
+    prints = kept(fingerprints_of_sets(sets, -(-max(width * segments, CHECKED_BITS) // 64) * 64), "fingerprints")
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    most_bits = int(np.ceil(CHECKED_BITS * differ + 8 * np.sqrt(CHECKED_BITS * differ * (1 - differ))))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        x, y = prints.toDF("a", "n", "f").alias("x"), prints.toDF("b", "n", "f").alias("y")
+        distance = sum((F.bit_count(F.col("x.f")[k].bitwiseXOR(F.col("y.f")[k])) for k in range(CHECKED_BITS // 64)), F.lit(0))
+        near = pairs.join(x, "a").join(y, "b").where(fits(F.col("x.n"), F.col("y.n")) & (distance <= most_bits)).select("a", "b")
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
         both = F.size(F.array_intersect("x", "y"))
         alike = both / (F.size("x") + F.size("y") - both) >= similarity
-        return kept(pairs.join(x, "a").join(y, "b").where(alike).select("a", "b"), "links")
+        return kept(kept(near, "near-pairs").join(x, "a").join(y, "b").where(alike).select("a", "b"), "links")
 
     def pairs(found: DataFrame, x: str, y: str) -> DataFrame:
         return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    tested = kept(pairs(shared.where((F.col("node") != F.col("hub")) & fits(F.col("n"), F.col("hub_n"))), "node", "hub"), "pairs")
+    signed = variants(prints, width, segments)
+    groups = signed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("every")).where("size > 1")
+    groups = kept(groups, "variant-groups")
+    keys = kept(groups.where("size > 3").select("key"), "crowded-keys")
+    crowd = kept(signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key", "left_semi"), "crowded-variants")
+    crowd = distinct_groups(crowd.withColumnRenamed("node", "f")).withColumnRenamed("f", "node")
+    third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("every"))
+    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    few = F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))
+    met = groups.where("size < 4").select(F.inline(few)).unionByName(crowd.select(F.col("node").alias("x"), F.explode("hubs").alias("y")))
+    tested = kept(pairs(met.where("x != y"), "x", "y"), "pairs")
     links = verified(tested)
-    crowd = shared.where("size > 2").select("key", "node", "n")
+    crowd = crowd.select("key", "node").join(prints.select("node", "n"), "node")
     for turn in range(1, MOST_ROUNDS + 2):
         labels = kept(components(links), "components")
         crowd = mixed(crowd.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -188,8 +235,8 @@ def keep_one(docs: DataFrame, words: int, similarity: float, id_column: str = "d
     keys = [F.xxhash64(*own).alias("k1"), F.xxhash64(F.lit(1), *own).alias("k2")]
     texts = docs.select(own[0].alias("id"), *keys, own[1].alias("text"))
     prints = kept(signatures(texts, words).withColumn("row", F.monotonically_increasing_id()), "signatures")
-    firsts = prints.groupBy("d0", "d1").agg(F.min_by(F.struct("row", *KEY, "n", "bands"), "row").alias("f"))
-    classes = kept(firsts.select("d0", "d1", F.col("f.row").alias("node"), "f.k1", "f.k2", "f.n", "f.bands"), "classes")
+    firsts = prints.groupBy("d0", "d1").agg(F.min_by(F.struct("row", *KEY, "n", "least"), "row").alias("f"))
+    classes = kept(firsts.select("d0", "d1", F.col("f.row").alias("node"), "f.k1", "f.k2", "f.n", "f.least"), "classes")
     linked = link_sets(classes, texts.select(*KEY, "text"), words, similarity)
     labelled = classes.join(linked, "node", "left").select("d0", "d1", F.coalesce("component", "node").alias("component"))
     rows = kept(prints.select("id", *KEY, "d0", "d1").join(labelled, ["d0", "d1"]).select("id", *KEY, "component"), "labelled-rows")

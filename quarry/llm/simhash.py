@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm._bytes import mix
 from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
 
@@ -121,13 +122,40 @@ def _near_pairs(most_bits: int) -> Column:
     return F.filter(pairs, lambda p: _close(p["a"], p["b"], most_bits))
 
 
+def plane_bits(hashes: np.ndarray, bits: int, block: int = 512) -> np.ndarray:
+    """A fingerprint of any length, as bools: the signs of the hashes' sums, each hash having a byte's value for each bit.
+
+    Bytes instead of a majority of bits: small sets have no ties, and bits of two sets differ as their angle says.
+    """
+    columns = mix(np.arange(1, -(-bits // 8) + 1, dtype=np.uint64))
+    sums = np.zeros(8 * len(columns), np.int64)
+    for k in range(0, len(hashes), block):
+        part = mix(hashes[k : k + block, None] ^ columns).view(np.int8)
+        sums += 2 * part.sum(axis=0, dtype=np.int32) + len(part)
+    return sums[:bits] > 0
+
+
+def segments_needed(width: int, similarity: float, most_missed: float) -> int:
+    """So many segments that all of them miss sets of this similarity no more often: a bit differs with their angle's share of a half turn."""
+    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    found = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+    return int(np.ceil(np.log(most_missed) / np.log1p(-found)))
+
+
+def deletion_keys(prints: np.ndarray, width: int) -> np.ndarray:
+    """For fingerprints (a row of bools each): a signed key for each bit, of the other bits of its segment of this width."""
+    values = prints.reshape(len(prints), -1, width) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
+    left = values[:, :, None] & ~(np.uint64(1) << np.arange(width, dtype=np.uint64))
+    return mix(left.reshape(len(prints), -1) + mix(np.arange(1, prints.shape[1] + 1, dtype=np.uint64))).view(np.int64)
+
+
 def mixed(rows: DataFrame) -> DataFrame:
     """The rows (key, component, ...) of keys that hold more than one component."""
     keys = kept(rows.groupBy("key").agg((F.min("component") != F.max("component")).alias("several")).where("several").select("key"), "mixed-keys")
     return kept(rows.join(keys, "key", "left_semi"), "mixed-rows")
 
 
-def _distinct_groups(rows: DataFrame) -> DataFrame:
+def distinct_groups(rows: DataFrame) -> DataFrame:
     """The rows (key, f) of one key of each set of members, with its hubs: two members that are others for each key."""
     turned = F.col("f").bitwiseXOR(F.col("key"))
     hubs = F.array(F.min(turned).bitwiseXOR(F.col("key")), F.max(turned).bitwiseXOR(F.col("key"))).alias("hubs")
@@ -183,7 +211,7 @@ def link(prints: DataFrame, most_bits: int) -> DataFrame:
         groups = kept(groups.withColumn("near", _near_pairs(most_bits)).where("size > 3 OR size(near) > 0"), "variant-groups")
         keys = kept(groups.where("size > 3").select("key"), "crowded-keys")
         rows = kept(signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key", "left_semi"), "crowded-variants")
-        rows = _distinct_groups(rows)
+        rows = distinct_groups(rows)
         stars = _star_links(rows, F.col("hubs"), most_bits)
         found = groups.select(F.inline("near")).unionByName(stars).distinct()
         links = kept(found if links is None else links.unionByName(found).distinct(), "links")

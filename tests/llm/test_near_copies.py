@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from quarry.llm.near_copies import shared_counts
+from quarry.llm.simhash import deletion_keys, plane_bits, segments_needed
 
 SF = "/root/testdata/sf0.01"
 
@@ -94,6 +95,22 @@ def test_large_group(spark, monkeypatch, pairs, members):
     assert stage(spark, texts) == want
 
 
+@pytest.mark.parametrize(("left", "right", "shared"), [(5, 4, 4), (9, 9, 8), (20, 16, 16), (360, 360, 320)])
+def test_fingerprints_meet(left, right, shared):
+    """Sets at a similarity of 0.8, large and small, have a variant in common where a segment differs by one bit at most, and only there."""
+    rng = np.random.default_rng(left)
+    width, segments = 18, segments_needed(18, 0.8, 1e-4)
+    missed = 0
+    for _ in range(200):
+        hashes = rng.integers(0, 2**64, left + right - shared, dtype=np.uint64)
+        x, y = (plane_bits(h, width * segments) for h in (hashes[:left], hashes[-right:]))
+        kx, ky = deletion_keys(np.array([x, y]), width)
+        near = ((x != y).reshape(segments, width).sum(1) <= 1).any()
+        assert (len(np.intersect1d(kx, ky)) > 0) == near
+        missed += not near
+    assert not missed
+
+
 def test_shared_counts():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 60, rng.integers(0, 40))) for _ in range(30)]
