@@ -1,18 +1,23 @@
 """Near-duplicates at an exact similarity: SimHash deletion variants find the candidates, the whole shingle sets decide.
 
-The similarity of two texts is that of their sets of distinct shingles (Jaccard). Sets are signed as in simhash.py: a fingerprint is
-cut into segments, and each is indexed once per bit with that bit deleted, so sets meet that differ by one bit at most in a segment.
-At a similarity of 0.8 bits differ with probability 0.15; there are so many segments that all of them miss such a pair once in
-MOST_MISSED times. They are the longer, and the more, the more sets there are, which keeps chance meetings rare. Every link is
-verified on the sets themselves; nothing below the similarity is ever linked.
+The similarity of two texts is that of their sets of distinct shingles (Jaccard). Sets are signed as in simhash.py, but what a variant
+deletes is a piece, not a bit: a fingerprint is cut into segments of three pieces, and each segment is indexed once per piece with that
+piece deleted, so sets meet that differ in one piece at most of a segment. At a similarity of 0.8 bits differ with probability 0.15, many
+in a segment; for the same bits left in a variant and the same pairs missed, pieces take a quarter of the variants that single bits take.
+There are so many segments that all of them miss a pair at the similarity once in MOST_MISSED times. They are the longer, and the more,
+the more sets there are, which keeps chance meetings rare. Every link is verified on the sets themselves; nothing below the similarity is
+ever linked.
 
 Only sets that can have a partner are signed: partners of 0.8 share that part of their SAMPLE least hashes too, give or take chance,
 so a set of which less than half that part stands in any other set's sample has none (a partner is lost so once in ten million times).
 
-Variants of two or three sets give their pairs where they are aggregated. One shared by many texts would make all pairs of them. Instead each
-is first verified against two texts of its variant (then, where very many are left, a few more) and those links are closed to components.
-Then only pairs of different components are left, and all of them are verified: a variant's sets are cut into blocks, any two blocks meet
-in one task, and what leaves it are links, not pairs.
+Variants of two or three sets give their pairs where they are aggregated. One shared by many texts would make all pairs of them, and a
+group of near copies shares very many. So groups come first: by the variants of a few segments texts meet the least one of each crowded
+variant, and what is roughly alike makes a group. A variant that lies in one group has nothing to add and ends where it is aggregated; of
+another crowded one only the texts outside its least group leave, and are put beside that group once, however many variants they share with it. So rows
+grow with the texts, not with the variants that they share. In a group and what was put beside it, links found so far are closed to
+components (where very many pairs are left, a few more are tried first), and all pairs of different components are verified: the texts
+are cut into blocks, any two blocks meet in one task, and what leaves it are links, not pairs. No link between texts that share a variant is lost.
 """
 
 from __future__ import annotations
@@ -25,14 +30,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._tables import kept
+from quarry.llm._tables import kept, partitions
 from quarry.llm.components import components
-from quarry.llm.simhash import deletion_keys, distinct_groups, mixed, plane_bits, segments_needed, shingle_hashes
+from quarry.llm.simhash import deletion_keys, mixed, plane_bits, segments_needed, shingle_hashes
 
 #: The part of the pairs at the very similarity that no segment brings together.
 MOST_MISSED = 1e-4
 #: Segments are so long that chance alone puts no more than so many sets into a variant.
 MOST_BY_CHANCE = 0.1
+#: A segment's pieces, one of which a variant is without.
+PIECES = 3
+#: The variants of so many segments tell groups, of texts that meet and have this similarity, by their first bits. Groups only save work.
+GROUP_SEGMENTS, GROUP_SIMILARITY = 8, 0.5
 #: So many least hashes of a set tell whether it can have a partner.
 SAMPLE = 32
 #: A candidate's first so many bits are compared before its set: pairs at the similarity differ by the limit (eight deviations) practically never.
@@ -149,8 +158,16 @@ def fingerprints_of_sets(sets: DataFrame, bits: int) -> DataFrame:
     return sets.select("node", "hashes").mapInArrow(task, "node long, n long, f array<long>")
 
 
-def variants(prints: DataFrame, width: int, segments: int, block: int = 64) -> DataFrame:
-    """(key, node): a row for each bit of a fingerprint's segments, that bit deleted."""
+def signing(number: int, similarity: float) -> tuple[int, int]:
+    """The bits of a piece and the number of segments by which so many sets are signed."""
+    left = max(10, np.log2(max(number, 1) / MOST_BY_CHANCE))
+    piece = int(np.ceil(left / (PIECES - 1)))
+    return piece, segments_needed(PIECES * piece, similarity, MOST_MISSED, piece)
+
+
+def variants(prints: DataFrame, piece: int, segments: int, block: int = 64) -> DataFrame:
+    """(key, node, group) for prints (node, f, group): a row for each piece of a fingerprint's first segments, that piece deleted."""
+    width = PIECES * piece
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,10 +175,12 @@ def variants(prints: DataFrame, width: int, segments: int, block: int = 64) -> D
                 part = batch.slice(k, block)
                 words = np.array(part.column(1).to_pylist(), np.int64).reshape(part.num_rows, -1)
                 bits = np.unpackbits(words.view(np.uint8), axis=1, bitorder="little")[:, : width * segments]
-                keys = deletion_keys(bits.astype(bool), width)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(part.column(0).to_numpy(), keys.shape[1]))], names=["key", "node"])
+                keys = deletion_keys(bits.astype(bool), width, piece)
+                own = [pa.array(np.repeat(part.column(c).to_numpy(), keys.shape[1])) for c in (0, 2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *own], names=["key", "node", "group"])
 
-    return prints.select("node", "f").mapInArrow(task, "key long, node long")
+    dealt = prints.select("node", "f", "group").repartition(partitions(prints.sparkSession), "node")  # a row becomes hundreds
+    return dealt.mapInArrow(task, "key long, node long, group long")
 
 
 def link_sets(classes: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -175,55 +194,73 @@ def link_sets(classes: DataFrame, docs: DataFrame, words: int, similarity: float
     number = wanted.count()
     if sets.count() > number:  # rows equal in id and text
         sets = kept(sets.dropDuplicates(["node"]), "shingle-sets")
-    width = 1 + max(10, int(np.ceil(np.log2(max(number, 1) / MOST_BY_CHANCE))))
-    segments = segments_needed(width, similarity, MOST_MISSED)
-    prints = kept(fingerprints_of_sets(sets, -(-max(width * segments, CHECKED_BITS) // 64) * 64), "fingerprints")
-    differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    most_bits = int(np.ceil(CHECKED_BITS * differ + 8 * np.sqrt(CHECKED_BITS * differ * (1 - differ))))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = prints.toDF("a", "n", "f").alias("x"), prints.toDF("b", "n", "f").alias("y")
-        distance = sum((F.bit_count(F.col("x.f")[k].bitwiseXOR(F.col("y.f")[k])) for k in range(CHECKED_BITS // 64)), F.lit(0))
-        near = pairs.join(x, "a").join(y, "b").where(fits(F.col("x.n"), F.col("y.n")) & (distance <= most_bits)).select("a", "b")
+    piece, segments = signing(number, similarity)
+    prints = kept(fingerprints_of_sets(sets, -(-max(PIECES * piece * segments, CHECKED_BITS) // 64) * 64), "fingerprints")
+    def bits_apart(alike: float, deviations: int) -> int:
+        differ = np.arccos(2 * alike / (1 + alike)) / np.pi
+        return int(np.ceil(CHECKED_BITS * differ + deviations * np.sqrt(CHECKED_BITS * differ * (1 - differ))))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        checked = [F.col("f")[k].alias(f"f{k}") for k in range(CHECKED_BITS // 64)]  # the other bits stay out of the joins
+        x, y = (prints.select(F.col("node").alias(end), "n", *checked) for end in ("a", "b"))
+        x, y = x.alias("x"), y.alias("y")
+        distance = sum((F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(CHECKED_BITS // 64)), F.lit(0))
+        apart = pairs.join(x, "a").join(y, "b").select("a", "b", fits(F.col("x.n"), F.col("y.n")).alias("fit"), distance.alias("distance"))
+        return kept(apart.where(F.col("distance") <= bits_apart(similarity, 8)), "near-pairs")
+
+    def alike(pairs: DataFrame) -> DataFrame:
         x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
         both = F.size(F.array_intersect("x", "y"))
-        alike = both / (F.size("x") + F.size("y") - both) >= similarity
-        return kept(kept(near, "near-pairs").join(x, "a").join(y, "b").where(alike).select("a", "b"), "links")
+        enough = both / (F.size("x") + F.size("y") - both) >= similarity
+        return kept(pairs.where("fit").select("a", "b").join(x, "a").join(y, "b").where(enough).select("a", "b"), "links")
 
     def pairs(found: DataFrame, x: str, y: str) -> DataFrame:
         return found.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
-    signed = variants(prints, width, segments)
-    groups = signed.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("every")).where("size > 1")
-    groups = kept(groups, "variant-groups")
-    keys = kept(groups.where("size > 3").select("key"), "crowded-keys")
-    crowd = kept(signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key", "left_semi"), "crowded-variants")
-    crowd = distinct_groups(crowd.withColumnRenamed("node", "f")).withColumnRenamed("f", "node")
+    def crowded(signed: DataFrame, keys: DataFrame) -> DataFrame:
+        return signed.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys.hint("shuffle_hash"), "key")
+
+    def closed(crowd: DataFrame, links: DataFrame, tested: DataFrame) -> DataFrame:
+        """The links and more, so that all pairs of a key in crowd (key, node) are linked, in one component or verified."""
+        crowd = crowd.join(prints.select("node", "n"), "node")
+        for turn in range(1, MOST_ROUNDS + 2):
+            labels = kept(components(links), "components")
+            crowd = mixed(crowd.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+            sizes = kept(crowd.groupBy("key", "component").agg(F.count("*").alias("members")), "component-sizes")
+            major = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.sum("members").alias("all"), F.max("members").alias("most"))
+            left = major.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
+            if not left:
+                return links
+            if left <= MOST_PAIRS or turn > MOST_ROUNDS:
+                return links.unionByName(kept(block_links(crowd, sets, similarity), "links"))
+            order = F.xxhash64("node", F.lit(turn))
+            hubs = crowd.groupBy("key").agg(*(F.min_by(c, order).alias(c) for c in ("node", "n", "component")))
+            x, y = kept(hubs, "more-hubs").alias("x"), crowd.alias("y")
+            apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
+            fresh = kept(pairs(x.join(y, apart), "x.node", "y.node").join(tested, ["a", "b"], "left_anti"), "pairs")
+            links, tested = links.unionByName(alike(near(fresh))), tested.unionByName(fresh)
+        raise AssertionError
+
+    first = variants(prints.withColumn("group", F.col("node")), piece, min(segments, GROUP_SEGMENTS))
+    hubs = kept(first.groupBy("key").agg(F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 3").select("key", "hub"), "group-hubs")
+    met = kept(pairs(crowded(first, hubs).where("node != hub"), "node", "hub"), "pairs")
+    rough = near(met)
+    grouped = kept(components(rough.where(F.col("distance") <= bits_apart(GROUP_SIMILARITY, 0))), "groups")
+    links = closed(grouped.select(F.col("component").alias("key"), "node"), alike(rough), met)
+
+    labelled = kept(prints.join(grouped, "node", "left").select("node", "f", F.coalesce("component", "node").alias("group")), "grouped-fingerprints")
+    signed = variants(labelled, piece, segments)
+    each = [F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor("node").alias("every"), F.min("group").alias("least")]
+    groups = signed.groupBy("key").agg(*each, F.max("group").alias("greatest")).where("least != greatest")
+    groups = kept(groups.drop("greatest"), "variant-groups")
+    others = crowded(signed, kept(groups.where("size > 3").select("key", "least"), "crowded-keys")).where("group != least")
+    others = kept(others.select(F.col("least").alias("key"), "node").distinct(), "beside-groups")
+    members = labelled.select(F.col("group").alias("key"), "node").join(others.select("key").distinct(), "key", "left_semi")
     third = F.col("lo").bitwiseXOR(F.col("hi")).bitwiseXOR(F.col("every"))
     pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     few = F.when(F.col("size") == 2, F.array(pair(F.col("lo"), F.col("hi")))).otherwise(F.array(pair(F.col("lo"), F.col("hi")), pair(F.col("lo"), third), pair(third, F.col("hi"))))
-    met = groups.where("size < 4").select(F.inline(few)).unionByName(crowd.select(F.col("node").alias("x"), F.explode("hubs").alias("y")))
-    tested = kept(pairs(met.where("x != y"), "x", "y"), "pairs")
-    links = verified(tested)
-    crowd = crowd.select("key", "node").join(prints.select("node", "n"), "node")
-    for turn in range(1, MOST_ROUNDS + 2):
-        labels = kept(components(links), "components")
-        crowd = mixed(crowd.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
-        sizes = kept(crowd.groupBy("key", "component").agg(F.count("*").alias("members")), "component-sizes")
-        major = sizes.groupBy("key").agg(F.max_by("component", F.struct("members", "component")).alias("major"), F.sum("members").alias("all"), F.max("members").alias("most"))
-        left = major.agg(F.sum((F.col("all") - F.col("most")) * F.col("all"))).first()[0] or 0
-        if not left:
-            return labels
-        if left <= MOST_PAIRS or turn > MOST_ROUNDS:
-            new = kept(block_links(crowd, sets, similarity), "links")
-            return labels if new.isEmpty() else components(links.unionByName(new))
-        order = F.xxhash64("node", F.lit(turn))
-        hubs = crowd.groupBy("key").agg(*(F.min_by(c, order).alias(c) for c in ("node", "n", "component")))
-        x, y = kept(hubs, "more-hubs").alias("x"), crowd.alias("y")
-        apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & fits(F.col("x.n"), F.col("y.n"))
-        fresh = kept(pairs(x.join(y, apart), "x.node", "y.node").join(tested, ["a", "b"], "left_anti"), "pairs")
-        links, tested = links.unionByName(verified(fresh)), tested.unionByName(fresh)
-    raise AssertionError
+    tested = kept(pairs(groups.where("size < 4").select(F.inline(few)).where("x != y"), "x", "y"), "pairs")
+    return components(closed(members.unionByName(others), links.unionByName(alike(near(tested))), tested))
 
 
 def keep_one(docs: DataFrame, words: int, similarity: float, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -135,18 +135,19 @@ def plane_bits(hashes: np.ndarray, bits: int, block: int = 512) -> np.ndarray:
     return sums[:bits] > 0
 
 
-def segments_needed(width: int, similarity: float, most_missed: float) -> int:
-    """So many segments that all of them miss sets of this similarity no more often: a bit differs with their angle's share of a half turn."""
+def segments_needed(width: int, similarity: float, most_missed: float, piece: int = 1) -> int:
+    """So many segments, of pieces of so many bits, that all of them miss sets of this similarity no more often: a bit differs with their angle's share of a half turn."""
     differ = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    found = (1 - differ) ** width + width * differ * (1 - differ) ** (width - 1)
+    same, pieces = (1 - differ) ** piece, width // piece
+    found = same**pieces + pieces * (1 - same) * same ** (pieces - 1)
     return int(np.ceil(np.log(most_missed) / np.log1p(-found)))
 
 
-def deletion_keys(prints: np.ndarray, width: int) -> np.ndarray:
-    """For fingerprints (a row of bools each): a signed key for each bit, of the other bits of its segment of this width."""
+def deletion_keys(prints: np.ndarray, width: int, piece: int = 1) -> np.ndarray:
+    """For fingerprints (a row of bools each): a signed key for each piece of so many bits, of the other bits of its segment of this width."""
     values = prints.reshape(len(prints), -1, width) @ (np.uint64(1) << np.arange(width, dtype=np.uint64))
-    left = values[:, :, None] & ~(np.uint64(1) << np.arange(width, dtype=np.uint64))
-    return mix(left.reshape(len(prints), -1) + mix(np.arange(1, prints.shape[1] + 1, dtype=np.uint64))).view(np.int64)
+    left = values[:, :, None] & ~(np.uint64((1 << piece) - 1) << np.arange(0, width, piece, dtype=np.uint64))
+    return mix(left.reshape(len(prints), -1) + mix(np.arange(1, prints.shape[1] // piece + 1, dtype=np.uint64))).view(np.int64)
 
 
 def mixed(rows: DataFrame) -> DataFrame:

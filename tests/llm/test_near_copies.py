@@ -123,3 +123,51 @@ def test_documents(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     want, _ = brute(texts)
     assert stage(spark, texts) == want
+
+
+@pytest.mark.parametrize(("left", "right", "shared"), [(5, 4, 4), (20, 16, 16), (360, 360, 320)])
+def test_pieces_meet(left, right, shared):
+    """Sets at a similarity of 0.8 have a variant in common where a segment differs in one piece at most, and only there, with a third of the variants of single bits."""
+    from quarry.llm.near_copies import PIECES, signing
+
+    rng = np.random.default_rng(right)
+    piece, segments = signing(7494, 0.8)
+    width = PIECES * piece
+    assert 3 * PIECES * segments < 18 * segments_needed(18, 0.8, 1e-4)
+    for _ in range(200):
+        hashes = rng.integers(0, 2**64, left + right - shared, dtype=np.uint64)
+        x, y = (plane_bits(h, width * segments) for h in (hashes[:left], hashes[-right:]))
+        kx, ky = deletion_keys(np.array([x, y]), width, piece)
+        assert len(kx) == PIECES * segments
+        near = ((x != y).reshape(segments, PIECES, piece).any(2).sum(1) <= 1).any()
+        assert (len(np.intersect1d(kx, ky)) > 0) == near
+        assert near
+
+
+@pytest.mark.parametrize(("similarity", "segments"), [(0.95, 1), (0.35, 8)])
+def test_groups_only_save_work(spark, monkeypatch, similarity, segments):
+    monkeypatch.setattr("quarry.llm.near_copies.GROUP_SIMILARITY", similarity)  # nearly no groups, and wide ones
+    monkeypatch.setattr("quarry.llm.near_copies.GROUP_SEGMENTS", segments)
+    texts = edited(8, 200, range(1, 7), 3, 40)
+    want, _ = brute(texts)
+    assert 3 < len(want) < 100
+    assert stage(spark, texts) == want
+
+
+def test_rows_grow_with_texts(spark, monkeypatch):
+    """A large group of near copies shares very many variants, but no table has a row for each of them."""
+    from quarry.llm import near_copies
+
+    most, write = {}, near_copies.kept
+
+    def counted(df, label):
+        out = write(df, label)
+        most[label] = max(most.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr("quarry.llm.near_copies.kept", counted)
+    monkeypatch.setattr("quarry.llm.simhash.kept", counted)
+    texts = edited(9, 200, range(1, 7), 1, 200)
+    want, _ = brute(texts)
+    assert stage(spark, texts) == want
+    assert max(most.values()) < 20 * len(texts), most
