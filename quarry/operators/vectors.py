@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.geometry import cosine_to, dot, vector_is_valid
-from quarry.tables import kept
+from quarry.functions.geometry import cosine_to, vector_is_valid
+from quarry.tables import kept, partitions
 
 MARGIN = 0.05
 LIKE = 0.5
+#: Rows on a side of a large tile, cells of it compared at once, pairs summed at once.
+SIDE, CELLS, CHUNK = 32768, 1 << 22, 1 << 16
 
 
 def search(features: DataFrame, query: list[float], threshold: float, current: DataFrame | None = None, valid_only: bool = True) -> DataFrame:
@@ -44,20 +48,93 @@ def space_contracts(features: DataFrame) -> DataFrame:
 def gallery_scores(faces: DataFrame, references: DataFrame, threshold: float) -> DataFrame:
     """(face_id, person_id, score): each face's best score with each person, where it reaches the threshold.
 
-    The references of one gallery are the small side by nature, but of no proven size: their count decides how the pairs are made. Up to
-    a few thousand they are broadcast; beyond, faces are copied to blocks of references, dealt out by block and face.
+    Faces and references, of which equal ones count once, are dealt out in tiles of so many by so many; a tile is one task's products of matrices, and only its best
+    scores leave it. Both are counted first: what a row is copied for grows with the other side, so that large tables have larger tiles.
     """
-    references = kept(references.select("person_id", "vector"), "references")  # counted, then read
-    n = references.count()
-    near = lambda pairs: pairs.withColumn("score", dot(F.col("f.vector"), F.col("r.vector"))).where(~F.isnan("score") & (F.col("score") >= threshold))
-    if n <= 5000:
-        pairs = faces.alias("f").join(F.broadcast(references.alias("r")), F.size("f.vector") == F.size("r.vector"))
-    else:
-        blocks = -(-n // 5000)
-        left = faces.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        right = references.withColumn("block", F.pmod(F.xxhash64("person_id", "vector"), F.lit(blocks)).cast("int"))
-        pairs = left.alias("f").join(right.alias("r"), (F.col("f.block") == F.col("r.block")) & (F.size("f.vector") == F.size("r.vector")))
-    return near(pairs).groupBy("f.face_id", "r.person_id").agg(F.max("score").alias("score"))
+    spark = faces.sparkSession
+    typed = lambda df: df if df.schema["vector"].dataType.elementType.simpleString() in ("float", "double") else df.withColumn("vector", F.col("vector").cast("array<double>"))
+    faces, references = typed(faces.select("face_id", "vector")), typed(kept(references.select("person_id", "vector").distinct(), "references"))  # the latter counted, then read
+    n, m = faces.count(), references.count()
+    rows, columns = -(-n // (SIDE if n > SIDE * partitions(spark) else SIDE // 8)), -(-m // SIDE)
+    part = lambda k, *of: F.pmod(F.xxhash64(*of), F.lit(max(k, 1))).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(max(k, 1) - 1)))
+    left = faces.select(part(rows, "face_id", "vector").alias("i"), every(columns).alias("j"), "face_id", "vector")
+    right = references.select(every(rows).alias("i"), part(columns, "person_id", "vector").alias("j"), "person_id", F.lit(True).alias("known"), "vector")
+    face, person = (df.schema[c].dataType.simpleString() for df, c in ((faces, "face_id"), (references, "person_id")))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        known = pc.is_valid(table.column("known"))
+        f, r = (table.filter(c) for c in (pc.invert(known), known))
+        codes = r.column("person_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        of = [_by_length(t.column("vector").combine_chunks()) for t in (f, r)]
+        for size in of[0].keys() & of[1].keys():
+            (i, a), (j, b) = (x[size] for x in of)
+            for k, p, score in best_scores(a, b, codes[j], threshold):
+                columns = [f.column("face_id").take(pa.array(i[k])).combine_chunks(), r.column("person_id").take(pa.array(j[p])).combine_chunks(), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(columns, names=["face_id", "person_id", "score"])
+
+    tiles = left.unionByName(right, allowMissingColumns=True).groupBy("i", "j")
+    return tiles.applyInArrow(task, f"face_id {face}, person_id {person}, score double").groupBy("face_id", "person_id").agg(F.max("score").alias("score"))
+
+
+def _by_length(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """The vectors of each length without NaN or null, which have no score: their places, and a row for each."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy()
+    found = {}
+    for n in set(sizes.tolist()) - {-1}:
+        at = np.flatnonzero(sizes == n)
+        values = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), n)
+        there = ~np.isnan(values).any(axis=1)
+        found[n] = at[there], values[there]
+    return found
+
+
+def front_to_end(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The dot products of a's rows i with b's rows j, summed as dot() does. A product of matrices sums in an order of its own, which its size decides."""
+    total = np.zeros(len(i))
+    for at in range(0, len(i), CHUNK):
+        x, y = np.ascontiguousarray(a[i[at : at + CHUNK]].T), np.ascontiguousarray(b[j[at : at + CHUNK]].T)
+        with np.errstate(invalid="ignore", over="ignore"):
+            for u, v in zip(x, y, strict=True):
+                total[at : at + CHUNK] += u * v
+    return total
+
+
+def doubt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How far, at most, sums of a row of a with any of b's can lie apart by the order in which they are made."""
+    length = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
+    return length(a) * length(b).max(initial=0.0) * (a.shape[1] + 4) * 2.0**-51 + 1e-300
+
+
+def best_scores(a: np.ndarray, b: np.ndarray, person: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b, scores): the best score of each row of a with each person of b's rows, where it reaches the threshold, a few rows at a time.
+
+    A product of matrices chooses the pairs that can be best, within doubt; what counts are those pairs' sums from front to end.
+    """
+    if not len(a) or not len(b):
+        return
+    order = np.argsort(person, kind="stable")
+    first = np.flatnonzero(np.diff(person[order], prepend=-1))
+    times = np.diff(first, append=len(order))
+    # rows whose sums can overflow are compared one by one
+    wild, wild_b = (~(np.abs(x) < 1e150).all(axis=1) for x in (a, b[order]))
+    tame, tame_b = np.where(wild[:, None], 0.0, a), np.where(wild_b[:, None], 0.0, b[order])
+    off = doubt(tame, tame_b)
+    step = max(1, CELLS // len(order))
+    for at in range(0, len(a), step):
+        s = tame[at : at + step] @ tame_b.T
+        s[wild[at : at + step]] = s[:, wild_b] = -np.inf
+        least = np.maximum(np.maximum.reduceat(s, first, axis=1), threshold) - 2 * off[at : at + step, None]
+        near = s >= np.repeat(least, times, axis=1)
+        near[wild[at : at + step]] = near[:, wild_b] = True
+        i, k = np.nonzero(near)
+        score = front_to_end(a, b, i + at, order[k])
+        good = score >= threshold
+        i, k, score = i[good] + at, order[k[good]], score[good]
+        if len(i):
+            new = np.flatnonzero((np.diff(i, prepend=-1) != 0) | (np.diff(person[k], prepend=-1) != 0))
+            yield i[new], k[new], np.maximum.reduceat(score, new)
 
 
 def rank_open(faces: DataFrame, scores: DataFrame, margin: float = MARGIN) -> DataFrame:

@@ -125,6 +125,34 @@ def test_threshold_search(spark):
     assert V.search_page(fresh, 1, 1).collect() == []
 
 
+def test_gallery_scores(spark, monkeypatch):
+    monkeypatch.setattr(V, "SIDE", 64, raising=False)  # many tiles
+    rng = np.random.default_rng(7)
+    nan, inf = float("nan"), float("inf")
+    vector = lambda: [float(np.float32(x)) for x in rng.normal(size=5) / 2]
+    odd = [None, [], [nan] * 5, [inf, 0.0, 1.0, 0.0, 0.0], [1.0, None, 0.0, 0.0, 0.0], [1e200, 1e200, 1.0, 0.0, 0.0], [-0.0, 0.0, 0.0, 0.0, 0.0], [1.0, 0.5], [0.2, 0.0, 0.0, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0]]
+    twin = vector()
+    faces = [(k, v) for k, v in enumerate(odd + [twin] * 30 + [vector() for _ in range(90)])] + [(3, vector()), (None, vector())]
+    references = [(k % 4 if k % 5 else None, v) for k, v in enumerate(odd + [twin] * 40 + [vector() for _ in range(50)])]
+    for threshold in (0.2, -9.0):
+        want: dict = {}
+        for f, a in faces:
+            for p, b in references:
+                if a is None or b is None or len(a) != len(b) or None in a or None in b:
+                    continue
+                score = 0.0
+                for x, y in zip(a, b, strict=True):  # sum() would compensate
+                    score += x * y
+                if score >= threshold:
+                    want[f, p] = max(want.get((f, p), score), score)
+        tables = [spark.createDataFrame(rows, f"{name} int, vector array<double>") for rows, name in ((faces, "face_id"), (references, "person_id"))]
+        got = V.gallery_scores(*tables, threshold)
+        assert {(r["face_id"], r["person_id"]): r["score"] for r in got.collect()} == want and want
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # no row a pair
+        for none in (tables[0].where("false"), tables[1]), (tables[0], tables[1].where("false")):
+            assert V.gallery_scores(*none, threshold).count() == 0
+
+
 def naive_links(vectors, pictures, threshold):
     n = len(vectors)
     like = lambda i, j: -1.0 if pictures[i] == pictures[j] or vectors[i] is None or vectors[j] is None else float(vectors[i] @ vectors[j])
