@@ -75,7 +75,8 @@ def gallery_scores(faces: DataFrame, references: DataFrame, threshold: float) ->
                 yield pa.RecordBatch.from_arrays(columns, names=["face_id", "person_id", "score"])
 
     tiles = left.unionByName(right, allowMissingColumns=True).groupBy("i", "j")
-    return tiles.applyInArrow(task, f"face_id {face}, person_id {person}, score double").groupBy("face_id", "person_id").agg(F.max("score").alias("score"))
+    best = tiles.applyInArrow(task, f"face_id {face}, person_id {person}, score double")
+    return best.repartition("face_id").groupBy("face_id", "person_id").agg(F.max("score").alias("score"))  # dealt out once, for a ranking too
 
 
 def _by_length(vectors: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:

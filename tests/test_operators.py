@@ -153,6 +153,17 @@ def test_gallery_scores(spark, monkeypatch):
             assert V.gallery_scores(*none, threshold).count() == 0
 
 
+def test_open_ranking(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.8, 0.6]), (4, [-1.0, 0.0]), (5, None), (6, [0.75, 0.7])]
+    faces = spark.createDataFrame(rows, "face_id int, vector array<float>")
+    references = spark.createDataFrame([(7, [1.0, 0.0]), (7, [0.9, 0.1]), (8, [0.0, 1.0]), (9, None)], "person_id int, vector array<float>")
+    ranked = V.rank_open(faces, V.gallery_scores(faces, references, 0.2))
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(face_id") == 2, plan  # the scores and the faces, once each
+    assert plan.count("Join") == 1  # no row a pair
+    assert {r["face_id"]: (r["person_id"], r["score"] and round(r["score"], 5)) for r in ranked.collect()} == {1: (7, 1.0), 2: (8, 0.8), 3: (7, 0.8), 4: (None, None), 5: (None, None), 6: (7, 0.75)}
+
+
 def naive_links(vectors, pictures, threshold):
     n = len(vectors)
     like = lambda i, j: -1.0 if pictures[i] == pictures[j] or vectors[i] is None or vectors[j] is None else float(vectors[i] @ vectors[j])
