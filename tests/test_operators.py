@@ -200,6 +200,60 @@ def test_complete_link(spark):
     assert sizes == sorted(sizes, reverse=True)
 
 
+class Ordered(np.ndarray):
+    """A vector whose products are summed front to end."""
+
+    def __new__(cls, values):
+        return np.asarray(values).view(cls)
+
+    def __matmul__(self, other):
+        return np.cumsum(np.asarray(self) * np.asarray(other))[-1]
+
+
+def test_links_with_ties():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        n, dimensions = int(rng.integers(1, 50)), int(rng.integers(1, 6))
+        v = rng.normal(size=(n, dimensions))
+        if k % 4 == 1:
+            v = np.round(v)  # many equal similarities, and such at the threshold
+        elif k % 4 == 2:
+            v = v[rng.integers(0, n // 6 + 1, n)]  # copies
+        if k % 10 == 9:
+            v[rng.integers(0, n)] *= 1e200
+        vectors = [None if rng.random() < 0.07 else x for x in v]
+        pictures, threshold = [f"p{p}" for p in rng.integers(0, rng.integers(1, 12), n)], float(rng.choice([0.12, 0.5, 1.0, -0.3]))
+        groups: dict = {}
+        for face, owner in enumerate(V.link(vectors, pictures, threshold)):
+            groups.setdefault(owner, set()).add(face)
+        assert set(map(frozenset, groups.values())) == naive_links([None if x is None else Ordered(x) for x in vectors], pictures, threshold), k
+    assert V.link([None, None], ["a", "b"], 0.5) == [0, 1]
+
+
+def test_a_folder_of_many_faces(spark):
+    rng = np.random.default_rng(6)
+    n = 5200
+    v = rng.normal(size=(n, 4))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).round(6)
+    pictures = [f"p{p:03}" for p in rng.integers(0, 400, n)]
+    rows = [("f", pictures[k], str(k), float(k % 17), v[k].tolist()) for k in range(n)]
+    df = spark.createDataFrame(rows, "folder_path string, asset_path string, instance_id string, quality double, vector array<double>")
+    groups: dict = {}
+    for k, r in enumerate(V.complete_link(df, threshold=0.9).collect()):
+        groups.setdefault(r["cluster_id"] or k, []).append(int(r["instance_id"]))
+    assert sorted(k for g in groups.values() for k in g) == list(range(n))
+    like = v @ v.T
+    like[np.array(pictures)[:, None] == np.array(pictures)] = -1.0
+    np.fill_diagonal(like, 1.0)
+    of = list(groups.values())
+    least = np.array([np.minimum.reduceat(like[g].min(axis=0)[np.concatenate(of)], np.cumsum([0, *map(len, of[:-1])])) for g in of])
+    assert (np.diag(least) >= 0.9 - 1e-9).all() and len(of) < n / 5  # all pairs of a cluster reach it
+    np.fill_diagonal(least, -1.0)
+    assert (least < 0.9 + 1e-9).all()  # and no two clusters could merge
+    with pytest.raises(Exception, match="a folder has 5200 faces; 5000 is the most"):
+        V.complete_link(df, most=5000).count()
+
+
 def test_alignment_reasons(spark):
     schema = "id string, source_identity_revision string, face_box array<double>, body_box array<double>, needs_review boolean"
     far, near = [0.1, 0.1, 0.2, 0.2], [0.5, 0.5, 0.2, 0.2]
