@@ -18,8 +18,8 @@ from quarry.tables import kept, partitions
 
 MARGIN = 0.05
 LIKE = 0.5
-#: Rows on a side of a large tile, cells of it compared at once, pairs summed at once; cells of a folder compared at once.
-SIDE, CELLS, CHUNK, BLOCK = 32768, 1 << 22, 1 << 16, 1 << 19
+#: Rows on a side of a large tile, cells of it compared at once, pairs summed at once; cells of a folder compared at once; faces of a cluster with a list.
+SIDE, CELLS, CHUNK, BLOCK, LISTED = 32768, 1 << 22, 1 << 16, 1 << 19, 4
 
 
 def search(features: DataFrame, query: list[float], threshold: float, current: DataFrame | None = None, valid_only: bool = True) -> DataFrame:
@@ -153,8 +153,8 @@ def rank_open(faces: DataFrame, scores: DataFrame, margin: float = MARGIN) -> Da
 def complete_link(faces: DataFrame, folder: str = "folder_path", threshold: float = LIKE, most: int | None = None) -> DataFrame:
     """(folder, asset_path, instance_id, cluster_id): clusters in which every two faces reach the threshold, strongest pairs first; null for faces alone.
 
-    Two faces of one picture are never in one cluster. Merging depends on its order, so a folder is one task's work, in time quadratic in its faces and in memory in
-    proportion to them; where `most` is given, a folder of more faces is an error. faces: folder, asset_path, instance_id, quality, vector (null where unusable).
+    Two faces of one picture are never in one cluster. Merging depends on its order, so a folder is one task's work, in time quadratic in its faces, without a table of
+    their pairs; where `most` is given, a folder of more faces is an error. faces: folder, asset_path, instance_id, quality, vector (null where unusable).
     """
     kinds = {f.name: f.dataType.simpleString() for f in faces.schema}
 
@@ -180,16 +180,25 @@ def link(vectors: list[np.ndarray | None], pictures: list, threshold: float) ->
     """The owner of each face: going through the pairs from the strongest on (ties: by i, then j, i > j), two clusters merge where all pairs across them reach the threshold.
 
     Clusters whose strongest pairs with any they could merge with are one and the same merge in any case: what else merges takes pairs from them and gives none. So
-    rounds of such merges end in the same clusters, and only strongest pairs are kept. Similarities are summed front to end, in double precision.
+    rounds of such merges end in the same clusters, and only strongest pairs are kept. Clusters of LISTED faces or more keep a list of the faces they can take, which
+    their merges shorten, so that those cost what is added. Similarities are summed front to end, in double precision.
     """
     faces = _Faces(vectors, pictures, threshold)
     n = len(vectors)
     owner, live, best = np.arange(n), np.ones(n, bool), np.zeros((n, 2), np.int64)
-    need = np.arange(n)
+    need, lists = np.arange(n), {}
     while True:
         order, size = np.argsort(owner, kind="stable"), np.bincount(owner, minlength=n)
         first = np.cumsum(size) - size
-        for ids, found, pairs in faces.strongest(need, np.flatnonzero(live), order, first, size):
+        listed = np.array([k in lists for k in need.tolist()], bool)
+        for k in need[listed].tolist():
+            pair, lists[k] = faces.strongest_listed(k, order[first[k] : first[k] + size[k]], lists[k], owner, size)
+            live[k] = pair is not None
+            if pair is not None:
+                best[k] = pair
+            else:
+                del lists[k]
+        for ids, found, pairs in faces.strongest(need[~listed], np.flatnonzero(live), order, first, size, lists):
             live[ids], best[ids] = found, pairs
         have = np.flatnonzero(live)
         if not len(have):
@@ -205,6 +214,10 @@ def link(vectors: list[np.ndarray | None], pictures: list, threshold: float) ->
         added = other[toward[rest]]
         k, t, u = _across(size[rest], size[added])
         apart = rest[np.unique(k[faces.similarity(order[first[rest[k]] + t], order[first[added[k]] + u]) < threshold])]
+        for one, two in zip(stays.tolist(), goes.tolist(), strict=True):
+            if one in lists or two in lists:
+                own = (order[first[k] : first[k] + size[k]] for k in (one, two))
+                lists[one] = faces.joined(lists.get(one), lists.pop(two, None), *own)
         renamed = np.arange(n)
         renamed[goes] = stays
         owner, live[goes] = renamed[owner], False
@@ -227,6 +240,7 @@ class _Members:
         self.counts = np.searchsorted(-self.size, -np.arange(self.size.max(initial=1)))  # clusters with a member in each stretch
         self.stretch = np.cumsum(self.counts) - self.counts
         self.faces = np.concatenate([order[first[ids[:m]] + t] for t, m in enumerate(self.counts)])
+        self.cluster = np.concatenate([np.arange(m) for m in self.counts])
 
     def fold(self, f: np.ufunc, values: np.ndarray) -> np.ndarray:
         """A row for each cluster of values, which has a row for each face."""
@@ -256,25 +270,64 @@ class _Faces:
         summed = front_to_end(self.vectors, self.vectors, i, j)
         return np.where(same, -1.0, np.where(np.isnan(summed), -np.inf, summed))
 
-    def strongest(self, ids: np.ndarray, all_ids: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(clusters, whether there is one, (i, j)): each cluster's strongest pair with a cluster of all_ids that it can merge with, a few clusters at a time."""
+    def products(self, c: np.ndarray, r: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+        """How alike faces c (rows) and r (columns) are, within their doubt."""
+        like = (self.tame[c] if table is None else table) @ self.tame[r].T
+        np.copyto(like, -1.0, where=self.picture[c][:, None] == self.picture[r])
+        if self.unusable.any():
+            like[self.unusable[c]] = like[:, self.unusable[r]] = -1.0
+        return like
+
+    def joined(self, one: tuple | None, two: tuple | None, own: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The list, (faces, similarities to their most alike member), of two clusters together; one of them may have none, but members."""
+        if one is not None and two is not None:
+            at, i, j = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
+            return at, np.maximum(one[1][i], two[1][j])
+        (at, most), r = (one, others) if two is None else (two, own)
+        like = self.products(at, r)
+        fits = like >= self.threshold - self.off[r]
+        i, j = np.nonzero(fits & (like <= self.threshold + self.off[r]))
+        fits[i, j] = self.similarity(at[i], r[j]) >= self.threshold
+        stay = fits.all(axis=1)
+        return at[stay], np.maximum(most, like.max(axis=1))[stay]
+
+    def strongest_listed(self, cluster: int, members: np.ndarray, listed: tuple, owner: np.ndarray, size: np.ndarray) -> tuple[tuple[int, int] | None, tuple]:
+        """The cluster's strongest pair, from its list, and the list of the clusters that are wholly in it."""
+        at, most = listed
+        ids, back, count = np.unique(owner[at], return_inverse=True, return_counts=True)
+        whole = ((count == size[ids]) & (ids != cluster))[back]
+        at, most = at[whole], most[whole]
+        if not len(at):
+            return None, (at, most)
+        limit = most.max() - 2 * self.off[members].max()
+        # of faces of one kind the first ones make the pair that comes first
+        c, r = (x[np.unique(self.kind[x], return_index=True)[1]] for x in (np.sort(at[most >= limit]), members))
+        k, m = np.nonzero(self.products(c, r) >= limit)
+        i, j = np.maximum(c[k], r[m]), np.minimum(c[k], r[m])
+        head = np.lexsort((j, i, -self.similarity(i, j)))[0]
+        return (i[head], j[head]), (at, most)
+
+    def strongest(self, ids: np.ndarray, all_ids: np.ndarray, order: np.ndarray, first: np.ndarray, size: np.ndarray, lists: dict[int, tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(clusters, whether there is one, (i, j)): each cluster's strongest pair with a cluster of all_ids that it can merge with, a few clusters at a time.
+
+        Clusters of LISTED faces or more are put into lists.
+        """
+        if not len(ids):
+            return
         ids, all_ids = (k[np.argsort(-size[k], kind="stable")] for k in (ids, all_ids))
         columns = _Members(all_ids, order, first, size)
         place = np.zeros(len(size), np.int64)
         place[all_ids] = np.arange(len(all_ids))
         table = self.tame[columns.faces]
         parts = np.cumsum(size[ids]) * len(table) // BLOCK
-        for part in np.split(ids, np.flatnonzero(np.diff(parts)) + 1) if len(ids) else ():
+        for part in np.split(ids, np.flatnonzero(np.diff(parts)) + 1):
             rows = _Members(part, order, first, size)
-            found, pairs = self._strongest(rows, columns, table, place[part])
+            found, pairs = self._strongest(rows, columns, table, place[part], lists)
             yield part, found, pairs
 
-    def _strongest(self, rows: _Members, columns: _Members, table: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _strongest(self, rows: _Members, columns: _Members, table: np.ndarray, own: np.ndarray, lists: dict[int, tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Products of matrices choose, within doubt; pairs in doubt are summed from front to end. A column of the products is a face of rows."""
-        like = table @ self.tame[rows.faces].T
-        np.copyto(like, -1.0, where=self.picture[columns.faces][:, None] == self.picture[rows.faces])
-        if self.unusable.any():
-            like[self.unusable[columns.faces]] = like[:, self.unusable[rows.faces]] = -1.0
+        like = self.products(columns.faces, rows.faces, table)
         least, most = (rows.fold(f, columns.fold(f, like).T).T for f in (np.minimum, np.maximum))
         off = rows.fold(np.maximum, self.off[rows.faces])
         fits = least >= (self.threshold - off).astype(np.float32)
@@ -283,6 +336,9 @@ class _Faces:
         k, t, u = _across(rows.size[a], columns.size[g])
         low = self.similarity(rows.faces[rows.stretch[t] + a[k]], columns.faces[columns.stretch[u] + g[k]]) < self.threshold
         fits[g[k[low]], a[k[low]]] = False
+        for k in np.flatnonzero((rows.size >= LISTED) & fits.any(axis=0)) if self.threshold > -1 else ():
+            at = np.flatnonzero(fits[columns.cluster, k])
+            lists[int(rows.ids[k])] = columns.faces[at], like[np.ix_(at, rows.stretch[: rows.size[k]] + k)].max(axis=1)
         strong = np.where(fits, most, np.float32(-np.inf))
         limit = (strong.max(axis=0) - 2 * off).astype(np.float32)
         g, a = np.nonzero(fits & (strong >= limit))
@@ -295,7 +351,7 @@ class _Faces:
         one = np.full((len(rows.faces), len(kinds)), len(self.kind))
         np.minimum.at(one, (r, kind.ravel()), c)
         r, kind = np.nonzero(one < len(self.kind))
-        r, c, cluster = rows.faces[r], one[r, kind], (r - rows.stretch[np.searchsorted(rows.stretch, r, side="right") - 1])
+        r, c, cluster = rows.faces[r], one[r, kind], rows.cluster[r]
         i, j = np.maximum(r, c), np.minimum(r, c)
         by_rank = np.lexsort((j, i, -self.similarity(i, j), cluster))
         heads = by_rank[np.flatnonzero(np.diff(cluster[by_rank], prepend=-1))]

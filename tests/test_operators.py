@@ -230,6 +230,16 @@ def test_links_with_ties():
     assert V.link([None, None], ["a", "b"], 0.5) == [0, 1]
 
 
+def test_large_clusters_cost_what_is_added(monkeypatch):
+    rng = np.random.default_rng(8)
+    v = np.eye(8)[rng.integers(0, 3, 300)] + rng.normal(size=(300, 8)) * 0.05
+    v = list(v / np.linalg.norm(v, axis=1, keepdims=True))
+    products, made = V._Faces.products, []
+    monkeypatch.setattr(V._Faces, "products", lambda self, c, r, table=None: made.append(len(c) * len(r)) or products(self, c, r, table))
+    owners = V.link(v, list(map(str, range(300))), 0.5)
+    assert len(set(owners)) == 3 and sum(made) < 8 * 300 * 300  # 34 times that square, were whole clusters compared after each merge
+
+
 def test_a_folder_of_many_faces(spark):
     rng = np.random.default_rng(6)
     n = 5200
